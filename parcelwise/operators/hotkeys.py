@@ -1,0 +1,45 @@
+"""Find the few keys that hold so many rows that one task should not take them whole."""
+
+from __future__ import annotations
+
+import math
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+@dataclass(frozen=True)
+class HotKeys:
+    """Hot values of one column; never more than 1 / share of them."""
+
+    column: str
+    values: tuple
+    rows: int
+
+    def __bool__(self) -> bool:
+        return bool(self.values)
+
+    def contains(self) -> Column:
+        """True for the rows of a hot key, false for all others (never null)."""
+        key = F.col(self.column)
+        known = [value for value in self.values if value is not None]
+        found = F.coalesce(key.isin(known), F.lit(False)) if known else F.lit(False)
+        return found | key.isNull() if None in self.values else found
+
+
+def find_hot_keys(df: DataFrame, column: str, share: float = 0.002, floor: int = 1_000_000) -> HotKeys:
+    """Keys with at least ``share`` of all rows and at least ``floor`` rows.
+
+    One narrow pass with a frequent-items sketch: tasks send sketches of bounded size, the keys themselves
+    are not shuffled. The sketch only routes rows; results never depend on its estimates.
+    """
+    wanted = math.ceil(1 / share)
+    tracked = max(10_000, 10 * wanted)
+    seen = df.agg(
+        F.expr(f"approx_top_k(`{column}`, {wanted}, {tracked})").alias("top"),
+        F.count(F.lit(1)).alias("total"),
+    ).first()
+    least = max(floor, share * seen["total"])
+    hot = [entry for entry in seen["top"] or [] if entry["count"] >= least]
+    return HotKeys(column, tuple(entry["item"] for entry in hot), sum(entry["count"] for entry in hot))
