@@ -1,8 +1,8 @@
 """Backtest of promise rules: calibrate before a cutoff, evaluate from it on.
 
-All inputs are order facts from ``with_delay_bucket``. Calibration and holdout are first counted into cells
-(route, promise, delay, ...): every later step works on counts whose number follows the calendar and the
-route grid, so lookups are cheap and a dominant route is no hot key.
+Orders from ``with_delay_bucket`` are first counted into cells (route, promise, delay, ...). Every later step
+works on counts whose number follows the calendar and the route grid, so the orders are read once, lookups are
+cheap, and a dominant route is no hot key. Write the cells (``session.materialised``) when several steps follow.
 """
 
 from __future__ import annotations
@@ -13,66 +13,77 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.functions import bad_review, ratio, share_true
+from parcelwise.functions import bad_review, ratio
 from parcelwise.operators.histograms import weighted_quantile, whole_days
 
 ROUTE = ["seller_state", "customer_state"]
 SUM_DIGITS = 6
 
 
-def _before(cutoff: dt.date) -> Column:
-    return F.col("purchased_at") < F.lit(cutoff).cast("timestamp_ntz")
-
-
 def _from(cutoff: dt.date) -> Column:
     return F.col("purchased_at") >= F.lit(cutoff).cast("timestamp_ntz")
 
 
-def bad_rate_table(delivered: DataFrame, cutoff: dt.date) -> DataFrame:
-    """Bad-review rate by delay class and lateness before the cutoff; at most three rows per class."""
-    return (
-        delivered.where(F.col("review_score").isNotNull() & _before(cutoff))
-        .groupBy("bucket", "is_late")
-        .agg(share_true(bad_review()).alias("bad_rate"))
-    )
-
-
 def holdout(delivered: DataFrame, cutoff: dt.date) -> DataFrame:
     """Single-seller delivered orders from the cutoff on."""
     return delivered.where(_from(cutoff) & F.col("seller_state").isNotNull())
 
 
-def holdout_cells(delivered: DataFrame, cutoff: dt.date) -> DataFrame:
-    """The holdout as counts; ``reviewed`` counts the orders that have a review."""
+def promise_cells(delivered: DataFrame, cutoff: dt.date) -> DataFrame:
+    """All delivered orders as counts, calibration and holdout told apart by ``is_holdout``.
+
+    One pass over the orders serves the whole backtest. Without a ``review_score`` column the review counts
+    are left out.
+    """
+    counts = [F.count(F.lit(1)).alias("n_orders")]
+    if "review_score" in delivered.columns:
+        counts += [
+            F.count("review_score").alias("reviewed"),
+            F.count_if(bad_review()).alias("bad"),
+        ]
+    return delivered.groupBy(
+        _from(cutoff).alias("is_holdout"), *ROUTE, "bucket", "promised_days", "actual_days", "is_late"
+    ).agg(*counts)
+
+
+def _calibration(cells: DataFrame) -> DataFrame:
+    return cells.where(~F.col("is_holdout"))
+
+
+def holdout_cells(cells: DataFrame) -> DataFrame:
+    return cells.where(F.col("is_holdout") & F.col("seller_state").isNotNull())
+
+
+def bad_rate_table(cells: DataFrame) -> DataFrame:
+    """Bad-review rate by delay class and lateness before the cutoff; at most three rows per class."""
     return (
-        holdout(delivered, cutoff)
-        .groupBy(*ROUTE, "bucket", "promised_days", "actual_days", "is_late")
-        .agg(F.count(F.lit(1)).alias("n_orders"), F.count("review_score").alias("reviewed"))
+        _calibration(cells)
+        .where(F.col("reviewed") > 0)
+        .groupBy("bucket", "is_late")
+        .agg(ratio(F.sum("bad"), F.sum("reviewed")).alias("bad_rate"))
     )
 
 
-def calibrate_routes(delivered: DataFrame, cutoff: dt.date, p: float = 0.93) -> DataFrame:
+def calibrate_routes(cells: DataFrame, p: float = 0.93) -> DataFrame:
     """Orders, late rate and delay quantile per route before the cutoff; single-seller orders only."""
-    cells = (
-        delivered.where(_before(cutoff) & F.col("seller_state").isNotNull())
-        .groupBy(*ROUTE, "actual_days")
+    timed = F.when(F.col("is_late").isNotNull(), F.col("n_orders"))
+    late = F.when(F.col("is_late"), F.col("n_orders")).when(~F.col("is_late"), F.lit(0))
+    return (
+        _calibration(cells)
+        .where(F.col("seller_state").isNotNull())
+        .groupBy(*ROUTE)
         .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.sum(F.col("is_late").cast("int")).alias("_late"),
-            F.count("is_late").alias("_timed"),
+            F.sum("n_orders").alias("n"),
+            ratio(F.sum(late), F.sum(timed)).alias("late_rate"),
+            weighted_quantile("actual_days", p, "n_orders").alias("q"),
         )
     )
-    return cells.groupBy(*ROUTE).agg(
-        F.sum("_n").alias("n"),
-        ratio(F.sum("_late"), F.sum("_timed")).alias("late_rate"),
-        weighted_quantile("actual_days", p, "_n").alias("q"),
-    )
 
 
-def global_quantile(delivered: DataFrame, cutoff: dt.date, p: float = 0.93) -> DataFrame:
+def global_quantile(cells: DataFrame, p: float = 0.93) -> DataFrame:
     """One row: the delay quantile of all delivered orders before the cutoff, several sellers or not."""
-    cells = delivered.where(_before(cutoff)).groupBy("actual_days").agg(F.count(F.lit(1)).alias("_n"))
-    return cells.agg(weighted_quantile("actual_days", p, "_n").alias("global_q"))
+    counts = _calibration(cells).groupBy("actual_days").agg(F.sum("n_orders").alias("n_orders"))
+    return counts.agg(weighted_quantile("actual_days", p, "n_orders").alias("global_q"))
 
 
 def is_risky(min_orders: int = 30, above: float = 0.08) -> Column:
@@ -104,7 +115,7 @@ def evaluate_policies(
 ) -> DataFrame:
     """One row per policy: mean promise, late rate and expected bad reviews, before and after.
 
-    A policy is a column over ``promised_days``, the calibrated ``n``, ``late_rate`` and ``q`` of the route and
+    ``cells`` are the holdout's. A policy is a column over ``promised_days``, the calibrated ``n``, ``late_rate`` and ``q`` of the route and
     ``global_q``. All policies share one pass over the holdout cells.
     """
     offers = F.array(

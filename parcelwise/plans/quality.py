@@ -84,6 +84,17 @@ def first_orders_cover_buyers(people: DataFrame, first_orders: DataFrame) -> Dat
     )
 
 
+def _outcome(name: Column, severity: str, threshold: int, violations: Column) -> list[Column]:
+    bad = "fail" if severity == "error" else "warn"
+    return [
+        name.alias("name"),
+        F.lit(severity).alias("severity"),
+        F.lit(threshold).cast("long").alias("threshold"),
+        violations.cast("long").alias("violations"),
+        F.when(violations > threshold, F.lit(bad)).otherwise(F.lit("pass")).alias("status"),
+    ]
+
+
 @dataclass(frozen=True)
 class Expectation:
     """A query for violations, tolerated up to ``threshold``.
@@ -97,23 +108,35 @@ class Expectation:
     threshold: int = 0
     weight: str | None = None
 
-    def outcome(self) -> DataFrame:
+    def outcomes(self) -> DataFrame:
         total = F.count(F.lit(1)) if self.weight is None else F.coalesce(F.sum(self.weight), F.lit(0))
-        bad = "fail" if self.severity == "error" else "warn"
-        return self.violations.agg(total.cast("long").alias("violations")).select(
-            F.lit(self.name).alias("name"),
-            F.lit(self.severity).alias("severity"),
-            F.lit(self.threshold).cast("long").alias("threshold"),
-            "violations",
-            F.when(F.col("violations") > self.threshold, F.lit(bad)).otherwise(F.lit("pass")).alias("status"),
+        return self.violations.agg(total.alias("_n")).select(
+            *_outcome(F.lit(self.name), self.severity, self.threshold, F.col("_n"))
         )
 
 
-def expectation_report(expectations: Sequence[Expectation]) -> DataFrame:
+@dataclass(frozen=True)
+class FilledColumns:
+    """``not_null`` for several columns of one table, all in one scan."""
+
+    table: str
+    df: DataFrame
+    columns: tuple[str, ...]
+
+    def outcomes(self) -> DataFrame:
+        counted = self.df.agg(*[F.count_if(F.col(column).isNull()).alias(column) for column in self.columns])
+        entries = [
+            F.struct(F.lit(f"not_null_{self.table}_{column}").alias("_name"), F.col(column).alias("_n"))
+            for column in self.columns
+        ]
+        return counted.select(F.inline(F.array(*entries))).select(*_outcome(F.col("_name"), "error", 0, F.col("_n")))
+
+
+def expectation_report(expectations: Sequence[Expectation | FilledColumns]) -> DataFrame:
     """One row per expectation: name, severity, threshold, violations, status."""
-    report = expectations[0].outcome()
+    report = expectations[0].outcomes()
     for expectation in expectations[1:]:
-        report = report.unionByName(expectation.outcome())
+        report = report.unionByName(expectation.outcomes())
     return report
 
 
@@ -152,14 +175,15 @@ def study_expectations(
     tables: Mapping[str, DataFrame],
     impossible_dates_allowed: int = KNOWN_IMPOSSIBLE_DATES,
     payment_mismatches_allowed: int = KNOWN_PAYMENT_MISMATCHES,
-) -> list[Expectation]:
+) -> list[Expectation | FilledColumns]:
     """The 40 expectations over staging tables and marts, by relation name."""
     checks = [
         Expectation(f"unique_{table}_{column}", unique(tables[table], column)) for table, column in UNIQUE_COLUMNS
     ]
-    checks += [
-        Expectation(f"not_null_{table}_{column}", not_null(tables[table], column)) for table, column in FILLED_COLUMNS
-    ]
+    filled: dict[str, list[str]] = {}
+    for table, column in FILLED_COLUMNS:
+        filled.setdefault(table, []).append(column)
+    checks += [FilledColumns(table, tables[table], tuple(columns)) for table, columns in filled.items()]
     checks += [
         Expectation(
             f"relationships_{child}_{column}", relationships(tables[child], column, tables[parent], key), weight="n_rows"
@@ -211,15 +235,30 @@ def pitfall_counts(
     def count(df: DataFrame) -> DataFrame:
         return df.agg(F.count(F.lit(1)))
 
+    dates = orders.agg(
+        F.struct(
+            F.count(F.lit(1)).alias("orders"),
+            F.count_if(F.col("shipped_at") < F.col("purchased_at")).alias("early_shipped"),
+            F.count_if(F.col("delivered_at") < F.col("shipped_at")).alias("early_delivered"),
+        )
+    )
     return one_row(
         orders.sparkSession,
-        orders=count(orders),
+        _dates=dates,
         customer_ids=customers.agg(F.count_distinct("customer_id")),
         unique_customers=customers.agg(F.count_distinct("customer_unique_id")),
         orders_with_several_reviews=count(unique_combination(raw_reviews, ["order_id"])),
         reviews_on_several_orders=count(unique_combination(raw_reviews, ["review_id"])),
-        shipped_before_purchase=count(orders.where(F.col("shipped_at") < F.col("purchased_at"))),
-        delivered_before_shipped=count(orders.where(F.col("delivered_at") < F.col("shipped_at"))),
         payment_mismatch=count(payments_match_items(paid_orders, tolerance)),
         partial_months=count(monthly.where("is_partial")),
+    ).select(
+        F.col("_dates.orders").alias("orders"),
+        "customer_ids",
+        "unique_customers",
+        "orders_with_several_reviews",
+        "reviews_on_several_orders",
+        F.col("_dates.early_shipped").alias("shipped_before_purchase"),
+        F.col("_dates.early_delivered").alias("delivered_before_shipped"),
+        "payment_mismatch",
+        "partial_months",
     )

@@ -12,15 +12,24 @@ from parcelwise.functions import day, ratio
 from parcelwise.operators.histograms import weighted_quantile, whole_days
 
 
-def delivery_histogram(delivered: DataFrame, by: Sequence[str] = ("customer_state",)) -> DataFrame:
-    """Deliveries counted per delivery date, group and delay."""
-    return delivered.groupBy(day("delivered_at").alias("delivered_on"), *by, "actual_days").agg(
-        F.count(F.lit(1)).alias("n_orders")
-    )
+def delivery_cells(delivered: DataFrame) -> DataFrame:
+    """Delivered orders counted per purchase date, delivery date and customer state.
+
+    Both the recent deliveries and the orders to promise for come from these counts, so the orders are read
+    once. Without a ``seller_state`` column no order counts as a single-seller one.
+    """
+    one_seller = F.col("seller_state").isNotNull() if "seller_state" in delivered.columns else F.lit(False)
+    return delivered.groupBy(
+        day("purchased_at").alias("purchased_on"),
+        day("delivered_at").alias("delivered_on"),
+        "customer_state",
+        "actual_days",
+        one_seller.alias("is_single_seller"),
+    ).agg(F.count(F.lit(1)).alias("n_orders"))
 
 
 def rolling_quantile(
-    histogram: DataFrame,
+    cells: DataFrame,
     start: dt.date,
     end: dt.date,
     by: Sequence[str] = ("customer_state",),
@@ -30,12 +39,14 @@ def rolling_quantile(
     """Per day of [start, end) and group: quantile and number of the deliveries in [day - window, day).
 
     Instead of comparing every day with every delivery, each count goes to the days it serves, and a plain
-    aggregation follows. ``histogram`` must be grouped by at least ``by``; it may be finer.
+    aggregation follows.
     """
     served = (
-        histogram.where(
+        cells.where(
             (F.col("delivered_on") < F.lit(end)) & (F.col("delivered_on") >= F.date_sub(F.lit(start), window_days))
         )
+        .groupBy("delivered_on", *by, "actual_days")
+        .agg(F.sum("n_orders").alias("n_orders"))
         .select(
             *by,
             "actual_days",
@@ -54,25 +65,28 @@ def rolling_quantile(
 
 
 def evaluate_rolling_policy(
-    holdout: DataFrame,
+    cells: DataFrame,
     by_day: DataFrame,
     by_day_and_state: DataFrame,
+    cutoff: dt.date,
     min_deliveries: int = 50,
     focus_month: int = 3,
 ) -> DataFrame:
-    """One row: mean promise and late rates of the rolling rule over the holdout.
+    """One row: mean promise and late rates of the rolling rule over single-seller orders from the cutoff on.
 
     Orders bought on a day without any delivery in the window have no promise and are left out of the means;
     ``orders_without_window`` counts them.
     """
-    cells = holdout.groupBy(day("purchased_at").alias("day"), "customer_state", "actual_days").agg(
-        F.count(F.lit(1)).alias("n_orders")
+    bought = (
+        cells.where((F.col("purchased_on") >= F.lit(cutoff)) & F.col("is_single_seller"))
+        .groupBy(F.col("purchased_on").alias("day"), "customer_state", "actual_days")
+        .agg(F.sum("n_orders").alias("n_orders"))
     )
     # One row per calendar day between two parameters.
     whole = F.broadcast(by_day.select("day", F.col("q").alias("_all_q")))
     states = by_day_and_state.select("day", "customer_state", F.col("q").alias("_state_q"), F.col("n").alias("_state_n"))
     promised = (
-        cells.join(whole, "day", "left")
+        bought.join(whole, "day", "left")
         .join(states, ["day", "customer_state"], "left")
         .withColumn("_covered", F.col("_all_q").isNotNull())
         .withColumn(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parcelwise.functions import days_between, mean_of, ratio, share_true
 from parcelwise.operators.slices import running_totals
 from parcelwise.plans.marts import is_delivered
+from parcelwise.session import materialised
 
 
 def handover(timeline: DataFrame, items: DataFrame) -> DataFrame:
@@ -65,7 +66,8 @@ def seller_excess(items: DataFrame, orders: DataFrame, sellers: DataFrame) -> Da
     """Per seller: orders, late orders, and late orders expected from the late rate of each route served.
 
     Order-seller pairs are first counted per (seller, customer state). The state and route joins then handle
-    those counts, and neither a dominant seller nor a dominant route is a hot key.
+    those counts, and neither a dominant seller nor a dominant route is a hot key. The counts are read twice,
+    for the routes and for the sellers, and therefore written once.
     """
     cells = (
         _delivered_pairs(items, orders)
@@ -77,7 +79,7 @@ def seller_excess(items: DataFrame, orders: DataFrame, sellers: DataFrame) -> Da
         )
     )
     states = sellers.select("seller_id", F.col("state").alias("seller_state"))
-    placed = cells.join(states, "seller_id")
+    placed = materialised(cells.join(states, "seller_id"))
     routes = placed.groupBy("seller_state", "customer_state").agg(
         ratio(F.sum("late"), F.sum("timed")).alias("route_rate")
     )
@@ -110,8 +112,12 @@ def excess_summary(flagged: DataFrame) -> DataFrame:
     )
 
 
-def seller_concentration(excess: DataFrame, share: float = 0.5, slices: int = 64) -> DataFrame:
-    """Fewest sellers that together hold ``share`` of the late orders, and their share of all orders."""
+def seller_concentration(excess: DataFrame, share: float = 0.5, slices: int | None = None) -> DataFrame:
+    """Fewest sellers that together hold ``share`` of the late orders, and their share of all orders.
+
+    The running totals go by range slices, as many as there are shuffle partitions unless given.
+    """
+    slices = slices or int(excess.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = running_totals(
         excess.select("seller_id", "orders", "late"),
         order=[F.col("late").desc_nulls_last(), F.col("seller_id").asc_nulls_last()],

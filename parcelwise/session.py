@@ -53,11 +53,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def new_place(spark: SparkSession, name: str) -> str:
+    """Path of a folder not used before, under the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet under the shared folder and return the written table.
 
     Unlike a checkpoint the result is columnar: later reads prune columns and push filters.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = new_place(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.plans import delivery, marts, model, promise, publish, quality, routes, sellers, staging
-from parcelwise.sources import calendar
+from parcelwise.plans import delivery, model, promise, publish, quality, rolling, routes, sellers, staging
+from parcelwise.session import materialised, new_place
+from parcelwise.sources import calendar, manifest, raw, tables
 from workload import params as p
-from workload.study import Study
+from workload.study import StoredStudy, Study
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Callable[[Study], DataFrame]] = {}
+STORED: set[str] = set()
 
 
 def query(build: Callable[[Study], DataFrame]) -> Callable[[Study], DataFrame]:
@@ -21,9 +23,16 @@ def query(build: Callable[[Study], DataFrame]) -> Callable[[Study], DataFrame]:
     return build
 
 
+def stored_query(build: Callable[[Study], DataFrame]) -> Callable[[Study], DataFrame]:
+    """A query that reads the order fact more than once, and therefore from a written table."""
+    STORED.add(build.__name__)
+    return query(build)
+
+
 def registered() -> dict[str, Query]:
     def bound(build: Callable[[Study], DataFrame]) -> Query:
-        return lambda spark, folder: build(Study(spark, folder))
+        study = StoredStudy if build.__name__ in STORED else Study
+        return lambda spark, folder: build(study(spark, folder))
 
     return {name: bound(build) for name, build in REGISTRY.items()}
 
@@ -147,7 +156,7 @@ def scope_summary(s: Study) -> DataFrame:
 
 @query
 def with_delay_bucket(s: Study) -> DataFrame:
-    return delivery.with_delay_bucket(s.timeline).select("order_id", "actual_days", "is_late", "bucket")
+    return delivery.with_delay_bucket(s.measured).select("order_id", "actual_days", "is_late", "bucket")
 
 
 @query
@@ -227,7 +236,7 @@ def route_table_for_state(s: Study) -> DataFrame:
 
 @query
 def bad_rate_table(s: Study) -> DataFrame:
-    return s.bad_rates
+    return promise.bad_rate_table(promise.promise_cells(s.reviewed_delivered.withColumn("seller_state", F.lit(None)), p.CUTOFF))
 
 
 @query
@@ -237,19 +246,24 @@ def holdout(s: Study) -> DataFrame:
     )
 
 
+def _delay_cells(s: Study) -> DataFrame:
+    """Backtest cells of a single use, without reviews."""
+    return promise.promise_cells(s.route_delays, p.CUTOFF)
+
+
 @query
 def calibrate_routes(s: Study) -> DataFrame:
-    return s.calibrated
+    return promise.calibrate_routes(_delay_cells(s), p.QUANTILE)
 
 
 @query
 def global_quantile(s: Study) -> DataFrame:
-    return s.global_q
+    return promise.global_quantile(_delay_cells(s), p.QUANTILE)
 
 
 @query
 def risky_routes(s: Study) -> DataFrame:
-    return promise.risky_routes(s.calibrated, s.risky)
+    return promise.risky_routes(promise.calibrate_routes(_delay_cells(s), p.QUANTILE), s.risky)
 
 
 @query
@@ -264,12 +278,12 @@ def margin_grid(s: Study) -> DataFrame:
 
 @query
 def rolling_quantile_by_state(s: Study) -> DataFrame:
-    return s.rolling_by_state
+    return s.rolling(rolling.delivery_cells(delivery.with_delay_bucket(s.measured)), ("customer_state",))
 
 
 @query
 def rolling_quantile_all(s: Study) -> DataFrame:
-    return s.rolling_all
+    return s.rolling(rolling.delivery_cells(delivery.with_delay_bucket(s.measured)), ())
 
 
 @query
@@ -282,7 +296,7 @@ def day_series_deliveries(s: Study) -> DataFrame:
     """Deliveries on each day of the rolling range, days without any included."""
     days = calendar.day_series(s.spark, p.ROLLING_START, p.ROLLING_END)
     per_day = (
-        delivery.with_delay_bucket(s.timeline)
+        delivery.with_delay_bucket(s.measured)
         .groupBy(F.col("delivered_at").cast("date").alias("day"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
@@ -305,16 +319,9 @@ def state_standardised_repeat(s: Study) -> DataFrame:
 # Quality.
 
 
-def paid_orders(s: Study) -> DataFrame:
-    return model.with_payments(model.with_items(s.timeline, s.items), s.payments)
-
-
-@query
+@stored_query
 def pitfall_counts(s: Study) -> DataFrame:
-    months = marts.mart_monthly(
-        model.with_reviews(model.with_items(s.timeline, s.items), s.reviews), s.timeline, p.PARTIAL_MONTH
-    )
-    return quality.pitfall_counts(s.orders, s.customers, s.all_reviews, paid_orders(s), months, p.TOLERANCE)
+    return quality.pitfall_counts(s.orders, s.customers, s.all_reviews, s.paid, s.mart_monthly, p.TOLERANCE)
 
 
 @query
@@ -346,7 +353,7 @@ def expect_relationships(s: Study) -> DataFrame:
 
 @query
 def expect_delivery_after_purchase(s: Study) -> DataFrame:
-    return quality.delivery_after_purchase(s.timeline)
+    return quality.delivery_after_purchase(s.measured)
 
 
 @query
@@ -367,26 +374,28 @@ def expect_known_impossible_dates(s: Study) -> DataFrame:
 
 @query
 def expect_payments_match_items(s: Study) -> DataFrame:
-    return quality.payments_match_items(paid_orders(s), p.TOLERANCE)
+    return quality.payments_match_items(s.paid, p.TOLERANCE)
 
 
-@query
+@stored_query
 def expectation_report(s: Study) -> DataFrame:
+    """All checks over written tables, as they run after a build."""
+    people, firsts = materialised(s.dim_customers), materialised(s.first_orders)
     tables = {
-        "stg_orders": s.orders,
+        "stg_orders": materialised(s.orders),
         "stg_order_items": s.items,
-        "stg_order_reviews": s.reviews,
-        "stg_customers": s.customers,
+        "stg_order_reviews": materialised(s.reviews),
+        "stg_customers": materialised(s.customers),
         "stg_sellers": s.sellers,
         "stg_products": s.products,
-        "fct_orders": paid_orders(s),
+        "fct_orders": materialised(model.with_payments(s.routed, s.payments)),
         "fct_order_items": s.items,
-        "dim_customers": s.dim_customers,
+        "dim_customers": people,
         "dim_sellers": model.dim_sellers(s.sellers),
         "dim_products": model.dim_products(s.products),
-        "mart_first_orders": s.first_orders,
-        "mart_seller_delivery": s.mart_seller_delivery,
-        "mart_monthly": s.mart_monthly,
+        "mart_first_orders": firsts,
+        "mart_seller_delivery": materialised(s.mart_seller_delivery),
+        "mart_monthly": materialised(s.mart_monthly),
     }
     return quality.expectation_report(
         quality.study_expectations(tables, p.IMPOSSIBLE_ALLOWED, p.MISMATCH_ALLOWED)
@@ -396,76 +405,175 @@ def expectation_report(s: Study) -> DataFrame:
 # Publishing.
 
 
-def study_metrics(s: Study, promise_table: DataFrame | None = None) -> DataFrame:
+def monthly_metrics(months: DataFrame) -> DataFrame:
+    return publish.metric_rows(months, "monthly", F.col("month"), [F.col("month").asc_nulls_last()])
+
+
+def study_metrics(s: Study) -> DataFrame:
     """The long metrics table over the report results."""
-    month = [F.col("month").asc_nulls_last()]
-    parts = [
-        publish.metric_rows(delivery.scope_summary(s.reviewed), "scope"),
-        publish.metric_rows(s.monthly_promise, "monthly", F.col("month"), month),
+    metrics = publish.metric_rows(delivery.scope_summary(s.reviewed), "scope")
+    for part in (
+        monthly_metrics(s.monthly_promise),
         publish.metric_rows(s.bad_review_timing, "bad_reviews"),
         publish.metric_rows(s.repeat_summary, "repeat"),
-    ]
-    metrics = parts[0]
-    for part in parts[1:]:
+    ):
         metrics = metrics.unionByName(part)
     return metrics
 
 
-@query
+@stored_query
 def metrics_table(s: Study) -> DataFrame:
     return study_metrics(s)
 
 
-@query
+@stored_query
+def metrics_sink(s: Study) -> DataFrame:
+    """The metrics table written as JSON and read back."""
+    path = new_place(s.spark, "metrics")
+    publish.write_metrics(study_metrics(s), path, "json")
+    columns = "section string, key string, ordinal bigint, metric string, value double, text string"
+    return s.spark.read.schema(columns).json(path)
+
+
+@stored_query
 def derived_figures(s: Study) -> DataFrame:
     return publish.derived_figures(
-        s.delay_vs_promise,
-        s.bad_review_timing,
+        materialised(s.delay_vs_promise),
+        materialised(s.bad_review_timing),
         s.handover_summary,
         s.seller_concentration,
         s.excess_summary,
-        s.cited_policy,
+        materialised(s.cited_policy),
         min_late_orders=p.RATIO_MIN_LATE,
     )
 
 
-def published_pages(s: Study) -> DataFrame:
-    """A page per month that shows the month's figures; every fifth month shows one late order too many."""
+def published_pages(metrics: DataFrame) -> DataFrame:
+    """A page per month with two figures and one without a metric; every fifth page has one order too many."""
     wrong = F.when(F.col("_i") % 5 == 0, 1).otherwise(0)
-    figures = [
-        F.format_string('<b data-k="monthly.%d.orders" data-f="int">%d</b>', F.col("_i"), F.col("orders") + wrong),
-        F.format_string(
-            '<b data-k="monthly.%d.late_rate" data-f="pct">%s %%</b>',
-            F.col("_i"),
-            F.regexp_replace(F.round(F.col("late_rate") * 100, 1).cast("decimal(6,1)").cast("string"), r"\.", ","),
-        ),
-        F.format_string('<i data-k="monthly.%d.refunds" data-f="int">0</i>', F.col("_i")),
-    ]
-    metrics = publish.metric_rows(s.monthly_promise, "monthly", F.col("month"), [F.col("month").asc_nulls_last()])
+    late = F.regexp_replace(F.round(F.col("late_rate") * 100, 1).cast("decimal(6,1)").cast("string"), r"\.", ",")
     by_month = metrics.groupBy(F.col("key"), F.col("ordinal").cast("int").alias("_i")).agg(
         F.max(F.when(F.col("metric") == "orders", F.col("value"))).cast("long").alias("orders"),
         F.max(F.when(F.col("metric") == "late_rate", F.col("value"))).alias("late_rate"),
     )
+    figures = [
+        F.format_string('<b data-k="monthly.%d.orders" data-f="int">%d</b>', F.col("_i"), F.col("orders") + wrong),
+        F.format_string('<b data-k="monthly.%d.late_rate" data-f="pct">%s&nbsp;%%</b>', F.col("_i"), late),
+        F.format_string('<i data-k="monthly.%d.refunds" data-f="int">0</i>', F.col("_i")),
+        F.when(F.col("_i") % 2 == 0, F.lit('<p class="updated">')),
+    ]
     return by_month.select(F.col("key").alias("page"), F.concat_ws("\n", *figures).alias("html"))
 
 
 @query
 def reconcile_published(s: Study) -> DataFrame:
-    metrics = publish.metric_rows(s.monthly_promise, "monthly", F.col("month"), [F.col("month").asc_nulls_last()])
-    return publish.reconcile_published(published_pages(s), metrics).select("page", "key", "format", "shown", "problem")
+    metrics = materialised(monthly_metrics(s.monthly_promise))
+    return publish.reconcile_published(published_pages(metrics), metrics).select(
+        "page", "key", "format", "shown", "problem"
+    )
 
 
 @query
-def metrics_snapshot_diff(s: Study) -> DataFrame:
-    """Monthly figures of all orders against those before the cutoff: months vanish, appear or stay."""
-    month = [F.col("month").asc_nulls_last()]
+def update_notice_mismatch(s: Study) -> DataFrame:
+    return publish.update_notice_mismatch(
+        published_pages(monthly_metrics(s.monthly_promise)), p.DATA_END, p.DATA_END
+    )
+
+
+def _snapshot_diff(s: Study) -> DataFrame:
+    """Monthly figures of late orders from the cutoff on, against a snapshot that ends at the cutoff."""
     before = delivery.monthly_promise(s.reviewed_delivered, p.MONTHLY_START, p.CUTOFF)
-    late_only = delivery.monthly_promise(
-        s.reviewed_delivered.where(F.col("is_late") | (F.col("purchased_at") < F.lit(p.CUTOFF).cast("timestamp_ntz"))),
-        p.MONTHLY_START,
-        p.MONTHLY_END,
+    recent = F.col("purchased_at") >= F.lit(p.CUTOFF).cast("timestamp_ntz")
+    mixed = delivery.monthly_promise(
+        s.reviewed_delivered.where(F.col("is_late") | ~recent), p.MONTHLY_START, p.MONTHLY_END
+    )
+    return publish.metrics_snapshot_diff(monthly_metrics(mixed), monthly_metrics(before))
+
+
+@stored_query
+def metrics_snapshot_diff(s: Study) -> DataFrame:
+    return _snapshot_diff(s)
+
+
+@stored_query
+def publication_date(s: Study) -> DataFrame:
+    return publish.publication_date(_snapshot_diff(s), p.CUTOFF, p.DATA_END)
+
+
+# Sources and sinks.
+
+
+def _csv_files(s: Study) -> dict[str, str]:
+    """The raw tables written as CSV text into a new shared place."""
+    base = new_place(s.spark, "csv")
+    for table, df in s.raw.items():
+        df.write.option("header", True).option("escape", '"').csv(f"{base}/{table}")
+    return {table: f"{base}/{table}/*.csv" for table in s.raw}
+
+
+@query
+def csv_to_orders(s: Study) -> DataFrame:
+    """The whole way in: CSV text, contract, landing, staging, enriched orders."""
+    landed = raw.load_raw(s.spark, _csv_files(s), new_place(s.spark, "landed"))
+    timeline = model.order_timeline(
+        staging.stg_orders(landed["orders"]), staging.stg_customers(landed["customers"])
     )
-    return publish.metrics_snapshot_diff(
-        publish.metric_rows(late_only, "monthly", F.col("month"), month),
-        publish.metric_rows(before, "monthly", F.col("month"), month),
+    return model.enriched_orders(
+        timeline,
+        staging.stg_order_items(landed["order_items"]),
+        staging.stg_order_payments(landed["order_payments"]),
+        staging.stg_order_reviews(landed["order_reviews"]),
+    )
+
+
+@query
+def load_manifest(s: Study) -> DataFrame:
+    """Rows per loaded table, after a load whose digests are checked against the files."""
+    files, place = _csv_files(s), new_place(s.spark, "landed")
+    expected = None
+    for path in files.values():
+        found = manifest.file_digests(s.spark, path)
+        expected = found if expected is None else expected.unionByName(found)
+    raw.load_raw(s.spark, files, place, expected_digests=expected)
+    listed = s.spark.read.parquet(f"{place}/manifest")
+    return listed.where(F.length("sha256") == 64).groupBy("source").agg(F.sum("rows").alias("rows"))
+
+
+@query
+def row_counts(s: Study) -> DataFrame:
+    """Rows and columns per shaped source relation."""
+    counts = None
+    for name, df in s.raw.items():
+        width = raw.describe(df).agg(F.count(F.lit(1)))
+        one = df.agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(name).alias("source"), "rows", width.scalar().alias("columns")
+        )
+        counts = one if counts is None else counts.unionByName(one)
+    return counts
+
+
+@query
+def sql_over_views(s: Study) -> DataFrame:
+    """Relations registered by name and queried with SQL."""
+    tables.register_views({"stg_customers": s.customers, "stg_orders": s.orders})
+    return s.spark.sql(
+        """
+        SELECT c.state, o.order_status, count(*) AS orders
+        FROM stg_orders o JOIN stg_customers c USING (customer_id)
+        GROUP BY c.state, o.order_status
+        """
+    )
+
+
+@query
+def saved_marts(s: Study) -> DataFrame:
+    """Two marts written, partitioned by month or not, and read back joined to the calendar."""
+    place = new_place(s.spark, "marts")
+    tables.save_tables(
+        {"mart_monthly": s.mart_monthly, "dim_sellers": model.dim_sellers(s.sellers)},
+        place,
+        partition_by={"dim_sellers": ["state"]},
     )
+    saved = tables.open_tables(s.spark, place, ["mart_monthly", "dim_sellers"])
+    sellers_known = saved["dim_sellers"].agg(F.count(F.lit(1)))
+    return saved["mart_monthly"].select("month", "orders", "gmv", sellers_known.scalar().alias("sellers"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parcelwise import shaping
 from parcelwise.plans import delivery, marts, model, promise, repeat, rolling, sellers, staging
-from parcelwise.session import tune
+from parcelwise.session import materialised, tune
 from workload import params as p
 
 
@@ -67,6 +67,11 @@ class Study:
     def timeline(self) -> DataFrame:
         return model.order_timeline(self.orders, self.customers)
 
+    @cached_property
+    def measured(self) -> DataFrame:
+        """What analyses of delays and buyers start from."""
+        return self.timeline
+
     @cached_property
     def sequence(self) -> DataFrame:
         return model.customer_order_sequence(self.timeline)
@@ -89,9 +94,9 @@ class Study:
 
     @cached_property
     def routed(self) -> DataFrame:
-        """Orders with items, reviews and seller state: what routes and first orders need."""
+        """Orders with amounts, only seller and its state, and review: all but payments and ranks."""
         return model.with_seller_state(
-            model.with_reviews(model.with_items(self.timeline, self.items), self.reviews), self.sellers
+            model.with_reviews(model.with_single_seller(self.timeline, self.items), self.reviews), self.sellers
         )
 
     @cached_property
@@ -102,12 +107,16 @@ class Study:
     def route_delays(self) -> DataFrame:
         """As ``routed_delivered``, without reviews."""
         return delivery.with_delay_bucket(
-            model.with_seller_state(model.with_items(self.timeline, self.items), self.sellers)
+            model.with_seller_state(model.with_single_seller(self.timeline, self.items), self.sellers)
         )
 
+    @cached_property
+    def paid(self) -> DataFrame:
+        return model.with_payments(model.with_single_seller(self.timeline, self.items), self.payments)
+
     @cached_property
     def dim_customers(self) -> DataFrame:
-        return model.dim_customers(self.customers, self.timeline)
+        return model.dim_customers(self.customers, self.measured)
 
     @cached_property
     def mart_delivery_promise(self) -> DataFrame:
@@ -120,12 +129,15 @@ class Study:
     @cached_property
     def first_orders(self) -> DataFrame:
         """First orders without the columns that would need items or reviews."""
-        return marts.mart_first_orders(self.timeline, p.DATA_END, p.REPEAT_DAYS)
+        return marts.mart_first_orders(self.measured, p.DATA_END, p.REPEAT_DAYS)
+
+    @cached_property
+    def valued(self) -> DataFrame:
+        return model.with_reviews(model.with_single_seller(self.timeline, self.items), self.reviews)
 
     @cached_property
     def mart_monthly(self) -> DataFrame:
-        valued = model.with_reviews(model.with_items(self.timeline, self.items), self.reviews)
-        return marts.mart_monthly(valued, self.timeline, p.PARTIAL_MONTH)
+        return marts.mart_monthly(self.valued, self.measured, p.PARTIAL_MONTH)
 
     @cached_property
     def mart_seller_delivery(self) -> DataFrame:
@@ -145,7 +157,7 @@ class Study:
 
     @cached_property
     def handover(self) -> DataFrame:
-        return sellers.handover(self.timeline, self.items_with_limit)
+        return sellers.handover(self.measured, self.items_with_limit)
 
     @cached_property
     def handover_summary(self) -> DataFrame:
@@ -153,7 +165,7 @@ class Study:
 
     @cached_property
     def seller_excess(self) -> DataFrame:
-        return sellers.seller_excess(self.items, self.timeline, self.sellers)
+        return sellers.seller_excess(self.items, self.measured, self.sellers)
 
     @cached_property
     def flagged_sellers(self) -> DataFrame:
@@ -167,23 +179,30 @@ class Study:
 
     @cached_property
     def seller_concentration(self) -> DataFrame:
-        return sellers.seller_concentration(self.seller_excess, p.LATE_SHARE, slices=8)
+        return sellers.seller_concentration(self.seller_excess, p.LATE_SHARE)
 
     @cached_property
-    def bad_rates(self) -> DataFrame:
-        return promise.bad_rate_table(self.reviewed_delivered, p.CUTOFF)
+    def cells(self) -> DataFrame:
+        """Backtest cells with review counts, written once."""
+        return materialised(promise.promise_cells(self.routed_delivered, p.CUTOFF))
 
     @cached_property
-    def calibrated(self) -> DataFrame:
-        return promise.calibrate_routes(self.route_delays, p.CUTOFF, p.QUANTILE)
+    def bad_rates(self) -> DataFrame:
+        return promise.bad_rate_table(self.cells)
 
     @cached_property
-    def global_q(self) -> DataFrame:
-        return promise.global_quantile(delivery.with_delay_bucket(self.timeline), p.CUTOFF, p.QUANTILE)
+    def calibrated(self) -> DataFrame:
+        return promise.calibrate_routes(self.cells, p.QUANTILE)
 
     @cached_property
-    def cells(self) -> DataFrame:
-        return promise.holdout_cells(self.routed_delivered, p.CUTOFF)
+    def backtest(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """Holdout cells, calibrated routes, global quantile, bad-review rates."""
+        return (
+            promise.holdout_cells(self.cells),
+            self.calibrated,
+            promise.global_quantile(self.cells, p.QUANTILE),
+            self.bad_rates,
+        )
 
     @cached_property
     def risky(self):
@@ -195,54 +214,31 @@ class Study:
             "route_quantile": promise.quantile_promise(p.RISKY_MIN_ORDERS),
             f"risky_routes_plus_{p.MARGIN}": promise.margin_promise(self.risky, p.MARGIN),
         }
-        return promise.evaluate_policies(self.cells, self.calibrated, self.global_q, self.bad_rates, rules)
+        return promise.evaluate_policies(*self.backtest, rules)
 
     @cached_property
     def cited_policy(self) -> DataFrame:
         return promise.evaluate_policy(
-            f"risky_routes_plus_{p.MARGIN}",
-            promise.margin_promise(self.risky, p.MARGIN),
-            self.cells,
-            self.calibrated,
-            self.global_q,
-            self.bad_rates,
+            f"risky_routes_plus_{p.MARGIN}", promise.margin_promise(self.risky, p.MARGIN), *self.backtest
         )
 
     @cached_property
     def margin_grid(self) -> DataFrame:
-        return promise.margin_grid(self.cells, self.calibrated, self.global_q, self.bad_rates, self.risky)
+        return promise.margin_grid(*self.backtest, self.risky)
 
-    @cached_property
-    def delivery_histogram(self) -> DataFrame:
-        return rolling.delivery_histogram(delivery.with_delay_bucket(self.timeline))
-
-    @cached_property
-    def rolling_by_state(self) -> DataFrame:
+    def rolling(self, cells: DataFrame, by: tuple[str, ...]) -> DataFrame:
         return rolling.rolling_quantile(
-            self.delivery_histogram,
-            p.ROLLING_START,
-            p.ROLLING_END,
-            window_days=p.ROLLING_DAYS,
-            p=p.QUANTILE,
-        )
-
-    @cached_property
-    def rolling_all(self) -> DataFrame:
-        return rolling.rolling_quantile(
-            self.delivery_histogram,
-            p.ROLLING_START,
-            p.ROLLING_END,
-            by=(),
-            window_days=p.ROLLING_DAYS,
-            p=p.QUANTILE,
+            cells, p.ROLLING_START, p.ROLLING_END, by=by, window_days=p.ROLLING_DAYS, p=p.QUANTILE
         )
 
     @cached_property
     def rolling_policy(self) -> DataFrame:
+        cells = materialised(rolling.delivery_cells(self.route_delays))
         return rolling.evaluate_rolling_policy(
-            promise.holdout(self.route_delays, p.CUTOFF),
-            self.rolling_all,
-            self.rolling_by_state,
+            cells,
+            self.rolling(cells, ()),
+            self.rolling(cells, ("customer_state",)),
+            p.CUTOFF,
             p.ROLLING_MIN_DELIVERIES,
             p.FOCUS_MONTH,
         )
@@ -254,3 +250,27 @@ class Study:
     @cached_property
     def standardised_repeat(self) -> DataFrame:
         return repeat.state_standardised_repeat(self.first_orders, p.MIN_LATE)
+
+
+class StoredStudy(Study):
+    """A study over a written order fact: for results that read the orders several times."""
+
+    @cached_property
+    def routed(self) -> DataFrame:
+        return materialised(super().routed)
+
+    @cached_property
+    def measured(self) -> DataFrame:
+        return self.routed
+
+    @cached_property
+    def valued(self) -> DataFrame:
+        return self.routed
+
+    @cached_property
+    def reviewed(self) -> DataFrame:
+        return self.routed
+
+    @cached_property
+    def route_delays(self) -> DataFrame:
+        return self.routed_delivered
