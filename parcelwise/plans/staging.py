@@ -32,25 +32,25 @@ def stg_orders(raw: DataFrame) -> DataFrame:
     )
 
 
-def stg_order_items(raw: DataFrame) -> DataFrame:
+def stg_order_items(raw: DataFrame, money: str = MONEY) -> DataFrame:
     return raw.select(
         "order_id",
         _typed("order_item_id", "int"),
         "product_id",
         "seller_id",
         _typed("shipping_limit_date", MOMENT, "shipping_limit_at"),
-        _typed("price", MONEY),
-        _typed("freight_value", MONEY),
+        _typed("price", money),
+        _typed("freight_value", money),
     )
 
 
-def stg_order_payments(raw: DataFrame) -> DataFrame:
+def stg_order_payments(raw: DataFrame, money: str = MONEY) -> DataFrame:
     return raw.select(
         "order_id",
         _typed("payment_sequential", "int"),
         "payment_type",
         _typed("payment_installments", "int"),
-        _typed("payment_value", MONEY),
+        _typed("payment_value", money),
     )
 
 

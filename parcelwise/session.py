@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 # sizes, and splits skewed join partitions even where that costs one more exchange.
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",

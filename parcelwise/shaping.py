@@ -14,25 +14,34 @@ from parcelwise.functions import days_between
 AMOUNT = "decimal(12,2)"
 
 
-def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+class DriverTables:
+    """The driver's tables in one folder; each is opened once."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self._open: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._open:
+            self._open[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._open[name]
 
 
 def _plus_days(moment: str, days: Column) -> Column:
     return F.timestamp_add("DAY", days.cast("int"), F.col(moment))
 
 
-def _places(spark: SparkSession, folder: str) -> DataFrame:
+def _places(source: DriverTables) -> DataFrame:
     """Nation key, nation name and region name."""
-    nation, region = _read(spark, folder, "nation"), _read(spark, folder, "region")
+    nation, region = source["nation"], source["region"]
     return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.col("n_nationkey").alias("_nation"), F.col("n_name").alias("city"), F.upper("r_name").alias("state")
     )
 
 
-def orders(spark: SparkSession, folder: str) -> DataFrame:
+def orders(source: DriverTables) -> DataFrame:
     spans = (
-        _read(spark, folder, "lineitem")
+        source["lineitem"]
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
         .agg(F.min("l_shipdate").alias("_first_ship"), F.max("l_shipdate").alias("_last_ship"))
     )
@@ -41,7 +50,7 @@ def orders(spark: SparkSession, folder: str) -> DataFrame:
     preparation = F.abs(days_between("o_orderdate", "_first_ship")) % 20
     patience = 10 + 5 * F.substring("o_orderpriority", 1, 1).cast("int")
     return (
-        _read(spark, folder, "orders")
+        source["orders"]
         .join(spans, "o_orderkey", "left")
         .select(
             F.col("o_orderkey").alias("order_id"),
@@ -56,13 +65,13 @@ def orders(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def customers(spark: SparkSession, folder: str) -> DataFrame:
+def customers(source: DriverTables) -> DataFrame:
     """One customer_id per order, as in the source; the person is the customer key."""
-    people = _read(spark, folder, "customer").join(
-        _places(spark, folder), F.col("c_nationkey") == F.col("_nation")
+    people = source["customer"].join(
+        _places(source), F.col("c_nationkey") == F.col("_nation")
     )
     return (
-        _read(spark, folder, "orders")
+        source["orders"]
         .join(people, F.col("o_custkey") == F.col("c_custkey"))
         .select(
             F.col("o_orderkey").alias("customer_id"),
@@ -74,10 +83,10 @@ def customers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def sellers(spark: SparkSession, folder: str) -> DataFrame:
+def sellers(source: DriverTables) -> DataFrame:
     return (
-        _read(spark, folder, "supplier")
-        .join(_places(spark, folder), F.col("s_nationkey") == F.col("_nation"))
+        source["supplier"]
+        .join(_places(source), F.col("s_nationkey") == F.col("_nation"))
         .select(
             F.col("s_suppkey").alias("seller_id"),
             F.col("s_nationkey").cast("string").alias("zip_prefix"),
@@ -87,9 +96,9 @@ def sellers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def raw_products(spark: SparkSession, folder: str) -> DataFrame:
+def raw_products(source: DriverTables) -> DataFrame:
     """One category is blanked to exercise the fallback."""
-    return _read(spark, folder, "part").select(
+    return source["part"].select(
         F.col("p_partkey").alias("product_id"),
         F.nullif(F.col("p_type"), F.lit("ECONOMY")).alias("product_category_name"),
         F.col("p_size").cast("string").alias("product_weight_g"),
@@ -97,10 +106,10 @@ def raw_products(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def category_translation(spark: SparkSession, folder: str) -> DataFrame:
+def category_translation(source: DriverTables) -> DataFrame:
     """Lower-case names for all categories but one, which stays untranslated."""
     return (
-        _read(spark, folder, "part")
+        source["part"]
         .where(F.col("p_type") != "PROMO")
         .select(F.col("p_type").alias("product_category_name"), F.lower("p_type").alias("product_category_name_english"))
         .distinct()
@@ -120,20 +129,20 @@ def _items(lines: DataFrame, *more: Column) -> DataFrame:
     )
 
 
-def items(spark: SparkSession, folder: str) -> DataFrame:
+def items(source: DriverTables) -> DataFrame:
     """Order lines without the shipping limit, which alone would need the orders."""
-    return _items(_read(spark, folder, "lineitem"))
+    return _items(source["lineitem"])
 
 
-def items_with_limit(spark: SparkSession, folder: str) -> DataFrame:
-    dates = _read(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
-    lines = _read(spark, folder, "lineitem").join(dates, "l_orderkey", "left")
+def items_with_limit(source: DriverTables) -> DataFrame:
+    dates = source["orders"].select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    lines = source["lineitem"].join(dates, "l_orderkey", "left")
     return _items(lines, _plus_days("o_orderdate", 3 + F.col("l_linenumber")).alias("shipping_limit_at"))
 
 
-def payments(spark: SparkSession, folder: str) -> DataFrame:
+def payments(source: DriverTables) -> DataFrame:
     """One payment per order with lines; every fiftieth order is ten cents off."""
-    totals = items(spark, folder).groupBy("order_id").agg(F.sum(F.col("price") + F.col("freight_value")).alias("_due"))
+    totals = items(source).groupBy("order_id").agg(F.sum(F.col("price") + F.col("freight_value")).alias("_due"))
     off = F.when(F.col("order_id") % 50 == 0, F.lit("0.10")).otherwise(F.lit("0.00")).cast("decimal(4,2)")
     return totals.select(
         "order_id",
@@ -145,16 +154,21 @@ def payments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _padded(column: str, width: int) -> Column:
-    return F.lpad(F.col(column).cast("bigint").cast("string"), width, "0")
+    """Digits after a leading 1: text order is number order for values below 10^width."""
+    return (F.col(column).cast("bigint") + F.lit(10**width)).cast("string")
+
+
+def _review_id() -> Column:
+    return F.concat_ws(
+        "-", _padded("l_linenumber", 9), _padded("l_partkey", 15), _padded("l_suppkey", 15), _padded("l_quantity", 9)
+    )
 
 
-def raw_reviews(spark: SparkSession, folder: str) -> DataFrame:
+def raw_reviews(source: DriverTables) -> DataFrame:
     """One review per line, as text; the id is padded so that its text order is total and numeric."""
     moment = F.col("l_shipdate").cast("string")
-    return _read(spark, folder, "lineitem").select(
-        F.concat_ws(
-            "-", _padded("l_linenumber", 3), _padded("l_partkey", 12), _padded("l_suppkey", 12), _padded("l_quantity", 4)
-        ).alias("review_id"),
+    return source["lineitem"].select(
+        _review_id().alias("review_id"),
         F.col("l_orderkey").alias("order_id"),
         (1 + F.col("l_quantity").cast("int") % 5).cast("string").alias("review_score"),
         F.lit("").alias("review_comment_title"),
@@ -166,14 +180,12 @@ def raw_reviews(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def reviews(spark: SparkSession, folder: str) -> DataFrame:
+def reviews(source: DriverTables) -> DataFrame:
     """``raw_reviews`` already typed: the same rows as staging gives, without the way through text."""
     shown = F.when(F.col("l_returnflag") != "N", F.col("l_returnflag"))
-    return _read(spark, folder, "lineitem").select(
+    return source["lineitem"].select(
         F.col("l_orderkey").alias("order_id"),
-        F.concat_ws(
-            "-", _padded("l_linenumber", 3), _padded("l_partkey", 12), _padded("l_suppkey", 12), _padded("l_quantity", 4)
-        ).alias("review_id"),
+        _review_id().alias("review_id"),
         (1 + F.col("l_quantity").cast("int") % 5).alias("review_score"),
         F.lit(None).cast("string").alias("review_title"),
         shown.alias("review_message"),
@@ -182,63 +194,97 @@ def reviews(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def raw_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """All raw tables as text under the raw column names, as CSV files would carry them."""
-    o, i, p = orders(spark, folder), items_with_limit(spark, folder), payments(spark, folder)
-    c, s = customers(spark, folder), sellers(spark, folder)
+def _text(df: DataFrame, **columns: Column | str) -> DataFrame:
+    return df.select(
+        *[(F.col(c) if isinstance(c, str) else c).cast("string").alias(name) for name, c in columns.items()]
+    )
 
-    def text(df: DataFrame, **columns: Column | str) -> DataFrame:
-        return df.select(
-            *[(F.col(c) if isinstance(c, str) else c).cast("string").alias(name) for name, c in columns.items()]
-        )
 
-    products = raw_products(spark, folder)
-    return {
-        "orders": text(
-            o,
-            order_id="order_id",
-            customer_id="customer_id",
-            order_status="order_status",
-            order_purchase_timestamp="purchased_at",
-            order_approved_at="approved_at",
-            order_delivered_carrier_date="shipped_at",
-            order_delivered_customer_date="delivered_at",
-            order_estimated_delivery_date=F.concat(F.col("estimated_delivery_date").cast("string"), F.lit(" 00:00:00")),
-        ),
-        "order_items": text(
-            i,
-            order_id="order_id",
-            order_item_id="order_item_id",
-            product_id="product_id",
-            seller_id="seller_id",
-            shipping_limit_date="shipping_limit_at",
-            price="price",
-            freight_value="freight_value",
-        ),
-        "order_payments": text(p, **{name: name for name in p.columns}),
-        "order_reviews": text(raw_reviews(spark, folder), **{n: n for n in raw_reviews(spark, folder).columns}),
-        "customers": text(
-            c,
-            customer_id="customer_id",
-            customer_unique_id="customer_unique_id",
-            customer_zip_code_prefix="zip_prefix",
-            customer_city="city",
-            customer_state=F.lower("state"),
-        ),
-        "sellers": text(
-            s, seller_id="seller_id", seller_zip_code_prefix="zip_prefix", seller_city="city", seller_state=F.lower("state")
-        ),
-        "products": text(
-            products,
-            product_id="product_id",
-            product_category_name="product_category_name",
-            product_name_lenght=F.lit(None),
-            product_description_lenght=F.lit(None),
-            product_photos_qty="product_photos_qty",
-            product_weight_g="product_weight_g",
-            product_length_cm=F.lit(None),
-            product_height_cm=F.lit(None),
-            product_width_cm=F.lit(None),
-        ),
-        "category_translation": category_translation(spark, folder),
-    }
+def _raw_orders(source: DriverTables) -> DataFrame:
+    return _text(
+        orders(source),
+        order_id="order_id",
+        customer_id="customer_id",
+        order_status="order_status",
+        order_purchase_timestamp="purchased_at",
+        order_approved_at="approved_at",
+        order_delivered_carrier_date="shipped_at",
+        order_delivered_customer_date="delivered_at",
+        order_estimated_delivery_date=F.concat(F.col("estimated_delivery_date").cast("string"), F.lit(" 00:00:00")),
+    )
+
+
+def _raw_order_items(source: DriverTables) -> DataFrame:
+    return _text(
+        items_with_limit(source),
+        order_id="order_id",
+        order_item_id="order_item_id",
+        product_id="product_id",
+        seller_id="seller_id",
+        shipping_limit_date="shipping_limit_at",
+        price="price",
+        freight_value="freight_value",
+    )
+
+
+def _raw_order_payments(source: DriverTables) -> DataFrame:
+    paid = payments(source)
+    return _text(paid, **{name: name for name in paid.columns})
+
+
+def _raw_order_reviews(source: DriverTables) -> DataFrame:
+    written = raw_reviews(source)
+    return _text(written, **{name: name for name in written.columns})
+
+
+def _raw_customers(source: DriverTables) -> DataFrame:
+    return _text(
+        customers(source),
+        customer_id="customer_id",
+        customer_unique_id="customer_unique_id",
+        customer_zip_code_prefix="zip_prefix",
+        customer_city="city",
+        customer_state=F.lower("state"),
+    )
+
+
+def _raw_sellers(source: DriverTables) -> DataFrame:
+    return _text(
+        sellers(source),
+        seller_id="seller_id",
+        seller_zip_code_prefix="zip_prefix",
+        seller_city="city",
+        seller_state=F.lower("state"),
+    )
+
+
+def _raw_products(source: DriverTables) -> DataFrame:
+    return _text(
+        raw_products(source),
+        product_id="product_id",
+        product_category_name="product_category_name",
+        product_name_lenght=F.lit(None),
+        product_description_lenght=F.lit(None),
+        product_photos_qty="product_photos_qty",
+        product_weight_g="product_weight_g",
+        product_length_cm=F.lit(None),
+        product_height_cm=F.lit(None),
+        product_width_cm=F.lit(None),
+    )
+
+
+RAW_TABLES = {
+    "orders": _raw_orders,
+    "order_items": _raw_order_items,
+    "order_payments": _raw_order_payments,
+    "order_reviews": _raw_order_reviews,
+    "customers": _raw_customers,
+    "sellers": _raw_sellers,
+    "products": _raw_products,
+    "category_translation": category_translation,
+}
+
+
+def raw_table(source: DriverTables, name: str) -> DataFrame:
+    """A raw table as text under the raw column names, as a CSV file would carry it."""
+    return RAW_TABLES[name](source)

@@ -30,3 +30,5 @@ IMPOSSIBLE_ALLOWED = 189
 MISMATCH_ALLOWED = 260
 ROUTE_STATE = "ASIA"
 HOT_ROUTE_RATE = 0.42
+# One payment covers a whole order, so it can be larger than any single price.
+PAYMENT_TYPE = "decimal(20,2)"

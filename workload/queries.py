@@ -42,37 +42,37 @@ def registered() -> dict[str, Query]:
 
 @query
 def stg_orders(s: Study) -> DataFrame:
-    return staging.stg_orders(s.raw["orders"])
+    return staging.stg_orders(s.raw("orders"))
 
 
 @query
 def stg_order_items(s: Study) -> DataFrame:
-    return staging.stg_order_items(s.raw["order_items"])
+    return staging.stg_order_items(s.raw("order_items"))
 
 
 @query
 def stg_order_payments(s: Study) -> DataFrame:
-    return staging.stg_order_payments(s.raw["order_payments"])
+    return staging.stg_order_payments(s.raw("order_payments"), p.PAYMENT_TYPE)
 
 
 @query
 def stg_customers(s: Study) -> DataFrame:
-    return staging.stg_customers(s.raw["customers"])
+    return staging.stg_customers(s.raw("customers"))
 
 
 @query
 def stg_sellers(s: Study) -> DataFrame:
-    return staging.stg_sellers(s.raw["sellers"])
+    return staging.stg_sellers(s.raw("sellers"))
 
 
 @query
 def stg_products(s: Study) -> DataFrame:
-    return staging.stg_products(s.raw["products"], s.raw["category_translation"])
+    return staging.stg_products(s.raw("products"), s.raw("category_translation"))
 
 
 @query
 def stg_order_reviews(s: Study) -> DataFrame:
-    return staging.stg_order_reviews(s.raw["order_reviews"])
+    return staging.stg_order_reviews(s.raw("order_reviews"))
 
 
 # Model.
@@ -506,9 +506,9 @@ def publication_date(s: Study) -> DataFrame:
 def _csv_files(s: Study) -> dict[str, str]:
     """The raw tables written as CSV text into a new shared place."""
     base = new_place(s.spark, "csv")
-    for table, df in s.raw.items():
-        df.write.option("header", True).option("escape", '"').csv(f"{base}/{table}")
-    return {table: f"{base}/{table}/*.csv" for table in s.raw}
+    for table in s.raw_names:
+        s.raw(table).write.option("header", True).option("escape", '"').csv(f"{base}/{table}")
+    return {table: f"{base}/{table}/*.csv" for table in s.raw_names}
 
 
 @query
@@ -521,7 +521,7 @@ def csv_to_orders(s: Study) -> DataFrame:
     return model.enriched_orders(
         timeline,
         staging.stg_order_items(landed["order_items"]),
-        staging.stg_order_payments(landed["order_payments"]),
+        staging.stg_order_payments(landed["order_payments"], p.PAYMENT_TYPE),
         staging.stg_order_reviews(landed["order_reviews"]),
     )
 
@@ -543,7 +543,8 @@ def load_manifest(s: Study) -> DataFrame:
 def row_counts(s: Study) -> DataFrame:
     """Rows and columns per shaped source relation."""
     counts = None
-    for name, df in s.raw.items():
+    for name in s.raw_names:
+        df = s.raw(name)
         width = raw.describe(df).agg(F.count(F.lit(1)))
         one = df.agg(F.count(F.lit(1)).alias("rows")).select(
             F.lit(name).alias("source"), "rows", width.scalar().alias("columns")

@@ -16,48 +16,49 @@ class Study:
     """Lazy relations; a property is a plan, not a result."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = tune(spark), folder
+        self.spark = tune(spark)
+        self.source = shaping.DriverTables(spark, folder)
 
-    def _shaped(self, relation) -> DataFrame:
-        return relation(self.spark, self.folder)
+    def raw(self, table: str) -> DataFrame:
+        return shaping.raw_table(self.source, table)
 
-    @cached_property
-    def raw(self) -> dict[str, DataFrame]:
-        return self._shaped(shaping.raw_tables)
+    @property
+    def raw_names(self) -> list[str]:
+        return list(shaping.RAW_TABLES)
 
     @cached_property
     def orders(self) -> DataFrame:
-        return self._shaped(shaping.orders)
+        return shaping.orders(self.source)
 
     @cached_property
     def customers(self) -> DataFrame:
-        return self._shaped(shaping.customers)
+        return shaping.customers(self.source)
 
     @cached_property
     def sellers(self) -> DataFrame:
-        return self._shaped(shaping.sellers)
+        return shaping.sellers(self.source)
 
     @cached_property
     def products(self) -> DataFrame:
         return staging.stg_products(
-            self._shaped(shaping.raw_products), self._shaped(shaping.category_translation)
+            shaping.raw_products(self.source), shaping.category_translation(self.source)
         )
 
     @cached_property
     def items(self) -> DataFrame:
-        return self._shaped(shaping.items)
+        return shaping.items(self.source)
 
     @cached_property
     def items_with_limit(self) -> DataFrame:
-        return self._shaped(shaping.items_with_limit)
+        return shaping.items_with_limit(self.source)
 
     @cached_property
     def payments(self) -> DataFrame:
-        return self._shaped(shaping.payments)
+        return shaping.payments(self.source)
 
     @cached_property
     def all_reviews(self) -> DataFrame:
-        return self._shaped(shaping.reviews)
+        return shaping.reviews(self.source)
 
     @cached_property
     def reviews(self) -> DataFrame:
