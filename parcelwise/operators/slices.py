@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.operators.hotkeys import HotKeys, find_hot_keys
-from parcelwise.session import checkpointed
+from parcelwise.session import checkpointed, materialised
 
 ROWS_PER_SLICE = 2_000_000
 MAX_SLICES = 20_000
@@ -122,9 +122,12 @@ def ranked_sequence(
     """Row number per ``key`` in ``order`` (nulls last) and the next row's value of the first order column.
 
     Usual keys take one window. Keys with a noticeable share of all rows are cut into slices, so no task ever
-    holds one of them whole. ``order`` must be unique within a key.
+    holds one of them whole. ``order`` must be unique within a key. Unless the hot keys are given, ``df`` is
+    written once and searched for them, so that whatever it is made of runs once.
     """
-    hot = find_hot_keys(df, key, floor=hot_floor) if hot is None else hot
+    if hot is None:
+        df = materialised(df)
+        hot = find_hot_keys(df, key, floor=hot_floor)
     if not hot:
         return _ranked_whole(df, key, order, rank, following)
     usual = _ranked_whole(df.where(~hot.contains()), key, order, rank, following)

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelwise.plans import delivery, model, promise, publish, quality, rolling, routes, sellers, staging
 from parcelwise.session import materialised, new_place
 from parcelwise.sources import calendar, manifest, raw, tables
 from workload import params as p
-from workload.study import StoredStudy, Study
+from workload.study import BuiltStudy, ReportedStudy, StoredStudy, Study
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Callable[[Study], DataFrame]] = {}
-STORED: set[str] = set()
+STUDIES: dict[str, type[Study]] = {}
 
 
 def query(build: Callable[[Study], DataFrame]) -> Callable[[Study], DataFrame]:
@@ -25,13 +25,25 @@ def query(build: Callable[[Study], DataFrame]) -> Callable[[Study], DataFrame]:
 
 def stored_query(build: Callable[[Study], DataFrame]) -> Callable[[Study], DataFrame]:
     """A query that reads the order fact more than once, and therefore from a written table."""
-    STORED.add(build.__name__)
+    STUDIES[build.__name__] = StoredStudy
+    return query(build)
+
+
+def reported_query(build: Callable[[Study], DataFrame]) -> Callable[[Study], DataFrame]:
+    """A query over the results of the analyses, each of them written first."""
+    STUDIES[build.__name__] = ReportedStudy
+    return query(build)
+
+
+def built_query(build: Callable[[Study], DataFrame]) -> Callable[[Study], DataFrame]:
+    """A query over all relations, each written first."""
+    STUDIES[build.__name__] = BuiltStudy
     return query(build)
 
 
 def registered() -> dict[str, Query]:
     def bound(build: Callable[[Study], DataFrame]) -> Query:
-        study = StoredStudy if build.__name__ in STORED else Study
+        study = STUDIES.get(build.__name__, Study)
         return lambda spark, folder: build(study(spark, folder))
 
     return {name: bound(build) for name, build in REGISTRY.items()}
@@ -319,7 +331,7 @@ def state_standardised_repeat(s: Study) -> DataFrame:
 # Quality.
 
 
-@stored_query
+@query
 def pitfall_counts(s: Study) -> DataFrame:
     return quality.pitfall_counts(s.orders, s.customers, s.all_reviews, s.paid, s.mart_monthly, p.TOLERANCE)
 
@@ -377,28 +389,27 @@ def expect_payments_match_items(s: Study) -> DataFrame:
     return quality.payments_match_items(s.paid, p.TOLERANCE)
 
 
-@stored_query
+@built_query
 def expectation_report(s: Study) -> DataFrame:
     """All checks over written tables, as they run after a build."""
-    people, firsts = materialised(s.dim_customers), materialised(s.first_orders)
-    tables = {
-        "stg_orders": materialised(s.orders),
+    tables_by_name = {
+        "stg_orders": s.orders,
         "stg_order_items": s.items,
-        "stg_order_reviews": materialised(s.reviews),
-        "stg_customers": materialised(s.customers),
+        "stg_order_reviews": s.reviews,
+        "stg_customers": s.customers,
         "stg_sellers": s.sellers,
         "stg_products": s.products,
-        "fct_orders": materialised(model.with_payments(s.routed, s.payments)),
+        "fct_orders": s.paid,
         "fct_order_items": s.items,
-        "dim_customers": people,
+        "dim_customers": s.dim_customers,
         "dim_sellers": model.dim_sellers(s.sellers),
         "dim_products": model.dim_products(s.products),
-        "mart_first_orders": firsts,
-        "mart_seller_delivery": materialised(s.mart_seller_delivery),
-        "mart_monthly": materialised(s.mart_monthly),
+        "mart_first_orders": s.first_orders,
+        "mart_seller_delivery": s.mart_seller_delivery,
+        "mart_monthly": s.mart_monthly,
     }
     return quality.expectation_report(
-        quality.study_expectations(tables, p.IMPOSSIBLE_ALLOWED, p.MISMATCH_ALLOWED)
+        quality.study_expectations(tables_by_name, p.IMPOSSIBLE_ALLOWED, p.MISMATCH_ALLOWED)
     )
 
 
@@ -409,43 +420,69 @@ def monthly_metrics(months: DataFrame) -> DataFrame:
     return publish.metric_rows(months, "monthly", F.col("month"), [F.col("month").asc_nulls_last()])
 
 
+def _ascending(*columns: str) -> list[Column]:
+    return [F.col(c).asc_nulls_last() for c in columns]
+
+
+def derived(s: Study) -> DataFrame:
+    return publish.derived_figures(
+        s.delay_vs_promise,
+        s.bad_review_timing,
+        s.handover_summary,
+        s.seller_concentration,
+        s.excess_summary,
+        s.cited_policy,
+        min_late_orders=p.RATIO_MIN_LATE,
+    )
+
+
 def study_metrics(s: Study) -> DataFrame:
-    """The long metrics table over the report results."""
-    metrics = publish.metric_rows(delivery.scope_summary(s.reviewed), "scope")
-    for part in (
+    """Every figure of the study as one long table."""
+    route = F.concat_ws(" ", "seller_state", "customer_state")
+    delay_class = F.concat_ws(" ", "bucket", F.col("is_late").cast("string"))
+    routes_by_size = [F.col("orders").desc_nulls_last(), *_ascending("seller_state", "customer_state")]
+    sections = [
+        publish.metric_rows(delivery.scope_summary(s.reviewed), "scope"),
         monthly_metrics(s.monthly_promise),
+        publish.metric_rows(s.delay_vs_promise, "delay_vs_promise", delay_class, _ascending("bucket", "is_late")),
         publish.metric_rows(s.bad_review_timing, "bad_reviews"),
+        publish.metric_rows(s.handover_summary, "handover"),
+        publish.metric_rows(s.seller_concentration, "sellers"),
+        publish.metric_rows(s.excess_summary, "sellers"),
+        publish.metric_rows(s.mart_delivery_promise, "routes", route, routes_by_size),
+        publish.metric_rows(promise.risky_routes(s.calibrated, s.risky), "backtest.risky_routes"),
+        publish.metric_rows(s.policies, "backtest.policies", F.col("policy"), _ascending("policy")),
+        publish.metric_rows(s.margin_grid, "backtest.margins", F.col("margin"), _ascending("margin")),
+        publish.metric_rows(s.rolling_policy, "backtest.rolling"),
         publish.metric_rows(s.repeat_summary, "repeat"),
-    ):
-        metrics = metrics.unionByName(part)
+        publish.metric_rows(s.standardised_repeat, "repeat.state_adjusted"),
+        publish.metric_rows(derived(s), "derived"),
+    ]
+    metrics = sections[0]
+    for section in sections[1:]:
+        metrics = metrics.unionByName(section)
     return metrics
 
 
-@stored_query
+@reported_query
 def metrics_table(s: Study) -> DataFrame:
+    """The whole study in one go: the order fact is built once, every analysis reads it."""
     return study_metrics(s)
 
 
 @stored_query
 def metrics_sink(s: Study) -> DataFrame:
-    """The metrics table written as JSON and read back."""
+    """Metrics written as JSON and read back."""
     path = new_place(s.spark, "metrics")
-    publish.write_metrics(study_metrics(s), path, "json")
+    scope = publish.metric_rows(delivery.scope_summary(s.reviewed), "scope")
+    publish.write_metrics(scope.unionByName(monthly_metrics(s.monthly_promise)), path, "json")
     columns = "section string, key string, ordinal bigint, metric string, value double, text string"
     return s.spark.read.schema(columns).json(path)
 
 
-@stored_query
+@reported_query
 def derived_figures(s: Study) -> DataFrame:
-    return publish.derived_figures(
-        materialised(s.delay_vs_promise),
-        materialised(s.bad_review_timing),
-        s.handover_summary,
-        s.seller_concentration,
-        s.excess_summary,
-        materialised(s.cited_policy),
-        min_late_orders=p.RATIO_MIN_LATE,
-    )
+    return derived(s)
 
 
 def published_pages(metrics: DataFrame) -> DataFrame:

@@ -275,3 +275,80 @@ class StoredStudy(Study):
     @cached_property
     def route_delays(self) -> DataFrame:
         return self.routed_delivered
+
+
+class ReportedStudy(StoredStudy):
+    """A stored study whose results with several readers are written too; they are report-sized."""
+
+    @cached_property
+    def delay_vs_promise(self) -> DataFrame:
+        return materialised(super().delay_vs_promise)
+
+    @cached_property
+    def bad_review_timing(self) -> DataFrame:
+        return materialised(super().bad_review_timing)
+
+    @cached_property
+    def handover_summary(self) -> DataFrame:
+        return materialised(super().handover_summary)
+
+    @cached_property
+    def seller_excess(self) -> DataFrame:
+        return materialised(super().seller_excess)
+
+    @cached_property
+    def seller_concentration(self) -> DataFrame:
+        return materialised(super().seller_concentration)
+
+    @cached_property
+    def excess_summary(self) -> DataFrame:
+        return materialised(super().excess_summary)
+
+    @cached_property
+    def calibrated(self) -> DataFrame:
+        return materialised(super().calibrated)
+
+    @cached_property
+    def cited_policy(self) -> DataFrame:
+        return materialised(super().cited_policy)
+
+
+class BuiltStudy(StoredStudy):
+    """A study after a full build: staging relations, the order fact with payments, and the marts are written."""
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return materialised(super().orders)
+
+    @cached_property
+    def customers(self) -> DataFrame:
+        return materialised(super().customers)
+
+    @cached_property
+    def reviews(self) -> DataFrame:
+        return materialised(super().reviews)
+
+    @cached_property
+    def routed(self) -> DataFrame:
+        """The parent's fact is one more plan here, written together with the payments."""
+        return materialised(model.with_payments(Study.routed.func(self), self.payments))
+
+    @cached_property
+    def paid(self) -> DataFrame:
+        return self.routed
+
+    @cached_property
+    def dim_customers(self) -> DataFrame:
+        return materialised(super().dim_customers)
+
+    @cached_property
+    def first_orders(self) -> DataFrame:
+        return materialised(super().first_orders)
+
+    @cached_property
+    def mart_seller_delivery(self) -> DataFrame:
+        return materialised(super().mart_seller_delivery)
+
+    @cached_property
+    def mart_monthly(self) -> DataFrame:
+        return materialised(super().mart_monthly)
