@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parcelwise.functions import day, days_between
 from parcelwise.operators.hotkeys import HotKeys
@@ -13,19 +14,32 @@ from parcelwise.operators.slices import ranked_sequence
 TOTAL = "decimal(20,2)"
 
 
+def amount_total(df: DataFrame, amount: str) -> Column:
+    """Exact sum of an amount per group.
+
+    Amounts of two decimals and up to 16 digits are added up as whole cents in a long; a decimal sum would
+    exceed 18 digits and go through big-number objects for every row.
+    """
+    kind = df.schema[amount].dataType
+    if isinstance(kind, T.DecimalType) and kind.scale == 2 and kind.precision <= 16:
+        cents = F.sum((F.col(amount) * 100).cast("long"))
+        return (cents * F.lit("0.01").cast("decimal(3,2)")).cast(TOTAL)
+    return F.sum(amount).cast(TOTAL)
+
+
 def order_item_rollup(items: DataFrame) -> DataFrame:
     return items.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("items_count"),
         F.count_distinct("seller_id").alias("sellers_count"),
         F.min("seller_id").alias("any_seller_id"),
-        F.sum("price").cast(TOTAL).alias("items_value"),
-        F.sum("freight_value").cast(TOTAL).alias("freight_value"),
+        amount_total(items, "price").alias("items_value"),
+        amount_total(items, "freight_value").alias("freight_value"),
     )
 
 
 def order_payment_rollup(payments: DataFrame) -> DataFrame:
     return payments.groupBy("order_id").agg(
-        F.sum("payment_value").cast(TOTAL).alias("payment_value"),
+        amount_total(payments, "payment_value").alias("payment_value"),
         F.max("payment_installments").alias("installments"),
     )
 
@@ -39,8 +53,8 @@ def single_seller_rollup(items: DataFrame) -> DataFrame:
     totals = items.groupBy("order_id").agg(
         F.min("seller_id").alias("_first"),
         F.max("seller_id").alias("_last"),
-        F.sum("price").cast(TOTAL).alias("items_value"),
-        F.sum("freight_value").cast(TOTAL).alias("freight_value"),
+        amount_total(items, "price").alias("items_value"),
+        amount_total(items, "freight_value").alias("freight_value"),
     )
     return totals.select(
         "order_id",

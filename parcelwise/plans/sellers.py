@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.functions import days_between, mean_of, ratio, share_true
+from parcelwise.operators.lookups import broadcast_if_small
 from parcelwise.operators.slices import running_totals
 from parcelwise.plans.marts import is_delivered
 from parcelwise.session import materialised
@@ -56,7 +57,7 @@ def _delivered_pairs(items: DataFrame, orders: DataFrame) -> DataFrame:
 
 def order_sellers(items: DataFrame, orders: DataFrame, sellers: DataFrame) -> DataFrame:
     """Delivered order x seller with both states, lateness and score."""
-    states = sellers.select("seller_id", F.col("state").alias("seller_state"))
+    states = broadcast_if_small(sellers.select("seller_id", F.col("state").alias("seller_state")))
     return _delivered_pairs(items, orders).join(states, "seller_id").select(
         "order_id", "seller_id", "seller_state", "customer_state", "is_late", "review_score"
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelwise.operators.lookups import broadcast_if_small
+
 MONEY = "decimal(10,2)"
 MOMENT = "timestamp_ntz"
 
@@ -74,8 +76,11 @@ def stg_sellers(raw: DataFrame) -> DataFrame:
 
 
 def stg_products(raw: DataFrame, translation: DataFrame) -> DataFrame:
-    """Products with the translated category, else the original one, else ``unknown``."""
-    return raw.join(translation, "product_category_name", "left").select(
+    """Products with the translated category, else the original one, else ``unknown``.
+
+    A few categories cover all products, so a shuffle by category would use a few tasks only.
+    """
+    return raw.join(broadcast_if_small(translation), "product_category_name", "left").select(
         "product_id",
         F.col("product_category_name").alias("category_pt"),
         F.coalesce("product_category_name_english", "product_category_name", F.lit("unknown")).alias("category"),

@@ -7,12 +7,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Runtime settings the plans rely on. AQE turns joins with a small side into broadcasts from measured
-# sizes, and splits skewed join partitions even where that costs one more exchange.
+# Runtime settings the plans rely on. From measured sizes, AQE turns joins with a small side into broadcasts,
+# joins whose partitions are all small into hash joins without sorting, and splits skewed join partitions even
+# where that costs one more exchange.
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "32MB",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -20,8 +22,7 @@ RUNTIME_SETTINGS = {
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a running session and return it."""
     for name, value in RUNTIME_SETTINGS.items():
-        if spark.conf.get(name, None) != value:
-            spark.conf.set(name, value)
+        spark.conf.set(name, value)
     return spark
 
 

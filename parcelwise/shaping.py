@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelwise.functions import days_between
+from parcelwise.plans.model import amount_total
 
 AMOUNT = "decimal(12,2)"
 
@@ -67,12 +68,10 @@ def orders(source: DriverTables) -> DataFrame:
 
 def customers(source: DriverTables) -> DataFrame:
     """One customer_id per order, as in the source; the person is the customer key."""
-    people = source["customer"].join(
-        _places(source), F.col("c_nationkey") == F.col("_nation")
-    )
     return (
         source["orders"]
-        .join(people, F.col("o_custkey") == F.col("c_custkey"))
+        .join(source["customer"], F.col("o_custkey") == F.col("c_custkey"))
+        .join(_places(source), F.col("c_nationkey") == F.col("_nation"))
         .select(
             F.col("o_orderkey").alias("customer_id"),
             F.col("o_custkey").alias("customer_unique_id"),
@@ -142,7 +141,10 @@ def items_with_limit(source: DriverTables) -> DataFrame:
 
 def payments(source: DriverTables) -> DataFrame:
     """One payment per order with lines; every fiftieth order is ten cents off."""
-    totals = items(source).groupBy("order_id").agg(F.sum(F.col("price") + F.col("freight_value")).alias("_due"))
+    lines = items(source)
+    totals = lines.groupBy("order_id").agg(
+        (amount_total(lines, "price") + amount_total(lines, "freight_value")).alias("_due")
+    )
     off = F.when(F.col("order_id") % 50 == 0, F.lit("0.10")).otherwise(F.lit("0.00")).cast("decimal(4,2)")
     return totals.select(
         "order_id",

@@ -149,3 +149,12 @@ def test_pruned_copies(frame):
         "weight_g": 1,
         "photos_qty": 2,
     }
+
+
+@pytest.mark.parametrize("kind", ["decimal(10,2)", "decimal(18,2)", "decimal(12,4)"])
+def test_amount_totals_are_exact(frame, kind):
+    values = ["0.01", "99999999.99", "-5.55", "0.10"] * 50
+    df = frame(f"g string, amount {kind}", *[("g", Decimal(v)) for v in values], ("none", None))
+    found = dict(rows(df.groupBy("g").agg(model.amount_total(df, "amount").alias("total"))))
+    assert found == {"g": sum(Decimal(v) for v in values), "none": None}
+    assert df.groupBy("g").agg(model.amount_total(df, "amount").alias("total")).dtypes[1] == ("total", model.TOTAL)

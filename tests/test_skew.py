@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from parcelwise.operators.hotkeys import HotKeys, find_hot_keys
-from parcelwise.operators.lookups import lookup
+from parcelwise.operators.lookups import broadcast_if_small, lookup
 from parcelwise.operators.slices import ranked_sequence, running_totals, slice_count
 
 SCHEMA = "person string, at timestamp_ntz, id string"
@@ -99,7 +99,7 @@ def test_lookup_keeps_rows_without_key_and_spreads_them(spark, frame):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        joined = lookup(facts, sellers, "seller_id", spread_by="order_id")
+        joined = lookup(facts, sellers, "seller_id", spread_by="order_id", max_broadcast_rows=2)
         plan = joined._jdf.queryExecution().executedPlan().toString()
         assert "_slot" in plan.split("SortMergeJoin")[1].split("\n")[0]
         found = dict(rows(joined, "order_id", "seller_state"))
@@ -107,3 +107,13 @@ def test_lookup_keeps_rows_without_key_and_spreads_them(spark, frame):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     states = {"s0": "SP", "s1": "RJ"}
     assert found == {order: states.get(seller) for order, seller in data}
+    small = lookup(facts, sellers, "seller_id", spread_by="order_id", max_broadcast_rows=3)
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+    assert dict(rows(small, "order_id", "seller_state")) == found
+
+
+def test_broadcast_hint_only_within_the_bound(frame):
+    df = frame("k string", ("a",), ("b",))
+    for bound, hinted in ((1, False), (2, True)):
+        plan = broadcast_if_small(df, bound)._jdf.queryExecution().logical().toString()
+        assert ("broadcast" in plan) == hinted

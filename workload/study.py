@@ -292,6 +292,10 @@ class ReportedStudy(StoredStudy):
     def handover_summary(self) -> DataFrame:
         return materialised(super().handover_summary)
 
+    @cached_property
+    def first_orders(self) -> DataFrame:
+        return materialised(super().first_orders)
+
     @cached_property
     def seller_excess(self) -> DataFrame:
         return materialised(super().seller_excess)
