@@ -25,7 +25,7 @@ HEADLINE = """
     scope_summary monthly_promise delay_vs_promise bad_review_timing handover_summary
     seller_excess seller_concentration route_table calibrate_routes evaluate_policy margin_grid
     rolling_quantile_by_state evaluate_rolling_policy repeat_summary state_standardised_repeat
-    pitfall_counts derived_figures expectation_report
+    pitfall_counts derived_figures expectation_report metrics_table
 """.split()
 
 
