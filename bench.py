@@ -10,13 +10,13 @@ import json
 import os
 import statistics
 import sys
-import tempfile
 import time
 
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from parcelwise.session import remove_written  # noqa: E402
 from workload.queries import registered  # noqa: E402
 
 HEADLINE = """
@@ -40,7 +40,6 @@ def main() -> None:
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -56,6 +55,7 @@ def main() -> None:
     for name in names:
         once(name)
         seconds[name] = round(statistics.median(once(name) for _ in range(runs)), 3)
+        remove_written(spark)
     spark.stop()
     print(
         json.dumps(

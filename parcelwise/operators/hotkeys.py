@@ -8,6 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# A key below this number of rows is no burden for one task, whatever its share.
+HOT_FLOOR = 100_000
+
 
 @dataclass(frozen=True)
 class HotKeys:
@@ -28,7 +31,7 @@ class HotKeys:
         return found | key.isNull() if None in self.values else found
 
 
-def find_hot_keys(df: DataFrame, column: str, share: float = 0.002, floor: int = 1_000_000) -> HotKeys:
+def find_hot_keys(df: DataFrame, column: str, share: float = 0.002, floor: int = HOT_FLOOR) -> HotKeys:
     """Keys with at least ``share`` of all rows and at least ``floor`` rows.
 
     One narrow pass with a frequent-items sketch: tasks send sketches of bounded size, the keys themselves

@@ -12,10 +12,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelwise.operators.hotkeys import HotKeys, find_hot_keys
+from parcelwise.operators.hotkeys import HOT_FLOOR, HotKeys, find_hot_keys
 from parcelwise.session import checkpointed, materialised
 
-ROWS_PER_SLICE = 2_000_000
+ROWS_PER_SLICE = 250_000
 MAX_SLICES = 20_000
 
 
@@ -116,7 +116,7 @@ def ranked_sequence(
     rank: str,
     following: str,
     hot: HotKeys | None = None,
-    hot_floor: int = 1_000_000,
+    hot_floor: int = HOT_FLOOR,
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Row number per ``key`` in ``order`` (nulls last) and the next row's value of the first order column.

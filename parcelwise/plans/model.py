@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcelwise.functions import day, days_between
-from parcelwise.operators.hotkeys import HotKeys
+from parcelwise.operators.hotkeys import HOT_FLOOR, HotKeys
 from parcelwise.operators.lookups import lookup
 from parcelwise.operators.slices import ranked_sequence
 
@@ -138,7 +138,7 @@ def enriched_orders(timeline: DataFrame, items: DataFrame, payments: DataFrame,
 
 
 def customer_order_sequence(
-    timeline: DataFrame, hot: HotKeys | None = None, hot_floor: int = 1_000_000
+    timeline: DataFrame, hot: HotKeys | None = None, hot_floor: int = HOT_FLOOR
 ) -> DataFrame:
     """Place of each order of status ``delivered`` in its buyer's history, and the next purchase."""
     bought = timeline.where(F.col("order_status") == "delivered").select(

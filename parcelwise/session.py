@@ -53,9 +53,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_places: list[str] = []
+
+
 def new_place(spark: SparkSession, name: str) -> str:
     """Path of a folder not used before, under the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _places.append(path)
+    return path
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Delete the intermediate tables this process wrote; call it when their readers are done."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while _places:
+        path = hadoop.Path(_places.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialised(df: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import datetime as dt
 import hashlib
+import os
 
 import pytest
 
@@ -68,9 +69,28 @@ def test_day_series_excludes_its_end(spark):
     assert rows(calendar.day_series(spark, dt.date(2018, 1, 1), dt.date(2018, 1, 1))) == []
 
 
-def test_written_tables_go_to_the_named_shared_folder(spark, frame):
-    shared = spark.conf.get("spark.checkpoint.dir")
-    assert session.shared_folder(spark) == shared
+def test_written_tables_go_to_the_shared_folder_and_can_be_removed(spark, frame):
+    shared = session.shared_folder(spark)
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert named is None or shared == named
     written = session.materialised(frame("a int", (1,), (2,)))
-    assert written.inputFiles() and all(shared in path for path in written.inputFiles())
+    files = written.inputFiles()
+    assert files and all(shared.removeprefix("file:") in path for path in files)
     assert sorted(rows(written)) == [(1,), (2,)]
+    session.remove_written(spark)
+    assert not any(os.path.exists(path.removeprefix("file://")) for path in files)
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Context:
+        master = "yarn"
+
+    class Conf:
+        def get(self, name, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(Session())
