@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # A key below this number of rows is no burden for one task, whatever its share.
 HOT_FLOOR = 100_000
 
+MERGE_SLOTS = 256
+
 
 @dataclass(frozen=True)
 class HotKeys:
@@ -35,14 +37,24 @@ def find_hot_keys(df: DataFrame, column: str, share: float = 0.002, floor: int =
     """Keys with at least ``share`` of all rows and at least ``floor`` rows.
 
     One narrow pass with a frequent-items sketch: tasks send sketches of bounded size, the keys themselves
-    are not shuffled. The sketch only routes rows; results never depend on its estimates.
+    are not shuffled. Sketches are merged in two steps, so that no single task receives one from every map
+    task. The sketch only routes rows; results never depend on its estimates.
     """
     wanted = math.ceil(1 / share)
-    tracked = max(10_000, 10 * wanted)
-    seen = df.agg(
-        F.expr(f"approx_top_k(`{column}`, {wanted}, {tracked})").alias("top"),
-        F.count(F.lit(1)).alias("total"),
-    ).first()
+    tracked = 4 * wanted
+    merged = (
+        df.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGE_SLOTS)).alias("_slot"))
+        .agg(
+            F.expr(f"approx_top_k_accumulate(`{column}`, {tracked})").alias("sketch"),
+            F.count(F.lit(1)).alias("total"),
+        )
+        # Grouped, because sketches of no rows at all cannot be combined.
+        .groupBy(F.lit(0).alias("_all"))
+        .agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"), F.sum("total").alias("total"))
+    )
+    seen = merged.select(F.expr(f"approx_top_k_estimate(sketch, {wanted})").alias("top"), "total").first()
+    if seen is None:
+        return HotKeys(column, (), 0)
     least = max(floor, share * seen["total"])
-    hot = [entry for entry in seen["top"] or [] if entry["count"] >= least]
+    hot = [entry for entry in seen["top"] if entry["count"] >= least]
     return HotKeys(column, tuple(entry["item"] for entry in hot), sum(entry["count"] for entry in hot))

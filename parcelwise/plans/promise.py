@@ -146,10 +146,10 @@ def evaluate_policies(
         )
     )
     # bad_rate_table has at most three rows per delay class.
-    lookup = bad_rates.select("bucket", "is_late", "bad_rate")
-    old_rate = F.broadcast(lookup.select("bucket", F.col("is_late").alias("old_late"), F.col("bad_rate").alias("old_rate")))
-    new_rate = F.broadcast(lookup.select("bucket", F.col("is_late").alias("new_late"), F.col("bad_rate").alias("new_rate")))
-    rated = offered.join(old_rate, ["bucket", "old_late"], "left").join(new_rate, ["bucket", "new_late"], "left")
+    rated = offered
+    for which in ("old", "new"):
+        rates = bad_rates.select("bucket", F.col("is_late").alias(f"{which}_late"), F.col("bad_rate").alias(f"{which}_rate"))
+        rated = rated.join(F.broadcast(rates), ["bucket", f"{which}_late"], "left")
 
     def late_share(flag: str) -> Column:
         timed = F.when(F.col(flag).isNotNull(), F.col("orders"))

@@ -56,7 +56,9 @@ def metric_paths(metrics: DataFrame) -> DataFrame:
         metrics.where(F.col("ordinal").isNotNull())
         .groupBy("section")
         .agg(F.count_distinct("ordinal").cast("double").alias("value"))
-        .select(F.concat_ws(".", "section", F.lit("length")).alias("path"), "value", F.lit(None).cast("string").alias("text"))
+        .select(
+            F.concat_ws(".", "section", F.lit("length")).alias("path"), "value", F.lit(None).cast("string").alias("text")
+        )
     )
     return paths.unionByName(lengths)
 
@@ -67,7 +69,9 @@ def write_metrics(metrics: DataFrame, path: str, file_format: str = "parquet") -
 
 def metrics_snapshot_diff(new: DataFrame, old: DataFrame) -> DataFrame:
     """Figures that changed, appeared or vanished between two runs."""
-    left = new.select(*METRIC_KEY, F.col("value").alias("new_value"), F.col("text").alias("new_text"), F.lit(True).alias("_new"))
+    left = new.select(
+        *METRIC_KEY, F.col("value").alias("new_value"), F.col("text").alias("new_text"), F.lit(True).alias("_new")
+    )
     right = old.select(
         *[F.col(c).alias(f"_{c}") for c in METRIC_KEY],
         F.col("value").alias("old_value"),
@@ -223,7 +227,12 @@ def reconcile_published(pages: DataFrame, metrics: DataFrame) -> DataFrame:
     Numbers are compared as numbers: a figure is right when it lies within half a unit of its last decimal.
     A key without a metric and an unknown format are reported too.
     """
-    known = metric_paths(metrics).select(F.col("path").alias("key"), F.col("value").alias("expected"), F.col("text").alias("expected_text"), F.lit(True).alias("_known"))
+    known = metric_paths(metrics).select(
+        F.col("path").alias("key"),
+        F.col("value").alias("expected"),
+        F.col("text").alias("expected_text"),
+        F.lit(True).alias("_known"),
+    )
     text = _plain_text(F.col("shown"))
     scale, half_unit = F.lit(None).cast("double"), F.lit(None).cast("double")
     for code, (factor, decimals) in NUMBER_FORMATS.items():

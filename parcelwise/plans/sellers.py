@@ -50,7 +50,7 @@ def handover_summary(handovers: DataFrame) -> DataFrame:
 
 
 def _delivered_pairs(items: DataFrame, orders: DataFrame) -> DataFrame:
-    """One row per delivered order and seller in it; both-state analyses count such an order once per seller."""
+    """One row per delivered order and seller in it, so an order counts once for each of its sellers."""
     kept = [c for c in ("order_id", "customer_state", "is_late", "review_score") if c in orders.columns]
     return items.select("order_id", "seller_id").distinct().join(orders.where(is_delivered()).select(*kept), "order_id")
 

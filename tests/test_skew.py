@@ -62,6 +62,10 @@ def test_hot_keys_are_found_and_bounded(frame):
     assert inside + df.where(~found.contains()).count() == len(DATA)
 
 
+def test_no_rows_have_no_hot_keys(frame):
+    assert not find_hot_keys(frame(SCHEMA, *DATA).where("id = 'nobody'"), "person", floor=0)
+
+
 def test_automatic_detection_gives_the_same_ranks(frame):
     ranked = ranked_sequence(frame(SCHEMA, *DATA), "person", ["at", "id"], "place", "next_at", hot_floor=100)
     found = {i: (place, following) for i, place, following in rows(ranked, "id", "place", "next_at")}

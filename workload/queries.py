@@ -248,7 +248,9 @@ def route_table_for_state(s: Study) -> DataFrame:
 
 @query
 def bad_rate_table(s: Study) -> DataFrame:
-    return promise.bad_rate_table(promise.promise_cells(s.reviewed_delivered.withColumn("seller_state", F.lit(None)), p.CUTOFF))
+    """Bad-review rates need no routes, so the cells here have none."""
+    unrouted = s.reviewed_delivered.withColumn("seller_state", F.lit(None).cast("string"))
+    return promise.bad_rate_table(promise.promise_cells(unrouted, p.CUTOFF))
 
 
 @query
