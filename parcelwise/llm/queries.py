@@ -7,12 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelwise.llm import bpe, quality_rules, simhash
+from parcelwise.llm import bpe, line_dedup, quality_rules, simhash
 from parcelwise.llm.shared import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without repeated lines: five words, 3 bits, edit similarity 0.8."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.deduplicated(docs).select("doc_id", "_lines.n_lines", "_lines.n_removed", "text")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 3-word shingles, at most 3 differing bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, max_bits=3)
@@ -33,7 +39,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to query."""
-    return {f.__name__: f for f in (op3_simhash, op6_quality_rules, op9_bpe)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_simhash, op6_quality_rules, op9_bpe)}
 
 
 def statements() -> dict[str, str]:
