@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parcelwise.llm import bpe, line_dedup, quality_rules, simhash
+from parcelwise.llm import bpe, line_dedup, mixing, quality_rules, simhash
 from parcelwise.llm.shared import table
 
+# Target shares: the large crawl is held at a quarter, the curated sources share the rest.
+WEIGHTS = {"src0": 0.25} | {f"src{i}": 0.75 / 19 for i in range(1, 20)}
+
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -24,6 +28,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, max_bits=3)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and position of every document in the mix of sources."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    hashed = docs.select("doc_id", F.xxhash64("text").cast("string").alias("text"), "source")
+    return mixing.scheduled(hashed, WEIGHTS).select("doc_id", "source", "_mix.*")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -39,7 +50,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to query."""
-    return {f.__name__: f for f in (op1_line_dedup, op3_simhash, op6_quality_rules, op9_bpe)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_simhash, op5_mixing, op6_quality_rules, op9_bpe)}
 
 
 def statements() -> dict[str, str]:
