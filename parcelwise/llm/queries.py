@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.llm import bpe, line_dedup, mixing, quality_rules, simhash
+from parcelwise.llm import bpe, line_dedup, mixing, quality_rules, simhash, warc
 from parcelwise.llm.shared import table
+from parcelwise.session import new_place
 
 # Target shares: the large crawl is held at a quarter, the curated sources share the rest.
 WEIGHTS = {"src0": 0.25} | {f"src{i}": 0.75 / 19 for i in range(1, 20)}
@@ -43,16 +44,41 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"_quality.{c}" for c in wanted.split()])
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back."""
+    path = warc.write(table(spark, sf_dir, "pages"), new_place(spark, "warc"))
+    found = warc.read(spark, path, payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, as digests."""
     return bpe.token_digests(bpe.encoded(table(spark, sf_dir, "documents"), TOKENIZER))
 
 
+# Base32 by hand: five bytes of the digest are ten hex digits and eight letters.
+OP8 = """
+with p as (
+    select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as sha from pages
+), d as (
+    select html, max(page_id) as original, count(*) as n from p group by html
+)
+select p.page_id,
+       strlen(p.html)::bigint as payload_bytes,
+       array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           ((('0x' || substr(p.sha, (i // 8) * 10 + 1, 10))::bigint >> (35 - 5 * (i % 8))::int) & 31)::int + 1, 1)), '')
+           as payload_digest,
+       case when n = 1 or p.page_id = original then 'response' else 'revisit' end as record_type,
+       case when n = 1 or p.page_id = original then null else original end as refers_to
+from p join d using (html)
+"""
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to query."""
-    return {f.__name__: f for f in (op1_line_dedup, op3_simhash, op5_mixing, op6_quality_rules, op9_bpe)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_simhash, op5_mixing, op6_quality_rules, op8_warc, op9_bpe)}
 
 
 def statements() -> dict[str, str]:
     """Query name to the SQL that gives the same rows."""
-    return {}
+    return {"op8_warc": OP8}
