@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.llm import bpe, line_dedup, mixing, quality_rules, simhash, warc
+from parcelwise.llm import bpe, line_dedup, mixing, quality_rules, repeats, simhash, warc
 from parcelwise.llm.shared import table
 from parcelwise.session import new_place
 
@@ -24,6 +24,18 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(docs).select("doc_id", "_lines.n_lines", "_lines.n_removed", "text")
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 400-byte strings that also start elsewhere, as digests."""
+    found = repeats.without_repeats(table(spark, sf_dir, "documents"), length=400)
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.expr("aggregate(spans, 0L, (n, x) -> n + x.end - x.start)").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 3-word shingles, at most 3 differing bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, max_bits=3)
@@ -76,7 +88,7 @@ from p join d using (html)
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to query."""
-    return {f.__name__: f for f in (op1_line_dedup, op3_simhash, op5_mixing, op6_quality_rules, op8_warc, op9_bpe)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_repeats, op3_simhash, op5_mixing, op6_quality_rules, op8_warc, op9_bpe)}
 
 
 def statements() -> dict[str, str]:
