@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +64,20 @@ def with_columns(df: DataFrame, column: str, schema: str, values: Callable[[list
     return df.mapInArrow(run, target)
 
 
+def merge_classes(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Merge the classes of linked positions; ``label`` keeps the smallest position of each class."""
+    while len(a):
+        x, y = label[a], label[b]
+        open_ = x != y
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            jumped = label[label]
+            if np.array_equal(jumped, label):
+                break
+            label[:] = jumped
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (``a``, ``b``): one row (``node``, ``root``) for every node with an edge.
 

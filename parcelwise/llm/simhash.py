@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.llm.shared import arrow_map, connected
+from parcelwise.llm.shared import arrow_map, connected, merge_classes
 from parcelwise.session import materialised
 
 SEED = 42
@@ -63,20 +63,6 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, fp long", rows)
 
 
-def _settle(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Merge the classes of linked positions; ``label`` keeps the smallest position of each class."""
-    while len(a):
-        x, y = label[a], label[b]
-        open_ = x != y
-        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while True:
-            jumped = label[label]
-            if np.array_equal(jumped, label):
-                break
-            label[:] = jumped
-
-
 def trie_links(group: np.ndarray, fp: np.ndarray, max_bits: int) -> np.ndarray:
     """Class of every position: the smallest position linked to it inside its group.
 
@@ -105,10 +91,10 @@ def trie_links(group: np.ndarray, fp: np.ndarray, max_bits: int) -> np.ndarray:
             undecided = label[i] != label[j]
             i, j = i[undecided], j[undecided]
             near = np.bitwise_count(fp[i] ^ fp[j]) <= max_bits
-            _settle(label, i[near], j[near])
+            merge_classes(label, i[near], j[near])
             level = level[:, ~leaf]
         if bit < 0:  # no bits left: both nodes hold copies of one fingerprint each
-            _settle(label, level[0], level[2])
+            merge_classes(label, level[0], level[2])
             continue
         if bit not in ones:
             ones[bit] = np.r_[0, np.cumsum((fp >> np.uint64(bit)) & np.uint64(1)).astype(np.int64)]
