@@ -5,10 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.llm import bpe, embedding, line_dedup, mixing, quality_rules, repeats, simhash, warc
+from parcelwise.llm import (
+    bpe,
+    embedding,
+    line_dedup,
+    mixing,
+    quality_net,
+    quality_rules,
+    repeats,
+    simhash,
+    toxicity,
+    warc,
+)
 from parcelwise.llm.shared import table
 from parcelwise.session import new_place
 
@@ -61,6 +72,20 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"_quality.{c}" for c in wanted.split()])
 
 
+def _held_out(parts: int, part: int) -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == part, F.lit(False))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.learned(docs, labels, ~_held_out(5, 0))
+    return toxicity.scored(docs, model).select(
+        "doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back."""
     path = warc.write(table(spark, sf_dir, "pages"), new_place(spark, "warc"))
@@ -91,9 +116,18 @@ from p join d using (html)
 """
 
 
+def op10_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return quality_net.scored(docs, labels, ~_held_out(4, 2)).select(
+        "doc_id", _held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to query."""
-    return {f.__name__: f for f in (op1_line_dedup, op2_repeats, op3_simhash, op4_embedding, op5_mixing, op6_quality_rules, op8_warc, op9_bpe)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_repeats, op3_simhash, op4_embedding, op5_mixing, op6_quality_rules, op7_toxicity, op8_warc, op9_bpe, op10_quality_net)}
 
 
 def statements() -> dict[str, str]:
