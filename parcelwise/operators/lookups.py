@@ -5,39 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Two or three narrow columns of a million rows stay far below what an executor can hold.
-BROADCAST_ROWS = 1_000_000
 
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is.
-
-    Counting stops after ``max_rows`` + 1 rows. Without the hint Spark shuffles both sides and AQE splits
-    partitions of hot keys.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-def lookup(
-    facts: DataFrame,
-    dimension: DataFrame,
-    key: str,
-    spread_by: str,
-    slots: int = 200,
-    max_broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
+def lookup(facts: DataFrame, dimension: DataFrame, key: str, spread_by: str) -> DataFrame:
     """Left join to a table that is unique on ``key``; rows without a key keep nulls.
 
-    A small dimension is broadcast and the facts are not shuffled. For a large one, all rows without a key
-    would meet in one shuffle partition although none of them can match, so a second join key spreads them.
+    Spark chooses the strategy from measured bytes: a small dimension is broadcast, for a larger one both sides are
+    shuffled and adaptive execution splits hot keys. Rows without a key match nothing; they would meet in one
+    partition, so a second join key deals them out by the hash of ``spread_by``.
     """
-    if dimension.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
-        return facts.join(F.broadcast(dimension), key, "left")
-    slot = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(spread_by), F.lit(slots))).otherwise(F.lit(0))
+    spread = F.when(F.col(key).isNull(), F.xxhash64(spread_by)).otherwise(F.lit(0))
     # Always 0, but not a literal: the optimizer would fold a literal key away.
-    only_slot = F.pmod(F.xxhash64(key), F.lit(1))
+    only = F.pmod(F.xxhash64(key), F.lit(1))
     return (
-        facts.withColumn("_slot", slot.cast("long"))
-        .join(dimension.withColumn("_slot", only_slot.cast("long")), [key, "_slot"], "left")
-        .drop("_slot")
+        facts.withColumn("_spread", spread.cast("long"))
+        .join(dimension.withColumn("_spread", only.cast("long")), [key, "_spread"], "left")
+        .drop("_spread")
     )

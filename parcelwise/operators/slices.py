@@ -1,8 +1,8 @@
 """Order-dependent computations over groups too large for one task.
 
-Rows are range-partitioned on the full sort order, so that a slice is a bounded run of consecutive rows, and
-written once, so that every later read sees the same slices. What a slice needs from its predecessors is a
-table with one row per slice (and group), joined back.
+All rows are range-partitioned on the full sort order, sorted and written once with their row numbers. A partition
+is a slice: a run of consecutive rows, whatever keys they have. Only keys that a slice edge cuts, two per slice at
+most, need anything from other slices; that is a table with a few rows per slice, joined back.
 """
 
 from __future__ import annotations
@@ -12,24 +12,24 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelwise.operators.hotkeys import HOT_FLOOR, HotKeys, find_hot_keys
-from parcelwise.session import checkpointed, materialised
+from parcelwise.session import materialised
 
-ROWS_PER_SLICE = 250_000
-MAX_SLICES = 20_000
+# The upper bits of a row number are the partition it was written by.
+ROW_BITS = 33
 
 
-def slice_count(rows: int, rows_per_slice: int = ROWS_PER_SLICE) -> int:
-    return min(MAX_SLICES, max(2, -(-rows // rows_per_slice)))
+def range_slices(df: DataFrame, order: Sequence[Column], slices: int | None = None) -> DataFrame:
+    """``df`` with ``_row``, ascending along ``order``, and ``_slice``, the range partition.
 
-
-def range_slices(df: DataFrame, order: Sequence[Column], slices: int) -> DataFrame:
-    """``df`` with ``_slice``, ascending along ``order``."""
-    return checkpointed(df.repartitionByRange(slices, *order).withColumn("_slice", F.spark_partition_id()))
+    Without ``slices`` the session's number of shuffle partitions counts, as for any other exchange.
+    """
+    ranged = df.repartitionByRange(*([slices] if slices else []), *order).sortWithinPartitions(*order)
+    written = materialised(ranged.withColumn("_row", F.monotonically_increasing_id()))
+    return written.withColumn("_slice", F.shiftright("_row", ROW_BITS))
 
 
 def running_totals(
-    df: DataFrame, order: Sequence[Column], totals: Mapping[str, str], rank: str, slices: int
+    df: DataFrame, order: Sequence[Column], totals: Mapping[str, str], rank: str, slices: int | None = None
 ) -> DataFrame:
     """Running sums and row number over the whole table, in the given order.
 
@@ -49,11 +49,9 @@ def running_totals(
         *[F.coalesce(F.sum(f"_{new}").over(before), F.lit(0)).alias(f"_{new}_before") for new in totals],
         *[F.sum(f"_{new}").over(every).alias(f"{new}_all") for new in totals],
     )
-    inside = Window.partitionBy("_slice").orderBy(*order)
+    inside = Window.partitionBy("_slice").orderBy("_row")
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # At most MAX_SLICES rows, so the broadcast has a fixed bound.
-    joined = sliced.join(F.broadcast(offsets), "_slice")
-    return joined.select(
+    return sliced.join(offsets, "_slice").select(
         *df.columns,
         (F.col("_rows_before") + F.row_number().over(inside)).alias(rank),
         *[
@@ -64,72 +62,53 @@ def running_totals(
     )
 
 
-def _ranked_whole(df: DataFrame, key: str, order: Sequence[str], rank: str, following: str) -> DataFrame:
-    in_order = Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_last() for c in order])
-    return df.select(
-        *df.columns,
-        F.row_number().over(in_order).cast("long").alias(rank),
-        F.lead(order[0]).over(in_order).alias(following),
+def _cut_keys(sliced: DataFrame, key: str, following: str) -> DataFrame:
+    """Rows before a slice, and first value after it, of the keys that have rows in several slices."""
+    edges = sliced.groupBy("_slice").agg(
+        F.min_by(F.struct(key), "_row").alias("_first"), F.max_by(F.struct(key), "_row").alias("_last")
     )
-
-
-def _ranked_in_slices(
-    df: DataFrame, key: str, order: Sequence[str], rank: str, following: str, slices: int
-) -> DataFrame:
-    in_order = [F.col(c).asc_nulls_last() for c in order]
-    sliced = range_slices(df, [F.col(key).asc_nulls_last(), *in_order], slices)
-    pieces = sliced.groupBy(key, "_slice").agg(
-        F.count(F.lit(1)).alias("_rows"), F.min(order[0]).alias("_first_value")
+    along = Window.orderBy("_slice")
+    cut = edges.select(
+        "_slice",
+        F.when(F.lag("_last").over(along).eqNullSafe(F.col("_first")), F.col("_first")).alias("_from"),
+        F.when(F.lead("_first").over(along).eqNullSafe(F.col("_last")), F.col("_last")).alias("_to"),
+    )
+    own = F.struct(key)
+    pieces = (
+        sliced.join(cut.where("_from is not null or _to is not null"), "_slice")
+        .where(own.eqNullSafe(F.col("_from")) | own.eqNullSafe(F.col("_to")))
+        .groupBy("_slice", key)
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min_by(following, "_row").alias("_first_value"))
     )
-    along = Window.partitionBy(key).orderBy("_slice")
-    offsets = pieces.select(
+    per_key = Window.partitionBy(key).orderBy("_slice")
+    return pieces.select(
         F.col(key).alias("_key"),
         F.col("_slice").alias("_piece"),
-        "_rows",
-        F.coalesce(F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.lead("_first_value").over(along).alias("_next_first"),
-    )
-    inside = Window.partitionBy(key, "_slice").orderBy(*in_order)
-    # A slice edge cuts at most one key: no more rows than hot keys plus slices, both bounded.
-    joined = sliced.join(
-        F.broadcast(offsets), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_slice") == F.col("_piece"))
-    )
-    local = joined.select(
-        *df.columns,
-        "_rows",
-        "_before",
-        "_next_first",
-        F.row_number().over(inside).alias("_place"),
-        F.lead(order[0]).over(inside).alias("_next_here"),
-    )
-    return local.select(
-        *df.columns,
-        (F.col("_before") + F.col("_place")).cast("long").alias(rank),
-        F.when(F.col("_place") == F.col("_rows"), F.col("_next_first")).otherwise(F.col("_next_here")).alias(following),
+        F.coalesce(F.sum("_rows").over(per_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.lead("_first_value").over(per_key).alias("_next_first"),
     )
 
 
 def ranked_sequence(
-    df: DataFrame,
-    key: str,
-    order: Sequence[str],
-    rank: str,
-    following: str,
-    hot: HotKeys | None = None,
-    hot_floor: int = HOT_FLOOR,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    df: DataFrame, key: str, order: Sequence[str], rank: str, following: str, slices: int | None = None
 ) -> DataFrame:
     """Row number per ``key`` in ``order`` (nulls last) and the next row's value of the first order column.
 
-    Usual keys take one window. Keys with a noticeable share of all rows are cut into slices, so no task ever
-    holds one of them whole. ``order`` must be unique within a key. Unless the hot keys are given, ``df`` is
-    written once and searched for them, so that whatever it is made of runs once.
+    One plan for all keys: each is ranked inside its slices, and the few that slice edges cut are corrected. So no
+    task holds more than a slice, however many rows a key has. ``order`` must be unique within a key.
     """
-    if hot is None:
-        df = materialised(df)
-        hot = find_hot_keys(df, key, floor=hot_floor)
-    if not hot:
-        return _ranked_whole(df, key, order, rank, following)
-    usual = _ranked_whole(df.where(~hot.contains()), key, order, rank, following)
-    slices = slice_count(hot.rows, rows_per_slice)
-    return usual.unionByName(_ranked_in_slices(df.where(hot.contains()), key, order, rank, following, slices))
+    in_order = [F.col(c).asc_nulls_last() for c in order]
+    sliced = range_slices(df, [F.col(key).asc_nulls_last(), *in_order], slices)
+    inside = Window.partitionBy(key, "_slice").orderBy("_row")
+    corrected = sliced.join(
+        _cut_keys(sliced, key, order[0]),
+        (F.col("_slice") == F.col("_piece")) & F.col(key).eqNullSafe(F.col("_key")),
+        "left",
+    )
+    # A value of the first order column may be null, so a missing next row shows in the next row's number.
+    has_next = F.lead("_row").over(inside).isNotNull()
+    return corrected.select(
+        *df.columns,
+        (F.coalesce("_before", F.lit(0)) + F.row_number().over(inside)).cast("long").alias(rank),
+        F.when(has_next, F.lead(order[0]).over(inside)).otherwise(F.col("_next_first")).alias(following),
+    )

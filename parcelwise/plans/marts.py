@@ -47,9 +47,18 @@ def mart_delivery_promise(orders: DataFrame, min_orders: int = 30) -> DataFrame:
     return routes.where(F.col("orders") >= min_orders)
 
 
-FIRST_ORDER_COLUMNS = (
-    "customer_unique_id order_id purchased_at customer_state seller_state is_late days_late review_score items_value"
-).split()
+# Columns of the mart.
+FIRST_ORDER_COLUMNS = [
+    "customer_unique_id",
+    "order_id",
+    "purchased_at",
+    "customer_state",
+    "seller_state",
+    "is_late",
+    "days_late",
+    "review_score",
+    "items_value",
+]
 
 
 def mart_first_orders(orders: DataFrame, data_end: dt.date, window_days: int = 180) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcelwise.functions import day, days_between
-from parcelwise.operators.hotkeys import HOT_FLOOR, HotKeys
 from parcelwise.operators.lookups import lookup
 from parcelwise.operators.slices import ranked_sequence
 
@@ -121,11 +120,31 @@ def with_seller_state(orders: DataFrame, sellers: DataFrame) -> DataFrame:
     return lookup(orders, states, "seller_id", spread_by="order_id")
 
 
-ENRICHED_COLUMNS = (
-    "order_id customer_unique_id customer_state order_status purchased_at delivered_at estimated_delivery_date "
-    "items_count sellers_count seller_id items_value freight_value payment_value installments review_score "
-    "reviewed_at has_review_text promised_days actual_days days_late is_late reviewed_before_delivery"
-).split()
+# The columns of the order fact.
+ENRICHED_COLUMNS = [
+    "order_id",
+    "customer_unique_id",
+    "customer_state",
+    "order_status",
+    "purchased_at",
+    "delivered_at",
+    "estimated_delivery_date",
+    "items_count",
+    "sellers_count",
+    "seller_id",
+    "items_value",
+    "freight_value",
+    "payment_value",
+    "installments",
+    "review_score",
+    "reviewed_at",
+    "has_review_text",
+    "promised_days",
+    "actual_days",
+    "days_late",
+    "is_late",
+    "reviewed_before_delivery",
+]
 
 
 def enriched_orders(timeline: DataFrame, items: DataFrame, payments: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -137,10 +156,11 @@ def enriched_orders(timeline: DataFrame, items: DataFrame, payments: DataFrame,
     return joined.select(*ENRICHED_COLUMNS)
 
 
-def customer_order_sequence(
-    timeline: DataFrame, hot: HotKeys | None = None, hot_floor: int = HOT_FLOOR
-) -> DataFrame:
-    """Place of each order of status ``delivered`` in its buyer's history, and the next purchase."""
+def customer_order_sequence(timeline: DataFrame, slices: int | None = None) -> DataFrame:
+    """Place of each order of status ``delivered`` in its buyer's history, and the next purchase.
+
+    Writes the delivered orders once, range-partitioned by buyer and time.
+    """
     bought = timeline.where(F.col("order_status") == "delivered").select(
         "order_id", "customer_unique_id", "purchased_at"
     )
@@ -150,8 +170,7 @@ def customer_order_sequence(
         order=["purchased_at", "order_id"],
         rank="order_rank",
         following="next_purchased_at",
-        hot=hot,
-        hot_floor=hot_floor,
+        slices=slices,
     )
 
 

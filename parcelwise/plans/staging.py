@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelwise.operators.lookups import broadcast_if_small
 
 MONEY = "decimal(10,2)"
 MOMENT = "timestamp_ntz"
@@ -78,9 +77,11 @@ def stg_sellers(raw: DataFrame) -> DataFrame:
 def stg_products(raw: DataFrame, translation: DataFrame) -> DataFrame:
     """Products with the translated category, else the original one, else ``unknown``.
 
-    A few categories cover all products, so a shuffle by category would use a few tasks only.
+    The translation has a row per category and is broadcast by its size; were it large, adaptive execution would
+    split the few categories that cover all products.
     """
-    return raw.join(broadcast_if_small(translation), "product_category_name", "left").select(
+    names = translation.select("product_category_name", "product_category_name_english")
+    return raw.join(names, "product_category_name", "left").select(
         "product_id",
         F.col("product_category_name").alias("category_pt"),
         F.coalesce("product_category_name_english", "product_category_name", F.lit("unknown")).alias("category"),

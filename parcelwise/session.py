@@ -44,15 +44,6 @@ def shared_folder(spark: SparkSession) -> str:
     return current
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there: one evaluation, however often it is read."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 _places: list[str] = []
 
 

@@ -7,9 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from parcelwise.operators.hotkeys import HotKeys, find_hot_keys
-from parcelwise.operators.lookups import broadcast_if_small, lookup
-from parcelwise.operators.slices import ranked_sequence, running_totals, slice_count
+from parcelwise.operators.lookups import lookup
+from parcelwise.operators.slices import range_slices, ranked_sequence, running_totals
 
 SCHEMA = "person string, at timestamp_ntz, id string"
 
@@ -41,35 +40,29 @@ def plain_ranks():
     return found
 
 
-@pytest.mark.parametrize("rows_per_slice", [50, 400, 100_000])
-@pytest.mark.parametrize("hot", [(), ("hot",), ("hot", "warm", None)])
-def test_ranks_are_the_same_with_and_without_slices(frame, hot, rows_per_slice):
-    known = HotKeys("person", hot, 2000)
-    ranked = ranked_sequence(
-        frame(SCHEMA, *DATA), "person", ["at", "id"], "place", "next_at", hot=known, rows_per_slice=rows_per_slice
-    )
+@pytest.mark.parametrize("slices", [None, 1, 2, 7, 60])
+def test_ranks_do_not_depend_on_the_slices(frame, slices):
+    ranked = ranked_sequence(frame(SCHEMA, *DATA), "person", ["at", "id"], "place", "next_at", slices)
     found = {i: (place, following) for i, place, following in rows(ranked, "id", "place", "next_at")}
     assert found == plain_ranks()
 
 
-def test_hot_keys_are_found_and_bounded(frame):
-    df = frame(SCHEMA, *DATA)
-    found = find_hot_keys(df, "person", share=0.1, floor=0)
-    assert set(found.values) == {"hot", "warm", None} and len(found.values) <= 10
-    assert not find_hot_keys(df, "person", share=0.1, floor=1_000_000)
-    inside = df.where(found.contains()).count()
-    assert inside == sum(row[0] in ("hot", "warm", None) for row in DATA)
-    assert inside + df.where(~found.contains()).count() == len(DATA)
-
-
-def test_no_rows_have_no_hot_keys(frame):
-    assert not find_hot_keys(frame(SCHEMA, *DATA).where("id = 'nobody'"), "person", floor=0)
+@pytest.mark.parametrize("share", [0.001, 0.5])
+def test_no_slice_holds_a_hot_buyer_whole(spark, share):
+    n = 40_000
+    buyer = F.when(F.col("id") % 1000 < int(1000 * share), F.lit("hot")).otherwise(F.concat(F.lit("p"), F.col("id")))
+    df = spark.range(n).select(buyer.alias("person"), (F.col("id") * 7919 % n).alias("at"), "id")
+    slices = range_slices(df, [F.col("person"), F.col("at"), F.col("id")], 16).groupBy("_slice").count()
+    assert slices.agg(F.max("count")).first()[0] < 3 * n / 16
+    ranked = ranked_sequence(df, "person", ["at", "id"], "place", "next_at", 16).where("person = 'hot'")
+    found = sorted(rows(ranked, "at", "place", "next_at"))
+    assert [place for _, place, _ in found] == list(range(1, int(n * share) + 1))
+    assert [following for _, _, following in found] == [at for at, _, _ in found][1:] + [None]
 
 
-def test_automatic_detection_gives_the_same_ranks(frame):
-    ranked = ranked_sequence(frame(SCHEMA, *DATA), "person", ["at", "id"], "place", "next_at", hot_floor=100)
-    found = {i: (place, following) for i, place, following in rows(ranked, "id", "place", "next_at")}
-    assert found == plain_ranks()
+def test_no_rows_no_ranks(frame):
+    none = frame(SCHEMA, *DATA).where("id = 'nobody'")
+    assert rows(ranked_sequence(none, "person", ["at", "id"], "place", "next_at", 4)) == []
 
 
 @pytest.mark.parametrize("slices", [2, 9])
@@ -92,10 +85,6 @@ def test_running_totals_without_a_partition_key(frame, slices):
     assert {tuple(r) for r in found.select("cum_late_all", "cum_orders_all").collect()} == {(late, orders)}
 
 
-def test_slice_count_is_bounded():
-    assert slice_count(1, 10) == 2 and slice_count(100, 10) == 10 and slice_count(10**15, 10) == 20_000
-
-
 def test_lookup_keeps_rows_without_key_and_spreads_them(spark, frame):
     data = [(str(i), None if i % 2 else f"s{i % 3}") for i in range(400)]
     facts = frame("order_id string, seller_id string", *data)
@@ -103,21 +92,13 @@ def test_lookup_keeps_rows_without_key_and_spreads_them(spark, frame):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        joined = lookup(facts, sellers, "seller_id", spread_by="order_id", max_broadcast_rows=2)
+        joined = lookup(facts, sellers, "seller_id", spread_by="order_id")
         plan = joined._jdf.queryExecution().executedPlan().toString()
-        assert "_slot" in plan.split("SortMergeJoin")[1].split("\n")[0]
+        assert "_spread" in plan.split("SortMergeJoin")[1].split("\n")[0] and "SinglePartition" not in plan
         found = dict(rows(joined, "order_id", "seller_state"))
+        partitions = joined.where("seller_id is null").groupBy(F.spark_partition_id()).count().collect()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     states = {"s0": "SP", "s1": "RJ"}
     assert found == {order: states.get(seller) for order, seller in data}
-    small = lookup(facts, sellers, "seller_id", spread_by="order_id", max_broadcast_rows=3)
-    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
-    assert dict(rows(small, "order_id", "seller_state")) == found
-
-
-def test_broadcast_hint_only_within_the_bound(frame):
-    df = frame("k string", ("a",), ("b",))
-    for bound, hinted in ((1, False), (2, True)):
-        plan = broadcast_if_small(df, bound)._jdf.queryExecution().logical().toString()
-        assert ("broadcast" in plan) == hinted
+    assert sum(r["count"] for r in partitions) == 200
