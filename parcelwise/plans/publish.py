@@ -47,6 +47,24 @@ def metric_rows(
     )
 
 
+def dated(metrics: DataFrame, generated_on: dt.date, published_on: dt.date) -> DataFrame:
+    """``metrics`` with both dates as figures without a section."""
+    dates = [("generated_on", generated_on.isoformat()), ("published_on", published_on.isoformat())]
+    entries = [F.struct(F.lit(name).alias("metric"), F.lit(text).alias("text")) for name, text in dates]
+    rows = metrics.sparkSession.range(1).select(F.inline(F.array(*entries)))
+    nothing = F.lit(None)
+    return metrics.unionByName(
+        rows.select(
+            nothing.cast("string").alias("section"),
+            nothing.cast("string").alias("key"),
+            nothing.cast("long").alias("ordinal"),
+            "metric",
+            nothing.cast("double").alias("value"),
+            "text",
+        )
+    )
+
+
 def metric_paths(metrics: DataFrame) -> DataFrame:
     """Dotted path per metric (``section.metric`` or ``section.ordinal.metric``) plus ``section.length``."""
     paths = metrics.select(
@@ -120,44 +138,69 @@ def derived_figures(
     bucket: str = "15-21",
     min_late_orders: int = 100,
 ) -> DataFrame:
-    """One row of shares and differences over earlier results, all from unrounded figures.
+    """One row of shares and differences over earlier results.
 
-    ``policy`` is the evaluated rule cited in the text. The ratio of late to on-time bad-review rate covers
-    the delay classes with enough late orders.
+    ``policy`` is the evaluated rule cited in the text. Its avoided bad reviews are the difference of two counts that
+    are published as whole numbers, so these are rounded first; all other figures come from unrounded ones. The
+    ratio of late to on-time bad-review rate covers the delay classes with enough late orders. Each result is read
+    once, as one struct.
     """
     late = F.col("is_late")
-    pairs = (
-        delay.groupBy("bucket")
-        .agg(
-            F.max(F.when(late, F.col("bad_rate"))).alias("late_rate"),
-            F.max(F.when(~late, F.col("bad_rate"))).alias("on_time_rate"),
-            F.max(F.when(late, F.col("orders"))).alias("late_orders"),
+    by_class = delay.groupBy("bucket").agg(
+        F.max(F.when(late, F.col("bad_rate"))).alias("late_rate"),
+        F.max(F.when(~late, F.col("bad_rate"))).alias("on_time_rate"),
+        F.max(F.when(late, F.col("orders"))).alias("late_orders"),
+    )
+    times = F.when(F.col("late_orders") >= min_late_orders, ratio("late_rate", "on_time_rate"))
+    chosen = F.col("bucket") == bucket
+    classes = by_class.agg(
+        F.struct(
+            F.min(times).alias("lowest"),
+            F.max(times).alias("highest"),
+            F.max(F.when(chosen, F.col("on_time_rate"))).alias("on_time"),
+            F.max(F.when(chosen, F.col("late_rate"))).alias("late"),
         )
-        .where(F.col("late_orders") >= min_late_orders)
-        .select(ratio("late_rate", "on_time_rate").alias("times"))
     )
-
-    def rate(flag: Column) -> DataFrame:
-        return delay.where((F.col("bucket") == bucket) & flag).agg(F.max("bad_rate"))
-
+    old_bad, new_bad = F.round("old_bad_reviews"), F.round("new_bad_reviews")
+    cited = F.struct(
+        (F.col("new_promise") - F.col("old_promise")).alias("days"),
+        (old_bad - new_bad).alias("bad"),
+        F.try_divide(old_bad - new_bad, old_bad).alias("bad_share"),
+        (F.lit(1.0) - F.try_divide("new_late_rate", "old_late_rate")).alias("late_share"),
+    )
     return one_row(
         delay.sparkSession,
-        late_vs_on_time_ratio_min=pairs.agg(F.min("times")),
-        late_vs_on_time_ratio_max=pairs.agg(F.max("times")),
+        _classes=classes,
+        _policy=policy.select(cited),
         late_share_seller_on_time=handovers.select(ratio("late_with_seller_on_time", "late_orders")),
         bad_share_before_delivery=timing.select(ratio("bad_before_delivery", "bad")),
-        bad_in_bucket_on_time=rate(~late),
-        bad_in_bucket_late=rate(late),
-        excess_late=excess.select("excess_late"),
-        concentration_late_orders=concentration.select("late_orders"),
-        policy_extra_days=policy.select(F.col("new_promise") - F.col("old_promise")),
-        policy_bad_avoided=policy.select(F.col("old_bad_reviews") - F.col("new_bad_reviews")),
-        policy_bad_avoided_share=policy.select(
-            ratio(F.col("old_bad_reviews") - F.col("new_bad_reviews"), "old_bad_reviews")
-        ),
-        policy_late_avoided_share=policy.select(F.lit(1.0) - F.try_divide("new_late_rate", "old_late_rate")),
-    ).withColumn("excess_late_share", ratio("excess_late", "concentration_late_orders")).drop(
-        "excess_late", "concentration_late_orders"
+        _excess=excess.select("excess_late"),
+        _late=concentration.select("late_orders"),
+    ).select(
+        F.col("_classes.lowest").alias("late_vs_on_time_ratio_min"),
+        F.col("_classes.highest").alias("late_vs_on_time_ratio_max"),
+        "late_share_seller_on_time",
+        "bad_share_before_delivery",
+        F.col("_classes.on_time").alias("bad_in_bucket_on_time"),
+        F.col("_classes.late").alias("bad_in_bucket_late"),
+        F.col("_policy.days").alias("policy_extra_days"),
+        F.col("_policy.bad").alias("policy_bad_avoided"),
+        F.col("_policy.bad_share").alias("policy_bad_avoided_share"),
+        F.col("_policy.late_share").alias("policy_late_avoided_share"),
+        ratio("_excess", "_late").alias("excess_late_share"),
+    )
+
+
+def cited_margin_mismatch(grid: DataFrame, policy: DataFrame, margin: int) -> DataFrame:
+    """Figures in which the cited rule differs from the grid's row of the same margin: no rows if all is well."""
+    names = ("new_promise", "new_late_rate", "new_bad_reviews")
+    row = grid.where(F.col("margin") == margin).agg(*[F.max(n).alias(f"grid_{n}") for n in names])
+    both = policy.select(*names).join(row, F.lit(True), "left")
+    pairs = [
+        F.struct(F.lit(n).alias("metric"), F.col(n).alias("cited"), F.col(f"grid_{n}").alias("in_grid")) for n in names
+    ]
+    return both.select(F.inline(F.array(*pairs))).where(
+        "in_grid is null or cited is null or abs(cited - in_grid) > 1e-9"
     )
 
 
@@ -193,6 +236,29 @@ MONTH_NAMES = [
 ]
 
 
+# Entities of the letters that month names have.
+LETTER_ENTITIES = {"é": "eacute|#233|#xe9", "û": "ucirc|#251|#xfb"}
+
+# Keys of published pages whose figures have another name here.
+PAGE_KEYS = {
+    "derived.bad_15_21_on_time": "derived.bad_in_bucket_on_time",
+    "derived.bad_15_21_late": "derived.bad_in_bucket_late",
+    "derived.risky_plus5_extra_days": "derived.policy_extra_days",
+    "derived.risky_plus5_bad_avoided": "derived.policy_bad_avoided",
+    "derived.risky_plus5_bad_avoided_share": "derived.policy_bad_avoided_share",
+    "derived.risky_plus5_late_avoided_share": "derived.policy_late_avoided_share",
+    "backtest.policies.2.march_late_rate": "backtest.policies.2.focus_late_rate",
+}
+# Pages name the promise that was really made after who made it.
+MADE_PROMISE = r"^(backtest\.policies\.\d+)\.(?!new_|focus_|old_)[a-z]+_(promise|late_rate|bad_reviews)$"
+
+
+def _metric_key(key: Column) -> Column:
+    """The path of the metric that a page's key means."""
+    names = F.create_map(*[F.lit(x) for pair in PAGE_KEYS.items() for x in pair])
+    return F.coalesce(F.element_at(names, key), F.regexp_replace(key, MADE_PROMISE, "$1.old_$2"))
+
+
 def published_figures(pages: DataFrame) -> DataFrame:
     """Every marked figure of every page (page, html): page, key, format, shown text."""
     found = [F.regexp_extract_all("html", F.lit(FIGURE_PATTERN), F.lit(group)) for group in (1, 2, 3)]
@@ -205,6 +271,8 @@ def _plain_text(shown: Column) -> Column:
     """Entities resolved, every kind of space as one blank, the typographic minus as a hyphen."""
     text = F.regexp_replace(shown, r"&(?:nbsp|thinsp|#160|#xa0|#8239|#x202f);", " ")
     text = F.regexp_replace(text, "&(?:minus|#8722|#x2212);|−", "-")
+    for letter, entities in LETTER_ENTITIES.items():
+        text = F.regexp_replace(text, f"&(?:{entities});", letter)
     return F.trim(F.regexp_replace(text, r"[\s\x{00A0}\x{202F}]+", " "))
 
 
@@ -228,7 +296,7 @@ def reconcile_published(pages: DataFrame, metrics: DataFrame) -> DataFrame:
     A key without a metric and an unknown format are reported too.
     """
     known = metric_paths(metrics).select(
-        F.col("path").alias("key"),
+        F.col("path").alias("_path"),
         F.col("value").alias("expected"),
         F.col("text").alias("expected_text"),
         F.lit(True).alias("_known"),
@@ -248,7 +316,7 @@ def reconcile_published(pages: DataFrame, metrics: DataFrame) -> DataFrame:
     )
     return (
         published_figures(pages)
-        .join(known, "key", "left")
+        .join(known, _metric_key(F.col("key")) == F.col("_path"), "left")
         .withColumn("problem", problem)
         .where(F.col("problem").isNotNull())
         .select("page", "key", "format", "shown", "expected", "expected_text", "problem")

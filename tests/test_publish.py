@@ -110,7 +110,7 @@ def test_derived_figures(frame):
             frame(
                 "old_promise double, new_promise double, old_bad_reviews double, new_bad_reviews double, old_late_rate double, "
                 "new_late_rate double",
-                (20.0, 20.5, 100.0, 90.0, 0.08, 0.06),
+                (20.0, 20.5, 100.4, 89.6, 0.08, 0.06),
             ),
         )
     )
@@ -129,3 +129,60 @@ def test_derived_figures(frame):
     }
     assert found.keys() == expected.keys()
     assert all(abs(found[name] - value) < 1e-9 for name, value in expected.items())
+
+
+# The keys that the study's page cites.
+CITED = """
+backtest.margins.5.late_avoided_share backtest.margins.5.new_late_rate backtest.margins.5.new_promise
+backtest.policies.0.new_bad_reviews backtest.policies.0.new_late_rate backtest.policies.0.new_promise
+backtest.policies.1.new_bad_reviews backtest.policies.1.new_late_rate backtest.policies.1.new_promise
+backtest.policies.1.shop_bad_reviews backtest.policies.1.shop_late_rate backtest.policies.1.shop_promise
+backtest.policies.1.orders backtest.policies.2.march_late_rate backtest.policies.2.new_late_rate
+backtest.policies.2.new_promise backtest.risky_routes.routes bad_reviews.avg_score_after_delivery
+bad_reviews.avg_score_before_delivery bad_reviews.bad bad_reviews.bad_before_delivery
+bad_reviews.late_rate_before_delivery bad_reviews.reviewed_before_delivery delay_vs_promise.1.orders
+derived.bad_15_21_late derived.bad_15_21_on_time derived.bad_share_before_delivery derived.excess_late_share
+derived.late_share_seller_on_time derived.late_vs_on_time_ratio_max derived.late_vs_on_time_ratio_min
+derived.risky_plus5_bad_avoided derived.risky_plus5_bad_avoided_share derived.risky_plus5_extra_days
+derived.risky_plus5_late_avoided_share generated_on handover.carrier_days_late handover.carrier_days_on_time
+handover.late_rate_if_seller_late handover.late_rate_if_seller_on_time handover.seller_days_late
+handover.seller_days_on_time handover.seller_late_orders monthly.10.late_rate monthly.14.late_rate
+monthly.17.actual_days monthly.17.promised_days pitfalls.customer_ids pitfalls.delivered_before_shipped
+pitfalls.orders_with_several_reviews pitfalls.partial_months pitfalls.payment_mismatch
+pitfalls.reviews_on_several_orders pitfalls.shipped_before_purchase pitfalls.unique_customers published_on
+repeat.eligible_customers repeat.repeat_if_on_time repeat.state_adjusted.late
+repeat.state_adjusted.on_time_standardised repeat.state_adjusted.z routes.length scope.delivered scope.reviewed
+scope.reviewed_with_text sellers.excess_late sellers.excess_sellers sellers.late_orders
+""".split()
+
+
+def test_every_cited_key_has_a_figure(spark):
+    from workload.queries import registered
+
+    metrics = registered()["metrics_table"](spark, "/root/testdata/sf0.01").cache()
+    pages = spark.createDataFrame([("p", "".join(figure(k, "n2", "0") for k in CITED))], "page string, html string")
+    found = publish.reconcile_published(pages, metrics)
+    assert rows(found.where("problem = 'unknown key'"), "key") == []
+    named = dict(rows(metrics.where("section = 'backtest.policies' and metric = 'policy'"), "ordinal", "text"))
+    assert named[0] == "route_quantile" and named[1].startswith("risky_routes_plus") and named[2].startswith("rolling")
+    classes = [k.split()[0] for _, k in sorted(set(rows(metrics.where("section = 'delay_vs_promise'"), "ordinal", "key")))]
+    assert classes == sorted(classes, key=lambda c: int(c.rstrip("+").split("-")[0]))
+
+
+def test_dates_are_figures(frame):
+    dated = publish.dated(frame(METRICS, ("s", None, None, "a", 1.0, None)), dt.date(2018, 2, 3), dt.date(2018, 1, 1))
+    assert dict(rows(publish.metric_paths(dated), "path", "text")) == {
+        "s.a": None,
+        "generated_on": "2018-02-03",
+        "published_on": "2018-01-01",
+    }
+    page = figure("generated_on", "date", "3 f&eacute;vrier 2018") + figure("published_on", "date", "2 janvier 2018")
+    found = publish.reconcile_published(frame("page string, html string", ("p", page)), dated)
+    assert rows(found, "key", "problem") == [("published_on", "differs")]
+
+
+def test_cited_rule_is_the_row_of_the_grid(frame):
+    grid = frame("margin int, new_promise double, new_late_rate double, new_bad_reviews double", (4, 1.0, 2.0, 3.0), (5, 1.5, 2.5, 3.5))
+    policy = frame("new_promise double, new_late_rate double, new_bad_reviews double", (1.5, 2.5, 3.0))
+    assert rows(publish.cited_margin_mismatch(grid, policy, 5)) == [("new_bad_reviews", 3.0, 3.5)]
+    assert publish.cited_margin_mismatch(grid, policy, 6).count() == 3

@@ -335,7 +335,7 @@ def state_standardised_repeat(s: Study) -> DataFrame:
 
 @query
 def pitfall_counts(s: Study) -> DataFrame:
-    return quality.pitfall_counts(s.orders, s.customers, s.all_reviews, s.paid, s.mart_monthly, p.TOLERANCE)
+    return pitfalls(s)
 
 
 @query
@@ -401,8 +401,8 @@ def expectation_report(s: Study) -> DataFrame:
         "stg_customers": s.customers,
         "stg_sellers": s.sellers,
         "stg_products": s.products,
-        "fct_orders": s.paid,
-        "fct_order_items": s.items,
+        "fct_orders": s.fct_orders,
+        "fct_order_items": model.fct_order_items(s.items_with_limit),
         "dim_customers": s.dim_customers,
         "dim_sellers": model.dim_sellers(s.sellers),
         "dim_products": model.dim_products(s.products),
@@ -438,32 +438,44 @@ def derived(s: Study) -> DataFrame:
     )
 
 
+def pitfalls(s: Study) -> DataFrame:
+    return quality.pitfall_counts(s.orders, s.customers, s.all_reviews, s.paid, s.mart_monthly, p.TOLERANCE)
+
+
 def study_metrics(s: Study) -> DataFrame:
     """Every figure of the study as one long table."""
     route = F.concat_ws(" ", "seller_state", "customer_state")
     delay_class = F.concat_ws(" ", "bucket", F.col("is_late").cast("string"))
+    shortest_delay = [F.regexp_extract("bucket", r"^\d+", 0).cast("int"), F.col("is_late").asc_nulls_last()]
+    declared = F.when(F.col("policy") == "route_quantile", 0).otherwise(1)
+    rolling_rule = s.rolling_policy.select(
+        F.lit(f"rolling_{p.ROLLING_DAYS}_days").alias("policy"), "orders", "new_promise", "new_late_rate", "focus_late_rate"
+    )
     routes_by_size = [F.col("orders").desc_nulls_last(), *_ascending("seller_state", "customer_state")]
     sections = [
         publish.metric_rows(delivery.scope_summary(s.reviewed), "scope"),
         monthly_metrics(s.monthly_promise),
-        publish.metric_rows(s.delay_vs_promise, "delay_vs_promise", delay_class, _ascending("bucket", "is_late")),
+        publish.metric_rows(s.delay_vs_promise, "delay_vs_promise", delay_class, shortest_delay),
         publish.metric_rows(s.bad_review_timing, "bad_reviews"),
         publish.metric_rows(s.handover_summary, "handover"),
         publish.metric_rows(s.seller_concentration, "sellers"),
         publish.metric_rows(s.excess_summary, "sellers"),
         publish.metric_rows(s.mart_delivery_promise, "routes", route, routes_by_size),
         publish.metric_rows(promise.risky_routes(s.calibrated, s.risky), "backtest.risky_routes"),
-        publish.metric_rows(s.policies, "backtest.policies", F.col("policy"), _ascending("policy")),
+        publish.metric_rows(s.policies, "backtest.policies", F.col("policy"), [declared]),
+        # The third rule has other figures than the two before.
+        publish.metric_rows(rolling_rule, "backtest.policies", F.col("policy")).withColumn("ordinal", F.lit(2).cast("long")),
         publish.metric_rows(s.margin_grid, "backtest.margins", F.col("margin"), _ascending("margin")),
         publish.metric_rows(s.rolling_policy, "backtest.rolling"),
         publish.metric_rows(s.repeat_summary, "repeat"),
         publish.metric_rows(s.standardised_repeat, "repeat.state_adjusted"),
         publish.metric_rows(derived(s), "derived"),
+        publish.metric_rows(pitfalls(s), "pitfalls"),
     ]
     metrics = sections[0]
     for section in sections[1:]:
         metrics = metrics.unionByName(section)
-    return metrics
+    return publish.dated(metrics, p.DATA_END, p.CUTOFF)
 
 
 @reported_query

@@ -278,44 +278,12 @@ class StoredStudy(Study):
 
 
 class ReportedStudy(StoredStudy):
-    """A stored study whose results with several readers are written too; they are report-sized."""
-
-    @cached_property
-    def delay_vs_promise(self) -> DataFrame:
-        return materialised(super().delay_vs_promise)
-
-    @cached_property
-    def bad_review_timing(self) -> DataFrame:
-        return materialised(super().bad_review_timing)
-
-    @cached_property
-    def handover_summary(self) -> DataFrame:
-        return materialised(super().handover_summary)
-
-    @cached_property
-    def first_orders(self) -> DataFrame:
-        return materialised(super().first_orders)
+    """A stored study that also writes the sellers' counts, which several results read."""
 
     @cached_property
     def seller_excess(self) -> DataFrame:
         return materialised(super().seller_excess)
 
-    @cached_property
-    def seller_concentration(self) -> DataFrame:
-        return materialised(super().seller_concentration)
-
-    @cached_property
-    def excess_summary(self) -> DataFrame:
-        return materialised(super().excess_summary)
-
-    @cached_property
-    def calibrated(self) -> DataFrame:
-        return materialised(super().calibrated)
-
-    @cached_property
-    def cited_policy(self) -> DataFrame:
-        return materialised(super().cited_policy)
-
 
 class BuiltStudy(StoredStudy):
     """A study after a full build: staging relations, the order fact with payments, and the marts are written."""
@@ -341,6 +309,11 @@ class BuiltStudy(StoredStudy):
     def paid(self) -> DataFrame:
         return self.routed
 
+    @cached_property
+    def fct_orders(self) -> DataFrame:
+        """The published fact with its ranks, which the checks are about."""
+        return materialised(super().fct_orders)
+
     @cached_property
     def dim_customers(self) -> DataFrame:
         return materialised(super().dim_customers)
