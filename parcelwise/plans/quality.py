@@ -140,7 +140,7 @@ def expectation_report(expectations: Sequence[Expectation | FilledColumns]) -> D
     return report
 
 
-# The declared checks: (table, column) pairs and (child, foreign key, parent, key).
+# The declared checks, (table, column) pairs and (child, foreign key, parent, key).
 UNIQUE_COLUMNS = [
     ("stg_orders", "order_id"),
     ("stg_order_reviews", "order_id"),

@@ -26,19 +26,16 @@ def check_digests(digests: DataFrame, expected: DataFrame) -> DataFrame:
     return digests.join(expected.select("file", "sha256"), ["file", "sha256"], "left_anti")
 
 
-def rows_per_file(df: DataFrame) -> DataFrame:
-    """Row count per input file; ``df`` must be a file scan."""
-    return df.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
-
-
-def manifest_rows(digests: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
+def manifest_rows(digests: DataFrame, tables: Mapping[str, DataFrame], file_column: str) -> DataFrame:
     """One row per loaded file: source, file, sha256, rows, loaded_at.
 
-    ``digests`` carries the table name in ``source``. A file without data rows counts 0.
+    ``digests`` carries the table name in ``source``, the tables the name of each row's file in ``file_column``. A
+    file without data rows counts 0.
     """
     counts = None
     for table, df in tables.items():
-        found = rows_per_file(df).withColumn("source", F.lit(table))
+        found = df.groupBy(F.col(file_column).alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+        found = found.withColumn("source", F.lit(table))
         counts = found if counts is None else counts.unionByName(found)
     return digests.join(counts, ["source", "file"], "left").select(
         "source",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,16 +68,21 @@ RAW_COLUMNS = {
     "category_translation": ["product_category_name", "product_category_name_english"],
 }
 
+# Tables whose texts may contain line breaks inside quotes; Spark cannot split their files.
+MULTI_LINE_TABLES = ("order_reviews",)
+
+# The file a landed row came from.
+SOURCE_FILE = "_source_file"
+
 
 class ContractError(ValueError):
     """A raw table lacks expected columns, or a file is not the expected one."""
 
 
-def read_csv_text(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_csv_text(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """CSV with a header, every column as text, bound by name.
 
-    Quoted fields may contain line breaks, which keeps Spark from splitting a file: give many files, or turn
-    ``multi_line`` off for tables without such text.
+    With ``multi_line`` quoted fields may contain line breaks, but Spark reads a file in one task: give many files.
     """
     return spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
 
@@ -101,12 +106,13 @@ def load_raw(
     files: Mapping[str, str],
     target: str,
     expected_digests: DataFrame | None = None,
-    multi_line: bool = True,
+    multi_line: Collection[str] = MULTI_LINE_TABLES,
 ) -> dict[str, DataFrame]:
     """Land raw CSV tables as Parquet under ``target``, with a manifest, and return the landed tables.
 
     ``files`` maps a table name to a path or glob. Digests and all column contracts are checked before the
-    first write. Tables are overwritten, the manifest grows.
+    first write. Tables are overwritten, the manifest grows. The CSV is parsed once: rows are landed with the name
+    of their file, and the manifest counts the landed ones.
     """
     digests = None
     for table, path in files.items():
@@ -117,12 +123,12 @@ def load_raw(
         if wrong:
             raise ContractError(f"unexpected digest: {[row['file'] for row in wrong]}")
     texts = {
-        table: check_contract(read_csv_text(spark, path, multi_line), table) for table, path in files.items()
+        table: check_contract(read_csv_text(spark, path, table in multi_line), table) for table, path in files.items()
     }
     base, landed = target.rstrip("/"), {}
     for table, text in texts.items():
         place = f"{base}/{table}"
-        text.write.mode("overwrite").parquet(place)
+        text.withColumn(SOURCE_FILE, F.col("_metadata.file_name")).write.mode("overwrite").parquet(place)
         landed[table] = spark.read.parquet(place)
-    manifest_rows(digests, texts).write.mode("append").parquet(f"{base}/manifest")
-    return landed
+    manifest_rows(digests, landed, SOURCE_FILE).write.mode("append").parquet(f"{base}/manifest")
+    return {table: df.drop(SOURCE_FILE) for table, df in landed.items()}

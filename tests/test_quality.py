@@ -100,3 +100,17 @@ def test_pitfalls(frame):
         "payment_mismatch": 1,
         "partial_months": 1,
     }
+
+
+def test_a_fan_out_in_the_published_fact_is_found(spark):
+    from workload import params as p
+    from workload.study import BuiltStudy
+    from workload.queries import checked_tables
+
+    tables = checked_tables(BuiltStudy(spark, "/root/testdata/sf0.001"))
+    fact = tables["fct_orders"]
+    assert {"order_rank", "is_first_order"} <= set(fact.columns)
+    tables["fct_orders"] = fact.unionByName(fact.where("order_rank = 2").limit(3))
+    found = quality.expectation_report(quality.study_expectations(tables, p.IMPOSSIBLE_ALLOWED, p.MISMATCH_ALLOWED))
+    failed = {r["name"]: r["violations"] for r in found.where("status = 'fail'").collect()}
+    assert failed["unique_fct_orders_order_id"] == 3

@@ -51,6 +51,14 @@ def test_expected_digests_pass(spark, folder):
     load_raw(spark, files(folder), f"{folder}/landed", expected_digests=expected)
 
 
+def test_line_breaks_only_where_declared(spark, tmp_path):
+    header = "review_id,order_id,review_score,review_comment_title,review_comment_message,review_creation_date,review_answer_timestamp"
+    (tmp_path / "reviews.csv").write_text(f'{header}\nr1,o1,5,,"two\nlines",2018-01-01,2018-01-02\n')
+    landed = load_raw(spark, {"order_reviews": f"{tmp_path}/reviews.csv"}, f"{tmp_path}/landed")
+    assert rows(landed["order_reviews"], "review_id", "review_comment_message") == [("r1", "two\nlines")]
+    assert landed["order_reviews"].columns == header.split(",")
+
+
 def test_views_and_saved_tables(spark, frame, tmp_path):
     df = frame("seller_id string, state string", ("s1", "SP"), ("s2", "RJ"))
     tables.register_views({"known_sellers": df})

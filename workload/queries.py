@@ -391,10 +391,9 @@ def expect_payments_match_items(s: Study) -> DataFrame:
     return quality.payments_match_items(s.paid, p.TOLERANCE)
 
 
-@built_query
-def expectation_report(s: Study) -> DataFrame:
-    """All checks over written tables, as they run after a build."""
-    tables_by_name = {
+def checked_tables(s: Study) -> dict[str, DataFrame]:
+    """The relations that the declared checks are about, by name."""
+    return {
         "stg_orders": s.orders,
         "stg_order_items": s.items,
         "stg_order_reviews": s.reviews,
@@ -410,8 +409,13 @@ def expectation_report(s: Study) -> DataFrame:
         "mart_seller_delivery": s.mart_seller_delivery,
         "mart_monthly": s.mart_monthly,
     }
+
+
+@built_query
+def expectation_report(s: Study) -> DataFrame:
+    """All checks over written tables, as they run after a build."""
     return quality.expectation_report(
-        quality.study_expectations(tables_by_name, p.IMPOSSIBLE_ALLOWED, p.MISMATCH_ALLOWED)
+        quality.study_expectations(checked_tables(s), p.IMPOSSIBLE_ALLOWED, p.MISMATCH_ALLOWED)
     )
 
 
@@ -587,7 +591,20 @@ def load_manifest(s: Study) -> DataFrame:
         expected = found if expected is None else expected.unionByName(found)
     raw.load_raw(s.spark, files, place, expected_digests=expected)
     listed = s.spark.read.parquet(f"{place}/manifest")
-    return listed.where(F.length("sha256") == 64).groupBy("source").agg(F.sum("rows").alias("rows"))
+    return listed.groupBy("source").agg(F.sum("rows").alias("rows"))
+
+
+@query
+def changed_files(s: Study) -> DataFrame:
+    """Tables of which a file no longer has the digest it was listed with: the products' files were listed wrongly."""
+    listed = found = None
+    for table, path in _csv_files(s).items():
+        digests = manifest.file_digests(s.spark, path).withColumn("source", F.lit(table))
+        wrong = F.when(F.col("source") == "products", F.reverse("sha256")).otherwise(F.col("sha256"))
+        before = digests.withColumn("sha256", wrong)
+        found = digests if found is None else found.unionByName(digests)
+        listed = before if listed is None else listed.unionByName(before)
+    return manifest.check_digests(found, listed).select("source").distinct()
 
 
 @query
