@@ -107,7 +107,7 @@ with p as (
 )
 select p.page_id,
        strlen(p.html)::bigint as payload_bytes,
-       array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
            ((('0x' || substr(p.sha, (i // 8) * 10 + 1, 10))::bigint >> (35 - 5 * (i % 8))::int) & 31)::int + 1, 1)), '')
            as payload_digest,
        case when n = 1 or p.page_id = original then 'response' else 'revisit' end as record_type,
