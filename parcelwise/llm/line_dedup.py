@@ -1,8 +1,8 @@
 """Fuzzy removal of repeated lines, in native expressions only.
 
 Lines are normalised to lower-case words. Equal normalised lines are one node. A node has a 64-bit SimHash of its words;
-words of up to three letters carry no weight, as they would make unrelated lines of one language look alike. Two
-nodes are linked if their SimHashes differ in at most ``MAX_BITS`` bits and the edit similarity of their word sequences is at
+words of up to three letters carry no weight, as they would make unrelated lines of one language look alike; a line
+of such words only has a hash of its own. Two nodes are linked if their SimHashes differ in at most ``MAX_BITS`` bits and the edit similarity of their word sequences is at
 least ``SIMILARITY``. Of every connected group of lines the first occurrence stays, all others are removed.
 
 Candidates: the 64 bits are cut into ``MAX_BITS + 2`` blocks. Two hashes that differ in at most ``MAX_BITS`` bits agree on two
@@ -41,7 +41,9 @@ def _words(line: str) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(``_d``, ``_k``, ``line``, ``raw``): every line with the key of its document."""
-    return docs.select(*_key(), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    # What stands beside a generator is computed once per generated row, so keys are made before.
+    keyed = docs.select(*_key(), F.split("text", "\n").alias("all"))
+    return keyed.select("_d", "_k", F.posexplode("all").alias("line", "raw"))
 
 
 def _key() -> tuple[Column, Column]:
@@ -100,7 +102,9 @@ def _hash_of_pieces(pieces: DataFrame) -> DataFrame:
         for j in range(4)
         for top in range(2)
     ]
-    return wide.select("_d", "_k", "line", "h", "r", _fold(bits).alias("fp"))
+    return wide.select(
+        "_d", "_k", "line", "h", "r", F.when(F.col("n") > 0, _fold(bits)).otherwise(F.col("h")).alias("fp")
+    )
 
 
 def hashed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -108,26 +112,28 @@ def hashed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     ``h`` identifies the normalised line (64 bits), ``r`` the line as it stands.
     """
-    lines = (
+    measured = (
         _lines(docs)
         .select("_d", "_k", "line", F.xxhash64("raw").alias("r"), _words("raw").alias("words"))
-        .where(F.size("words") >= min_words)
+        .select(
+            "_d",
+            "_k",
+            "line",
+            "r",
+            F.xxhash64("words").alias("h"),
+            F.expr(f"cast((size(words) - 1) div {PIECE} + 1 as int)").alias("pieces"),
+            "words",
+        )
     )
-    words = lines.select(
-        "_d",
-        "_k",
-        "line",
-        "r",
-        F.xxhash64("words").alias("h"),
-        F.expr(f"cast((size(words) - 1) div {PIECE} + 1 as int)").alias("pieces"),
-        F.expr("not exists(words, w -> length(w) > 3)").alias("short"),
-        F.posexplode("words").alias("at", "word"),
-    ).where("short or length(word) > 3")
-    bits = F.xxhash64("word")
+    # Outer, and short lines go after counting: a filter on the words would split every line once more.
+    words = measured.select("_d", "_k", "line", "r", "h", "pieces", F.posexplode_outer("words").alias("at", "word"))
+    words = words.withColumn("bits", F.when(F.length("word") > 3, F.xxhash64("word")))
     counted = words.groupBy("_d", "_k", "line", "h", "r", "pieces", F.expr(f"at div {PIECE}").alias("piece")).agg(
-        F.count("*").alias("n"),
-        *[F.sum(F.shiftrightunsigned(bits, i).bitwiseAND(ONES)).alias(f"s{i}") for i in range(8)],
+        F.count("word").alias("n_words"),
+        F.count("bits").alias("n"),
+        *[F.sum(F.shiftrightunsigned("bits", i).bitwiseAND(ONES)).alias(f"s{i}") for i in range(8)],
     )
+    counted = counted.where((F.col("pieces") > 1) | (F.col("n_words") >= min_words))
     single = F.col("pieces") == 1
     pieces = materialised(
         counted.select(
@@ -136,7 +142,7 @@ def hashed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             "line",
             "h",
             "r",
-            F.when(single, _hash_of_piece()).alias("fp"),
+            F.when(single, F.when(F.col("n") > 0, _hash_of_piece()).otherwise(F.col("h"))).alias("fp"),
             *[F.when(~single, F.col(c)).alias(c) for c in ("n", *(f"s{i}" for i in range(8)))],
         )
     )
