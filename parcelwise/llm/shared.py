@@ -78,6 +78,15 @@ def merge_classes(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = jumped
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every node ``a`` has one edge and no ``b`` is the ``a`` of another: then each ``b`` is a root."""
+    nodes = edges.groupBy("a").agg(F.count("*").alias("n"))
+    if not nodes.where("n > 1").isEmpty():
+        return False
+    inner = edges.join(nodes.select(F.col("a").alias("node")), F.col("b") == F.col("node"), "left_semi")
+    return inner.isEmpty()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (``a``, ``b``): one row (``node``, ``root``) for every node with an edge.
 
@@ -88,12 +97,9 @@ def connected(edges: DataFrame) -> DataFrame:
     current = materialised(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    seen = None
     for _ in range(STAR_ROUNDS):
-        state = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if state == seen or not state["n"]:
+        if _is_star_forest(current):
             break
-        seen = state
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         nearest = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), F.least("a", "m").alias("m"))
         large = (
