@@ -7,8 +7,9 @@ least ``SIMILARITY``. Of every connected group of lines the first occurrence sta
 
 Candidates: the 64 bits are cut into ``MAX_BITS + 2`` blocks. Two hashes that differ in at most ``MAX_BITS`` bits agree on two
 blocks at least, so nodes meet under one of the pairs of blocks. Inside such a bucket every node is first compared
-with the bucket's smallest node only; after the groups so far are known, pairs of nodes in different groups are compared.
-A bucket of thousands of alike lines thus costs a comparison per line instead of one per pair.
+with the first node and a few predecessors in the order of the hashes, which is all there is in nearly every bucket; in
+larger ones, after the groups so far are known, pairs of nodes in different groups are compared. A bucket of thousands
+of alike lines thus costs some comparisons per line instead of one per pair.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from parcelwise.session import materialised
 MIN_WORDS = 5
 MAX_BITS = 3
 SIMILARITY = 0.8
+# Nodes before a node, in the order of the hashes of its bucket, that it is compared with.
+NEIGHBOURS = 4
 # Words whose bits are counted in one-byte lanes; longer lines add up several pieces.
 PIECE = 127
 # The bitmap that sorts out lines without a candidate: BITMAPS x 32768 bits, 4 KB each, whatever the input.
@@ -158,19 +161,42 @@ def _block_masks(max_bits: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def _first_shared(differing: Column, max_bits: int) -> Column:
+    """The first mask on which two hashes agree, from their differing bits."""
+    found = F.lit(None).cast("long")
+    for mask in reversed(_block_masks(max_bits)):
+        found = F.when(differing.bitwiseAND(F.lit(mask)) == 0, F.lit(mask)).otherwise(found)
+    return found
+
+
 def _distance(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
 def _bucket_members(nodes: DataFrame, max_bits: int) -> DataFrame:
-    """(``mask``, ``bits``, ``h``, ``fp``, ``p``, ``p_fp``): nodes that share a bucket, with its smallest node."""
+    """(``mask``, ``bits``, ``h``, ``fp``, ``n``, ``near``): nodes that share a bucket, its size, and alike nodes among a few.
+
+    A node is compared with the bucket's first one and its ``NEIGHBOURS`` predecessors in the order of the hashes. Buckets
+    of up to ``NEIGHBOURS + 2`` nodes are thereby done.
+    """
     dealt = nodes.select("h", "fp", F.explode(F.array(*[F.lit(m) for m in _block_masks(max_bits)])).alias("mask"))
     bits = F.col("fp").bitwiseAND(F.col("mask"))
     # Partitioned by the expression, so that the bucket itself is not shuffled.
     dealt = dealt.repartition("mask", bits).withColumn("bits", bits)
-    bucket = Window.partitionBy("mask", "bits").orderBy("h")
-    first = dealt.select("*", F.first("h").over(bucket).alias("p"), F.first("fp").over(bucket).alias("p_fp"))
-    return materialised(first.where("h <> p"))
+    bucket = Window.partitionBy("mask", "bits")
+    along = bucket.orderBy("fp", "h")
+    others = [F.struct(F.first("h").over(along).alias("h"), F.first("fp").over(along).alias("fp"))]
+    others += [
+        F.struct(F.lag("h", i).over(along).alias("h"), F.lag("fp", i).over(along).alias("fp"))
+        for i in range(1, NEIGHBOURS + 1)
+    ]
+    # Nearly all nodes are alone in a bucket and go before anything is looked up.
+    shared = dealt.select("*", F.count("*").over(bucket).alias("n")).where("n > 1")
+    placed = shared.select("*", F.array(*others).alias("others"))
+    alike = F.expr(f"filter(others, x -> x.h <> h and bit_count(x.fp ^ fp) <= {max_bits})")
+    return materialised(
+        placed.withColumn("near", alike).select("mask", "bits", "h", "fp", "n", F.col("near.h").alias("near"))
+    )
 
 
 def _sequences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -228,15 +254,19 @@ def line_classes(
         )
     )
     members = _bucket_members(nodes.select("h", "fp"), max_bits)
-    star = members.where(_distance("fp", "p_fp") <= max_bits).select(F.col("h").alias("a"), F.col("p").alias("b"))
-    everyone = members.select("mask", "bits", "h", "fp").unionByName(
-        members.select("mask", "bits", F.col("p").alias("h"), F.col("p_fp").alias("fp")).distinct()
+    star = members.select(F.col("h").alias("a"), F.explode("near").alias("b")).select(
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
+    )
+    star = materialised(star.distinct())
+    everyone = members.where(F.col("n") > NEIGHBOURS + 2).select("mask", "bits", "h", "fp")
+    named = star.select("a").unionByName(star.select(F.col("b").alias("a"))).unionByName(
+        everyone.select(F.col("h").alias("a"))
     )
-    wanted = everyone.select("h").distinct().join(nodes.select("h", "r"), "h")
+    wanted = named.distinct().join(nodes.select("h", "r"), F.col("a") == F.col("h")).select("h", "r")
     sequences = materialised(_sequences(docs, wanted))
-    links = materialised(_verified(star.distinct(), sequences, similarity))
+    links = materialised(_verified(star, sequences, similarity))
     groups = materialised(connected(links))
-    # Buckets that still hold several groups: pairs across groups only.
+    # Larger buckets that still hold several groups: pairs across groups only, each in the first bucket they share.
     placed = everyone.join(groups, F.col("h") == F.col("node"), "left").select(
         "mask", "bits", "h", "fp", F.coalesce("root", "h").alias("root")
     )
@@ -248,17 +278,19 @@ def line_classes(
         .select("mask", "bits")
     )
     rest = placed.join(mixed, ["mask", "bits"], "left_semi")
-    other = rest.select("mask", "bits", *[F.col(c).alias(f"_{c}") for c in ("h", "fp", "root")])
+    other = rest.select(*[F.col(c).alias(f"_{c}") for c in ("mask", "bits", "h", "fp", "root")])
     across = rest.join(
         other,
-        (rest["mask"] == other["mask"])
-        & (rest["bits"] == other["bits"])
+        (F.col("mask") == F.col("_mask"))
+        & (F.col("bits") == F.col("_bits"))
         & (F.col("h") < F.col("_h"))
         & (F.col("root") != F.col("_root"))
-        & (_distance("fp", "_fp") <= max_bits),
+        & (_distance("fp", "_fp") <= max_bits)
+        & (F.col("mask") == _first_shared(F.col("fp").bitwiseXOR(F.col("_fp")), max_bits)),
     ).select(F.col("h").alias("a"), F.col("_h").alias("b"))
     more = materialised(_verified(across.distinct(), sequences, similarity))
-    groups = connected(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    if not more.isEmpty():
+        groups = connected(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     named = nodes.join(groups, F.col("h") == F.col("node"), "left").select(
         "h", "first", "times", F.coalesce("root", "h").alias("root")
     )

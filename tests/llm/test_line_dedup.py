@@ -59,7 +59,9 @@ def result(df):
     return {r["doc_id"]: r["text"] for r in df.collect()}
 
 
-def test_like_all_pairs(documents, session, small):
+@pytest.mark.parametrize("neighbours", [0, 4])
+def test_like_all_pairs(documents, session, small, monkeypatch, neighbours):
+    monkeypatch.setattr(line_dedup, "NEIGHBOURS", neighbours)
     given = [(r["doc_id"], r["text"]) for r in session.read.parquet(f"{small}/documents.parquet").collect()]
     base = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa"
     words = base.split()
