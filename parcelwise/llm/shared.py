@@ -17,6 +17,9 @@ from parcelwise.session import materialised, tune
 ROWS_PER_BATCH = 512
 BYTES_PER_BATCH = 16 << 20
 
+# Bitmaps of 32768 bits, 4 KB each, that sort out rows without a partner before a join, whatever the input.
+BITMAPS = 1024
+
 # Rounds of the component search; it settles in a logarithmic number.
 STAR_ROUNDS = 60
 
@@ -78,6 +81,26 @@ def merge_classes(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = jumped
 
 
+def probably_in(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose long ``key`` is probably among those of ``wanted`` (``key``), found without a shuffle of ``df``.
+
+    ``wanted`` sets bits in a bitmap of fixed size, which is what is broadcast; no wanted row is lost, others may slip
+    through. An exact join must follow.
+    """
+    bits = BITMAPS * 32768
+    spread = f"pmod({key}, {bits}L)"
+    maps = wanted.groupBy(F.expr(f"cast({spread} div 32768 as int)").alias("_map")).agg(
+        F.expr(f"bitmap_construct_agg(pmod({key}, 32768L))").alias("_bitmap")
+    )
+    byte = f"cast(conv(hex(substring(_bitmap, cast(pmod({key}, 32768L) div 8 as int) + 1, 1)), 16, 10) as int)"
+    return (
+        df.withColumn("_map", F.expr(f"cast({spread} div 32768 as int)"))
+        .join(F.broadcast(maps), "_map")  # at most BITMAPS rows of 4 KB
+        .where(F.expr(f"shiftright({byte}, cast(pmod({key}, 8L) as int)) & 1 = 1"))
+        .select(*df.columns)
+    )
+
+
 def _is_star_forest(edges: DataFrame) -> bool:
     """Whether every node ``a`` has one edge and no ``b`` is the ``a`` of another: then each ``b`` is a root."""
     nodes = edges.groupBy("a").agg(F.count("*").alias("n"))

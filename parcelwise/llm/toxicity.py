@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
@@ -28,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.llm.shared import arrow_map
+from parcelwise.llm.shared import arrow_map, probably_in
 from parcelwise.session import materialised
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = "other", "insult", "threat", "target", "negation", "report"
@@ -297,11 +298,8 @@ def evidence(toxic: int, other: int, all_toxic: int, all_other: int) -> tuple[fl
 def learned_stems(labelled: DataFrame, limit: int = STEMS) -> list[tuple[str, str, float]]:
     """At most ``limit`` stems of insults with weights, from all rows of ``labelled`` (``text``, ``label``).
 
-    Every text counts once per word. Texts are first reduced to one per content, so that copies do not vote twice.
-    A stem is kept if no shorter one of its beginnings is; stems that only one word has are kept as whole words.
+    Every text counts once per word. A stem is kept if no shorter one of its beginnings is; stems that only one word has are kept as whole words.
     """
-    unique = labelled.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("label").alias("label"))
-
     def words(batches: Iterator[dict]) -> Iterator[dict]:
         counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
         for batch in batches:
@@ -320,14 +318,14 @@ def learned_stems(labelled: DataFrame, limit: int = STEMS) -> list[tuple[str, st
             out: dict[str, list] = {"stem": [], "word": [], "other": [], "toxic": []}
             for word, other, toxic in zip(batch["word"], batch["other"], batch["toxic"], strict=True):
                 for stem in _beginnings(word) if word else [""]:
-                    for name, value in zip(out, (stem, word, other, toxic), strict=True):
+                    for name, value in zip(out, (stem, zlib.crc32(word.encode()), other, toxic), strict=True):
                         out[name].append(value)
             yield out
 
-    counted = arrow_map(unique.select("text", "label"), "word string, other long, toxic long", words)
+    counted = arrow_map(labelled.select("text", "label"), "word string, other long, toxic long", words)
     counted = counted.groupBy("word").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
     by_stem = (
-        arrow_map(counted, "stem string, word string, other long, toxic long", stems)
+        arrow_map(counted, "stem string, word long, other long, toxic long", stems)
         .groupBy("stem")
         .agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"), F.min("word").alias("low"), F.max("word").alias("high"))
     )
@@ -342,7 +340,7 @@ def learned_stems(labelled: DataFrame, limit: int = STEMS) -> list[tuple[str, st
             found = [evidence(t, o, *sums) for t, o in zip(batch["toxic"], batch["other"], strict=True)]
             yield batch | {"ratio": [f[0] for f in found], "odds": [f[1] for f in found]}
 
-    layout = "stem string, other long, toxic long, low string, high string, ratio double, odds double"
+    layout = "stem string, other long, toxic long, low long, high long, ratio double, odds double"
     good = arrow_map(by_stem.where("stem <> ''"), layout, judged).where(
         f"ratio >= {EVIDENCE} and odds >= {LEAST_LOG_ODDS} and (low <> high or endswith(stem, '$'))"
     )
@@ -357,6 +355,22 @@ def learned_stems(labelled: DataFrame, limit: int = STEMS) -> list[tuple[str, st
     return [(s, INSULT, w / top) for s, w in found.items()]
 
 
+def one_vote_each(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(``text``, ``label``) of the labelled documents, each text once however many copies it has.
+
+    Which document stands for a text is settled on hashes; texts move only of documents that are probably chosen.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    hashed = texts.select("doc_id", F.xxhash64("text").alias("_h"))
+    chosen = hashed.join(labels, "doc_id").groupBy("_h").agg(
+        F.max("label").alias("label"), F.min("doc_id").alias("doc_id")
+    )
+    chosen = materialised(chosen.withColumn("_key", F.xxhash64("doc_id", "_h")))
+    keyed = texts.withColumn("_key", F.xxhash64("doc_id", F.xxhash64("text")))
+    near = probably_in(keyed, "_key", chosen).select("_key", "text")
+    return near.join(chosen.select("_key", "label"), "_key").dropDuplicates(["_key"]).select("text", "label")
+
+
 def learned(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
     """A model from the labels (``doc_id``, ``label``) for which ``learn`` holds.
 
@@ -368,8 +382,7 @@ def learned(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAM
         .groupBy("doc_id")
         .agg(F.max("label").cast("int").alias("label"))
     )
-    labelled = docs.select(F.col("doc_id").cast("long"), "text").join(clean, "doc_id")
-    found = learned_stems(labelled)
+    found = learned_stems(one_vote_each(docs, clean))
     ends, open_ = [s for s in found if s[0].endswith("$")], [s for s in found if not s[0].endswith("$")]
     model = Model(open_, [(s[:-1], kind, w) for s, kind, w in ends])
     drawn = None

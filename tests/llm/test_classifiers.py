@@ -127,7 +127,10 @@ def test_stems_are_learned(documents, session):
     clean = [(100 + i, f"text{i} has grumpy in place{i}. And vila{i % 3} too") for i in range(90)]
     copies = [(300 + i, "a copied text with onlyhere inside") for i in range(50)]
     rows = [(*r, 1) for r in toxic + copies] + [(*r, 0) for r in clean]
-    found = toxicity.learned_stems(session.createDataFrame(rows, "doc_id long, text string, label int"))
+    labels = session.createDataFrame([(r[0], r[2]) for r in rows] + [(9999, 1)], "doc_id long, label int")
+    votes = toxicity.one_vote_each(documents(*[r[:2] for r in rows], (None, "x"), (7000, "unlabelled")), labels)
+    assert votes.count() == 60 + 90 + 1
+    found = toxicity.learned_stems(votes)
     stems = {s for s, _, _ in found}
     assert any("grumblo".startswith(s) and len(s) > 4 for s in stems) and "vile" in stems
     assert not any("onlyhere".startswith(s.rstrip("$")) or "grumpy".startswith(s.rstrip("$")) for s in stems)
