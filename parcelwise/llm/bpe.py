@@ -11,13 +11,14 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Words with more parts are merged through a heap.
 SHORT_WORD = 48
@@ -149,9 +150,11 @@ class Encoder:
         return " ".join(map(self.names.__getitem__, ids))
 
 
-def encoded(docs: DataFrame, path: str) -> DataFrame:
+def encoded(docs: DataFrame, path: str, carried: Sequence[str] = ()) -> DataFrame:
     """(``doc_id``, ``ids`` array, ``decoded``): every whole text as tokens, and the text the tokens decode to.
 
+    The columns named in ``carried`` follow unchanged.
+
     ``path`` names the tokenizer definition on the driver, which sends it to the tasks once (a file of fixed size). A
     null text counts as empty: no ids, empty decoded text. Rows with null or repeated ids keep one row each; other
     columns are ignored; an empty table gives an empty result.
@@ -167,11 +170,13 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
             flat = np.fromiter((i for ids in lists for i in ids), np.int32, ends[-1])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
             decoded = pa.array(list(map(encoder.decode, lists)), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, decoded], ["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), ids, decoded, *batch.columns[2:]], ["doc_id", "ids", "decoded", *carried]
+            )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, ids array<int>, decoded string"
-    )
+    given = docs.select(F.col("doc_id").cast("long"), "text", *carried)
+    schema = StructType.fromDDL("doc_id long, ids array<int>, decoded string")
+    return given.mapInArrow(run, StructType(schema.fields + given.schema.fields[2:]))
 
 
 def token_digests(tokens: DataFrame) -> DataFrame:
