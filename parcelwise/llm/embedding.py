@@ -4,6 +4,10 @@ A pass draws random hyperplanes, writes the side of each as one bit, and sorts a
 vectors share a long beginning of the word in some pass and so come to stand close together; each vector is
 compared with a fixed number of predecessors. Verified pairs of all passes are united to components.
 
+Where many vectors are alike without being linked, as in a narrow cone, a window holds a small part of them in every
+pass. A vector that has such neighbours in half its window belongs to a dense group: what the windows of all passes
+join at ``NEAR``. Inside these groups all pairs are compared, block by block.
+
 Passes see a bounded window only, so in a component of many vectors they find its members but not all pairs. Those
 are completed exactly: angles to the component's first vector decide most pairs by the triangle inequality (two vectors
 within half the limit of it are linked for certain), and only members further away are compared with the others.
@@ -31,6 +35,9 @@ SEED = 11
 # Vectors of a component compared as one block, and rows sorted and compared at once.
 BLOCK = 1024
 CHUNK = 8192
+# Cosine from which unlinked neighbours make a stretch dense, and vectors of a dense group compared as one block.
+NEAR = 0.5
+DENSE_BLOCK = 8192
 
 
 def unit(vector: list | None) -> np.ndarray | None:
@@ -74,22 +81,47 @@ def _distinct(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed.select("vec_id", "node"), materialised(arrow_map(grouped, schema, rows).where("size > 0"))
 
 
-def window_links(
-    groups: np.ndarray, vectors: np.ndarray, carried: int, window: int, cosine: float
-) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of linked pairs at most ``window`` rows apart in one group, without pairs inside the carried rows."""
+def _spanning(size: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions that are not the first of their class under the links, and the first ones."""
+    label = np.arange(size)
+    merge_classes(label, a, b)
+    linked = np.flatnonzero(label != np.arange(size))
+    return linked, label[linked]
+
+
+def window_pairs(
+    groups: np.ndarray, vectors: np.ndarray, carried: int, window: int, cosine: float, near: float = NEAR
+) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Positions of linked pairs at most ``window`` rows apart in one group, without pairs inside the carried rows, and
+    of pairs that hold dense stretches together: rows with unlinked ones from ``near`` on in half their window, and the nearest
+    and the farthest of these."""
     found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    alike = np.zeros(len(vectors), np.int64)
+    nearest, farthest = np.zeros_like(alike), np.zeros_like(alike)
     for d in range(1, min(window, len(vectors) - 1) + 1):
         first = max(0, carried - d)
-        near = np.einsum("ij,ij->i", vectors[first + d :], vectors[first : len(vectors) - d]) >= cosine
-        near &= groups[first + d :] == groups[first : len(groups) - d]
-        at = np.flatnonzero(near) + first
+        cosines = np.einsum("ij,ij->i", vectors[first + d :], vectors[first : len(vectors) - d])
+        same = groups[first + d :] == groups[first : len(groups) - d]
+        at = np.flatnonzero(same & (cosines >= cosine)) + first
         found.append((at, at + d))
-    return tuple(map(np.concatenate, zip(*found, strict=True)))
+        at = np.flatnonzero(same & (cosines >= near) & (cosines < cosine)) + first
+        nearest[at + d] = np.where(alike[at + d] == 0, at, nearest[at + d])
+        farthest[at + d] = at
+        alike[at + d] += 1
+    dense = np.flatnonzero(2 * alike >= max(window, 2))
+    held = np.concatenate([nearest[dense], farthest[dense]]), np.concatenate([dense, dense])
+    return tuple(map(np.concatenate, zip(*found, strict=True))), held
+
+
+def window_links(
+    groups: np.ndarray, vectors: np.ndarray, carried: int, window: int, cosine: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """The linked pairs of ``window_pairs``."""
+    return window_pairs(groups, vectors, carried, window, cosine)[0]
 
 
 def _pass_links(distinct: DataFrame, turns: list[int], window: int, cosine: float, seed: int) -> DataFrame:
-    """Spanning links (``a``, ``b``) found in some passes."""
+    """Spanning links (``a``, ``b``) found in some passes, and those of dense stretches (``dense``)."""
 
     def worded(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
@@ -112,18 +144,18 @@ def _pass_links(distinct: DataFrame, turns: list[int], window: int, cosine: floa
 
         def solve() -> dict:
             sizes = np.array(list(map(len, held[2])))
-            out: dict[str, list] = {"a": [], "b": []}
+            out: dict[str, list] = {"a": [], "b": [], "dense": []}
             nodes = np.array(held[1], np.int64)
             for size in np.unique(sizes):
                 rows = np.flatnonzero(sizes == size)
                 matrix = np.array([held[2][i] for i in rows])
                 turn = np.array(held[0])[rows]
-                a, b = window_links(turn, matrix, int((rows < carried).sum()), window, cosine)
-                label = np.arange(len(rows))
-                merge_classes(label, a, b)
-                linked = np.flatnonzero(label != np.arange(len(rows)))
-                out["a"] += nodes[rows[linked]].tolist()
-                out["b"] += nodes[rows[label[linked]]].tolist()
+                pairs = window_pairs(turn, matrix, int((rows < carried).sum()), window, cosine)
+                for (a, b), dense in zip(pairs, (False, True), strict=True):
+                    linked, to = _spanning(len(rows), a, b)
+                    out["a"] += nodes[rows[linked]].tolist()
+                    out["b"] += nodes[rows[to]].tolist()
+                    out["dense"] += [dense] * len(linked)
             return out
 
         for batch in batches:
@@ -138,7 +170,52 @@ def _pass_links(distinct: DataFrame, turns: list[int], window: int, cosine: floa
 
     wide = arrow_map(distinct, "turn int, size int, word long, node long, unit array<double>", worded)
     order = ["turn", "size", "word", "node"]
-    return arrow_map(wide.repartitionByRange(*order).sortWithinPartitions(*order), "a long, b long", compared)
+    ordered = wide.repartitionByRange(*order).sortWithinPartitions(*order)
+    return arrow_map(ordered, "a long, b long, dense boolean", compared)
+
+
+def _dense_links(distinct: DataFrame, groups: DataFrame, cosine: float, block: int) -> DataFrame:
+    """Spanning links (``a``, ``b``) of all pairs inside each group (``node``, ``root``).
+
+    A group is cut into parts of about ``block`` vectors; a task gets two parts at a time, or one to compare with itself.
+    """
+    parts = groups.groupBy("root").agg(F.expr(f"(count(*) - 1) div {block} + 1").alias("parts"))
+    placed = distinct.select("node", "unit").join(groups, "node").join(parts, "root")
+    part = F.pmod(F.xxhash64("node", "root"), "parts").alias("part")
+    dealt = placed.select("root", "node", "unit", part, F.explode(F.expr("sequence(0L, parts - 1)")).alias("other"))
+    cell = ["root", "low", "high"]
+    dealt = dealt.select(
+        "root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "unit"
+    )
+
+    def compared(batches: Iterator[dict]) -> Iterator[dict]:
+        now, nodes, parts, units = None, [], [], []
+
+        def solve() -> Iterator[dict]:
+            names, matrix = np.array(nodes, np.int64), np.array(units)
+            cut = len(parts) if now[1] == now[2] else parts.index(now[2]) if now[2] in parts else len(parts)
+            right = 0 if now[1] == now[2] else cut
+            label = np.arange(len(names))
+            for start in range(0, cut, BLOCK // 2):
+                a, b = np.nonzero(matrix[start : min(cut, start + BLOCK // 2)] @ matrix[right:].T >= cosine)
+                merge_classes(label, a + start, b + right)
+            linked = np.flatnonzero(label != np.arange(len(names)))
+            yield {"a": names[linked].tolist(), "b": names[label[linked]].tolist()}
+
+        for batch in batches:
+            for root, low, high, own, node, vector in zip(*batch.values(), strict=True):
+                if now != (root, low, high):
+                    if nodes:
+                        yield from solve()
+                    now, nodes, parts, units = (root, low, high), [], [], []
+                nodes.append(node)
+                parts.append(own)
+                units.append(np.array(vector))
+        if nodes:
+            yield from solve()
+
+    ordered = dealt.repartition(*cell).sortWithinPartitions(*cell, "part")
+    return arrow_map(ordered, "a long, b long", compared)
 
 
 def _degrees(members: DataFrame, cosine: float, block: int) -> DataFrame:
@@ -218,6 +295,7 @@ def near_duplicates(
     window: int = WINDOW,
     seed: int = SEED,
     block: int = BLOCK,
+    dense_block: int = DENSE_BLOCK,
 ) -> DataFrame:
     """One row per row of ``vectors`` (``vec_id``, ``embedding``): ``vec_id``, ``n_links``, ``component_id``, ``kept``.
 
@@ -233,6 +311,11 @@ def near_duplicates(
         turns = list(range(start, min(passes, start + PASSES_AT_ONCE)))
         links = materialised(_pass_links(distinct, turns, window, cosine, seed))
         found = links if found is None else found.unionByName(links)
+    dense = connected(found.where("dense"))
+    found = found.where("not dense").select("a", "b")
+    if not dense.isEmpty():
+        dense = materialised(dense)
+        found = found.unionByName(materialised(_dense_links(distinct, dense, cosine, dense_block)))
     groups = materialised(connected(found))
     roots = groups.select("node", "root")
     members = distinct.join(roots, "node").select("root", "node", "times", "unit")
