@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.llm.shared import arrow_map, connected, merge_classes
@@ -53,14 +53,20 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def _row_key() -> Column:
+    """Tells texts under one id apart."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(``doc_id``, ``fp``): the fingerprint of every row's text as a signed long."""
+    """(``doc_id``, ``key``, ``fp``): the key of every row and the fingerprint of its text as a signed long."""
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            yield {"doc_id": batch["doc_id"], "fp": [_signed(fingerprint(t, words)) for t in batch["text"]]}
+            yield {n: batch[n] for n in ("doc_id", "key")} | {"fp": [_signed(fingerprint(t, words)) for t in batch["text"]]}
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, fp long", rows)
+    keyed = docs.select(F.col("doc_id").cast("long"), _row_key().alias("key"), "text")
+    return arrow_map(keyed, "doc_id long, key long, fp long", rows)
 
 
 def trie_links(group: np.ndarray, fp: np.ndarray, max_bits: int) -> np.ndarray:
@@ -195,6 +201,19 @@ def linked_fingerprints(distinct: DataFrame, max_bits: int = 3, large: int = LAR
     return arrow_map(ordered, "a long, b long", lambda batches: _joined(batches, max_bits))
 
 
+def _components(docs: DataFrame, words: int, max_bits: int, large: int) -> DataFrame:
+    """(``doc_id``, ``key``, ``fp``, ``root``, ``component_id``): every row with its component and the smallest id there."""
+    marked = materialised(fingerprints(docs, words))
+    distinct = materialised(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = connected(linked_fingerprints(distinct.select("fp"), max_bits, large))
+    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root")
+    )
+    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = materialised(named.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id"))
+    return marked.join(classes, "fp").select("doc_id", "key", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3, large: int = LARGE_TRIE) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``.
 
@@ -204,26 +223,20 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3, large: i
     component, or null if there is none. Rows with a repeated id keep one output row each. Other columns of
     ``docs`` are ignored. An empty table gives an empty result.
     """
-    marked = materialised(fingerprints(docs, words))
-    distinct = materialised(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected(linked_fingerprints(distinct.select("fp"), max_bits, large))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = materialised(named.select("fp", "root").join(smallest, "root").select("fp", "component_id"))
-    return marked.join(classes, "fp").select(
+    return _components(docs, words, max_bits, large).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def one_per_component(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFrame:
-    """``docs`` without near-copies: of every component the row with the smallest ``doc_id`` stays.
+    """``docs`` without near-copies: of every component a row with the smallest ``doc_id`` stays.
 
-    Rows with a null id name no component and are kept. Of several rows with the same kept id one stays.
+    Rows with a null id name no component and are kept. Rows of one id and different texts are rows of their own: each
+    stays or goes with its component.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), words, max_bits)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    stays = named.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return stays.unionByName(docs.where("doc_id is null"))
+    found = _components(docs.select("doc_id", "text"), words, max_bits, LARGE_TRIE)
+    kept = found.where("doc_id = component_id").groupBy("root").agg(F.min("key").alias("_kept"))
+    named = docs.where("doc_id is not null")
+    stays = named.join(kept.select("_kept"), _row_key() == F.col("_kept"), "left_semi")
+    # Rows alike in id and text are one.
+    return stays.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
