@@ -48,13 +48,3 @@ def frame(spark):
         return spark.createDataFrame(cooked, schema)
 
     return build
-
-
-def rows(df, *columns):
-    return [tuple(row) for row in (df.select(*columns) if columns else df).collect()]
-
-
-def one(df):
-    found = df.collect()
-    assert len(found) == 1
-    return found[0].asDict()

@@ -1,6 +1,6 @@
 import datetime as dt
 
-from conftest import one, rows
+from helpers import one, rows
 from parcelwise.plans import delivery
 
 SCHEMA = (

@@ -2,7 +2,7 @@ import datetime as dt
 import statistics
 from decimal import Decimal
 
-from conftest import rows
+from helpers import rows
 from parcelwise.plans import marts
 
 ROUTES = (

@@ -3,7 +3,7 @@ from decimal import Decimal
 
 import pytest
 
-from conftest import one, rows
+from helpers import one, rows
 from parcelwise.plans import model
 
 ORDERS = (

@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from conftest import one, rows
+from helpers import one, rows
 from parcelwise.plans import delivery, promise, rolling, routes
 
 SCHEMA = (

@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import one, rows
+from helpers import one, rows
 from parcelwise.plans import publish
 
 METRICS = "section string, key string, ordinal bigint, metric string, value double, text string"

@@ -1,6 +1,6 @@
 from decimal import Decimal
 
-from conftest import one, rows
+from helpers import one, rows
 from parcelwise.plans import quality
 from parcelwise.plans.quality import Expectation, FilledColumns
 

@@ -1,6 +1,6 @@
 import math
 
-from conftest import one
+from helpers import one
 from parcelwise.plans import repeat
 
 SCHEMA = "is_eligible boolean, returned_in_window boolean, is_late boolean, customer_state string"

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import pytest
 
-from conftest import one, rows
+from helpers import one, rows
 from parcelwise.plans import sellers
 
 TIMELINE = (

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from parcelwise.operators.lookups import lookup
 from parcelwise.operators.slices import range_slices, ranked_sequence, running_totals
 

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from conftest import rows
+from helpers import rows
 from parcelwise import session
 from parcelwise.sources import calendar, manifest, tables
 from parcelwise.sources.raw import ContractError, load_raw
