@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from parcelwise.llm import (
     bpe,
+    collocations,
     embedding,
     line_dedup,
     mixing,
@@ -125,11 +126,80 @@ def op10_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 2,000 phrases of two and three words of each language."""
+    found = collocations.collocations(table(spark, sf_dir, "documents"), (2, 3), least=10, subsumed_percent=50, top=2000)
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+OP11 = """
+with pieces as (
+    select coalesce(lang, 'und') as lang,
+           unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece
+    from documents
+), worded as (
+    select lang, row_number() over () as piece_id, regexp_extract_all(piece, '[^\\x20\\x09]+') as ws from pieces
+), placed as (
+    select lang, piece_id, unnest(ws) as w1, unnest(range(len(ws))) as i from worded
+), runs as (
+    select lang, w1, lead(w1, 1) over along as w2, lead(w1, 2) over along as w3
+    from placed window along as (partition by piece_id order by i)
+), f as materialized (
+    select lang, k, case k when 1 then w1 when 2 then w1 || ' ' || w2 else w1 || ' ' || w2 || ' ' || w3 end as phrase,
+           count(*) as n
+    from runs, (values (1), (2), (3)) as sizes(k)
+    where k = 1 or (k = 2 and w2 is not null) or (k = 3 and w3 is not null)
+    group by all
+), totals as (
+    select lang, sum(n)::bigint as n from f where k = 1 group by lang
+), candidates as (
+    select *, string_split(phrase, ' ') as ws from f where k >= 2 and n >= 10
+), inner_parts as (
+    select lang, n, array_to_string(ws[1:2], ' ') as phrase from candidates where k = 3
+    union all
+    select lang, n, array_to_string(ws[2:3], ' ') from candidates where k = 3
+), longer as (
+    select lang, phrase, max(n) as n from inner_parts group by all
+), parts as (
+    select lang, phrase, n as a, unnest(range(1, k)) as j, ws from candidates
+), sides as materialized (
+    select lang, phrase, a, j, array_to_string(ws[1:j], ' ') as first, array_to_string(ws[j + 1:], ' ') as rest from parts
+), cuts as (
+    select s.lang, s.phrase, s.a, s.j, x.n as l, y.n as r,
+           ((1000000::hugeint * s.a * s.a) // (x.n::hugeint * y.n))::bigint as score
+    from sides s
+    join f x on x.lang = s.lang and x.phrase = s.first
+    join f y on y.lang = s.lang and y.phrase = s.rest
+), best as (
+    select * from cuts qualify row_number() over (partition by lang, phrase order by score, j) = 1
+), ranked as (
+    select b.*, row_number() over (partition by b.lang order by b.score desc, b.a desc, b.phrase) as rank
+    from best b left join longer g on g.lang = b.lang and g.phrase = b.phrase
+    where coalesce(100 * g.n < 50 * b.a, true)
+)
+select lang, rank, phrase, a, l, r, t.n as n, score from ranked join totals t using (lang) where rank <= 2000
+"""
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to query."""
-    return {f.__name__: f for f in (op1_line_dedup, op2_repeats, op3_simhash, op4_embedding, op5_mixing, op6_quality_rules, op7_toxicity, op8_warc, op9_bpe, op10_quality_net)}
+    found = (
+        op1_line_dedup,
+        op2_repeats,
+        op3_simhash,
+        op4_embedding,
+        op5_mixing,
+        op6_quality_rules,
+        op7_toxicity,
+        op8_warc,
+        op9_bpe,
+        op10_quality_net,
+        op11_collocations,
+    )
+    return {f.__name__: f for f in found}
 
 
 def statements() -> dict[str, str]:
     """Query name to the SQL that gives the same rows."""
-    return {"op8_warc": OP8}
+    return {"op8_warc": OP8, "op11_collocations": OP11}
