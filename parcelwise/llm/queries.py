@@ -12,6 +12,7 @@ from parcelwise.llm import (
     bpe,
     collocations,
     embedding,
+    lexical,
     line_dedup,
     mixing,
     quality_net,
@@ -182,6 +183,44 @@ select lang, rank, phrase, a, l, r, t.n as n, score from ranked join totals t us
 """
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=10)
+
+
+OP12 = """
+with texts as (
+    select true as is_doc, row_number() over () as row_id, doc_id as id, text from documents
+    union all
+    select false, row_number() over (), item_id, text from benchmark
+), termed as (
+    select is_doc, row_id, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as ts
+    from texts
+), occurrences as (
+    select is_doc, row_id, id, len(ts) as n, unnest(ts) as term from termed
+), tf as materialized (
+    select is_doc, row_id, id, n, term, count(*) as tf from occurrences group by all
+), sizes as (
+    select count(*) as docs, sum(len(ts))::bigint as terms from termed where is_doc and len(ts) > 0
+), weights as (
+    select term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::bigint as w
+    from tf, sizes where is_doc group by term
+), impacts as (
+    select row_id, id, term, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)) as x
+    from tf, sizes where is_doc
+), scores as (
+    select q.row_id as item_row, q.id as item_id, d.row_id, d.id as doc_id, sum(q.tf * w * x)::bigint as score
+    from tf q join weights using (term) join impacts d using (term)
+    where not q.is_doc
+    group by all
+)
+select item_id, row_number() over (partition by item_row order by score desc, doc_id)::int as rank, doc_id, score
+from scores where score > 0
+qualify rank <= 10
+"""
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to query."""
     found = (
@@ -196,10 +235,11 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_bpe,
         op10_quality_net,
         op11_collocations,
+        op12_lexical,
     )
     return {f.__name__: f for f in found}
 
 
 def statements() -> dict[str, str]:
     """Query name to the SQL that gives the same rows."""
-    return {"op8_warc": OP8, "op11_collocations": OP11}
+    return {"op8_warc": OP8, "op11_collocations": OP11, "op12_lexical": OP12}
