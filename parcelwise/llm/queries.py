@@ -14,6 +14,7 @@ from parcelwise.llm import (
     embedding,
     lexical,
     line_dedup,
+    maxent,
     mixing,
     quality_net,
     quality_rules,
@@ -221,6 +222,12 @@ qualify rank <= 10
 """
 
 
+def op13_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain and model log10 probability of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", _held_out(5, 1).alias("held_out"))
+    return maxent.scored(docs, maxent.learned(docs.where("not held_out")), ["doc_id", "held_out"])
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to query."""
     found = (
@@ -236,6 +243,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_quality_net,
         op11_collocations,
         op12_lexical,
+        op13_maxent,
     )
     return {f.__name__: f for f in found}
 
