@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelwise.sources.manifest import check_digests, file_digests, manifest_rows
+from parcelwise.sources.records import read_csv_records
 
 # The columns each raw table must have (spelling as in the source).
 RAW_COLUMNS = {
@@ -68,9 +69,6 @@ RAW_COLUMNS = {
     "category_translation": ["product_category_name", "product_category_name_english"],
 }
 
-# Tables whose texts may contain line breaks inside quotes; Spark cannot split their files.
-MULTI_LINE_TABLES = ("order_reviews",)
-
 # The file a landed row came from.
 SOURCE_FILE = "_source_file"
 
@@ -79,12 +77,18 @@ class ContractError(ValueError):
     """A raw table lacks expected columns, or a file is not the expected one."""
 
 
-def read_csv_text(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """CSV with a header, every column as text, bound by name.
+def read_csv_text(spark: SparkSession, path: str, file_column: str | None = None) -> DataFrame:
+    """CSV with a header, every column as text, bound by name; quoted fields may contain line breaks.
 
-    With ``multi_line`` quoted fields may contain line breaks, but Spark reads a file in one task: give many files.
+    Large files are read by several tasks. ``file_column`` adds the name of the file a row came from.
     """
-    return spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
+    return read_csv_records(spark, path, file_column)
+
+
+def read_csv_lines(spark: SparkSession, path: str, file_column: str | None = None) -> DataFrame:
+    """As ``read_csv_text`` for files without line breaks inside fields, in one pass; such a break gives wrong rows."""
+    lines = spark.read.csv(path, header=True, escape='"')
+    return lines.withColumn(file_column, F.col("_metadata.file_name")) if file_column else lines
 
 
 def describe(df: DataFrame) -> DataFrame:
@@ -106,13 +110,14 @@ def load_raw(
     files: Mapping[str, str],
     target: str,
     expected_digests: DataFrame | None = None,
-    multi_line: Collection[str] = MULTI_LINE_TABLES,
+    by_lines: Collection[str] = (),
 ) -> dict[str, DataFrame]:
     """Land raw CSV tables as Parquet under ``target``, with a manifest, and return the landed tables.
 
     ``files`` maps a table name to a path or glob. Digests and all column contracts are checked before the
     first write. Tables are overwritten, the manifest grows. The CSV is parsed once: rows are landed with the name
-    of their file, and the manifest counts the landed ones.
+    of their file, and the manifest counts the landed ones. Fields may contain line breaks in every table; those known
+    to have none can be named in ``by_lines``.
     """
     digests = None
     for table, path in files.items():
@@ -122,13 +127,14 @@ def load_raw(
         wrong = check_digests(digests, expected_digests).take(5)
         if wrong:
             raise ContractError(f"unexpected digest: {[row['file'] for row in wrong]}")
-    texts = {
-        table: check_contract(read_csv_text(spark, path, table in multi_line), table) for table, path in files.items()
-    }
+    texts = {}
+    for table, path in files.items():
+        read = read_csv_lines if table in by_lines else read_csv_text
+        texts[table] = check_contract(read(spark, path, SOURCE_FILE), table)
     base, landed = target.rstrip("/"), {}
     for table, text in texts.items():
         place = f"{base}/{table}"
-        text.withColumn(SOURCE_FILE, F.col("_metadata.file_name")).write.mode("overwrite").parquet(place)
+        text.write.mode("overwrite").parquet(place)
         landed[table] = spark.read.parquet(place)
     manifest_rows(digests, landed, SOURCE_FILE).write.mode("append").parquet(f"{base}/manifest")
     return {table: df.drop(SOURCE_FILE) for table, df in landed.items()}

@@ -1,0 +1,86 @@
+import csv
+import random
+
+import pytest
+
+from helpers import rows
+from parcelwise.sources import raw, records
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Files are cut every few hundred bytes."""
+    before = {name: spark.conf.get(name) for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    yield spark
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def write(path, table, line_end="\n"):
+    with path.open("w", newline="", encoding="utf-8") as out:
+        csv.writer(out, lineterminator=line_end).writerows(table)
+    return str(path)
+
+
+def made(seed, n, breaks):
+    """Rows of an id and two texts with quotes, commas and line breaks, some of them longer than a split."""
+    rng = random.Random(seed)
+    pieces = ["word", "é", ",", '"', '""', " ", "x" * 30, *(["\n", "\n\n", '"\n"', "\r\n"] if breaks else [])]
+    texts = [["".join(rng.choices(pieces, k=rng.choice([1, 3, 9, 60 if breaks else 9]))) or "-" for _ in range(2)] for _ in range(n)]
+    return [("id", "a", "b"), *((f"{seed}-{i}", f"<{a}>", f"<{b}>") for i, (a, b) in enumerate(texts))]
+
+
+@pytest.mark.parametrize("breaks", [True, False])
+@pytest.mark.parametrize("line_end", ["\n", "\r\n"])
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_like_reading_each_file_from_its_start(small_splits, tmp_path, seed, line_end, breaks):
+    tables = [made(f"{seed}{part}", 60, breaks) for part in range(3)]
+    for part, table in enumerate(tables):
+        write(tmp_path / f"part{part}.csv", table, line_end)
+    found = records.read_csv_records(small_splits, f"{tmp_path}/*.csv", "file")
+    assert found.columns == ["id", "a", "b", "file"]
+    expected = [(*row, f"part{part}.csv") for part, table in enumerate(tables) for row in table[1:]]
+    assert sorted(rows(found)) == sorted(expected)
+    assert records._lines(small_splits, f"{tmp_path}/*.csv").select("_file", "_block").distinct().count() > 20
+
+
+def test_a_field_over_several_splits(small_splits, tmp_path):
+    long = "\n".join(f"line {i} of a long field" for i in range(200))
+    table = [("id", "a"), ("1", long), ("2", "b"), ("3", f"x\n{long}"), ("4", long), ("5", "\n")]
+    found = records.read_csv_records(small_splits, write(tmp_path / "long.csv", table))
+    assert sorted(rows(found)) == table[1:]
+
+
+def test_no_shuffle_of_text_without_open_quotes(small_splits, tmp_path):
+    path = write(tmp_path / "plain.csv", made(4, 50, False))
+    plan = records.read_csv_records(small_splits, path)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "collect_list" not in plan
+    broken = records.read_csv_records(small_splits, write(tmp_path / "broken.csv", made(4, 50, True)))
+    # Two running sums over one arrangement of the lines.
+    assert broken._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(_file") == 1
+
+
+def test_different_headers_stop(spark, tmp_path):
+    write(tmp_path / "a.csv", [("id", "a"), ("1", "x")])
+    write(tmp_path / "b.csv", [("a", "id"), ("x", "1")])
+    with pytest.raises(records.LayoutError, match="different headers"):
+        records.read_csv_records(spark, f"{tmp_path}/*.csv")
+
+
+def test_short_rows_blank_lines_and_empty_files(spark, tmp_path):
+    (tmp_path / "odd.csv").write_text('id,a,b\n\n1,x\n   \n2,"",z,more\n3,"two\nlines",w', encoding="utf-8")
+    found = records.read_csv_records(spark, f"{tmp_path}/odd.csv")
+    assert sorted(rows(found)) == [("1", "x", None), ("2", None, "z"), ("3", "two\nlines", "w")]
+    (tmp_path / "only.csv").write_text("id,a\n")
+    assert rows(records.read_csv_records(spark, f"{tmp_path}/only.csv")) == []
+
+
+def test_every_table_keeps_line_breaks(spark, tmp_path):
+    header = raw.RAW_COLUMNS["customers"]
+    path = write(tmp_path / "customers.csv", [header, ("c1", "u1", "01000", "sao\npaulo", "SP"), ("c2", "u2", "1", "rio", "RJ")])
+    landed = raw.load_raw(spark, {"customers": path}, f"{tmp_path}/landed")["customers"]
+    assert sorted(rows(landed, "customer_id", "customer_city")) == [("c1", "sao\npaulo"), ("c2", "rio")]
+    plain = raw.load_raw(spark, {"customers": path}, f"{tmp_path}/again", by_lines=["customers"])["customers"]
+    assert plain.count() == 3
