@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 # Interpolated quantiles differ between engines in the last bits; six decimals are far below one day.
 QUANTILE_DIGITS = 6
 
 
-def weighted_quantile(value: str, p: float, weight: str) -> Column:
-    """Exact interpolated quantile of ``value`` repeated ``weight`` times."""
-    return F.round(F.percentile(value, p, F.col(weight)), QUANTILE_DIGITS)
+def weighted_quantile(value: str, p: float, weight: str, frame: WindowSpec | None = None) -> Column:
+    """Exact interpolated quantile of ``value`` repeated ``weight`` times, of a group or of a window frame."""
+    quantile = F.percentile(value, p, F.col(weight))
+    return F.round(quantile.over(frame) if frame else quantile, QUANTILE_DIGITS)
 
 
 def whole_days(value: Column) -> Column:

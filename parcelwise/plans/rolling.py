@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.functions import day, ratio
@@ -38,29 +38,38 @@ def rolling_quantile(
 ) -> DataFrame:
     """Per day of [start, end) and group: quantile and number of the deliveries in [day - window, day).
 
-    Instead of comparing every day with every delivery, each count goes to the days it serves, and a plain
-    aggregation follows.
+    Counts per delivery day stand once in order of the days, together with one row for every day that is asked for; a
+    frame over the range of days before it gives the quantile. No count is copied to the days it serves.
     """
-    served = (
+    daily = (
         cells.where(
             (F.col("delivered_on") < F.lit(end)) & (F.col("delivered_on") >= F.date_sub(F.lit(start), window_days))
         )
         .groupBy("delivered_on", *by, "actual_days")
         .agg(F.sum("n_orders").alias("n_orders"))
-        .select(
+        # Always so; with it, both readers need the counts and share one aggregation.
+        .where(F.col("n_orders") > 0)
+    )
+    first = F.greatest(F.lit(start), F.date_add(F.min("delivered_on"), 1))
+    last = F.least(F.lit(end - dt.timedelta(days=1)), F.date_add(F.max("delivered_on"), window_days))
+    asked = (
+        daily.groupBy(*by)
+        .agg(first.alias("_first"), last.alias("_last"))
+        .where(F.col("_first") <= F.col("_last"))
+        .select(*by, F.explode(F.sequence("_first", "_last")).alias("day"))
+    )
+    in_order = daily.withColumnRenamed("delivered_on", "day").unionByName(asked, allowMissingColumns=True)
+    frame = Window.partitionBy(*by).orderBy(F.unix_date("day")).rangeBetween(-window_days, -1)
+    return (
+        in_order.select(
+            "day",
             *by,
             "actual_days",
-            "n_orders",
-            F.explode(
-                F.sequence(F.date_add("delivered_on", 1), F.date_add("delivered_on", window_days))
-            ).alias("day"),
+            weighted_quantile("actual_days", p, "n_orders", frame).alias("q"),
+            F.sum("n_orders").over(frame).alias("n"),
         )
-        .where((F.col("day") >= F.lit(start)) & (F.col("day") < F.lit(end)))
-        .groupBy("day", *by, "actual_days")
-        .agg(F.sum("n_orders").alias("n_orders"))
-    )
-    return served.groupBy("day", *by).agg(
-        weighted_quantile("actual_days", p, "n_orders").alias("q"), F.sum("n_orders").alias("n")
+        .where(F.col("actual_days").isNull() & (F.col("n") > 0))
+        .drop("actual_days")
     )
 
 
