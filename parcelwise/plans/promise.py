@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.functions import bad_review, ratio
@@ -182,6 +182,26 @@ def evaluate_policy(
     return evaluate_policies(cells, routes, global_q, bad_rates, {name: promise})
 
 
+def _margin_counts(cells: DataFrame, routes: DataFrame, rule: Column) -> DataFrame:
+    """Holdout counts per delay class, rule, old lateness and days over the promise: what any margin is read from."""
+    days = F.col("n_orders") * F.col("promised_days")
+    return (
+        cells.join(routes, ROUTE, "left")
+        .groupBy(
+            "bucket",
+            rule.alias("_risky"),
+            F.col("is_late").alias("_old_late"),
+            (F.col("actual_days") - F.col("promised_days")).cast("long").alias("_over"),
+        )
+        .agg(
+            F.sum("n_orders").alias("orders"),
+            F.sum("reviewed").alias("reviewed"),
+            F.sum(days).alias("promised"),
+            F.sum(F.when(F.col("promised_days").isNotNull(), F.col("n_orders"))).alias("promises"),
+        )
+    )
+
+
 def margin_grid(
     cells: DataFrame,
     routes: DataFrame,
@@ -192,19 +212,82 @@ def margin_grid(
 ) -> DataFrame:
     """Effect of each margin on the risky routes; the holdout is read once for all margins.
 
-    The avoided share and the extra days come from unrounded figures.
+    An order is late under a margin if it was delivered more days after the promise than the margin (none on other
+    routes). So the holdout is counted by days over the promise once, running totals from the latest orders down give
+    the late ones of every margin, and a margin is a place in them: no holdout row is copied for it.
+    The avoided share and the extra days come from unrounded figures. ``global_q`` is not needed and only kept for callers.
     """
-    policies = {str(margin): margin_promise(rule, margin) for margin in margins}
+    counts = _margin_counts(cells, routes, rule)
+    # Orders without a delay are never late nor on time; those of other routes do not depend on the margin.
+    fixed = F.when(~F.col("_risky"), F.when(F.col("_over") > 0, F.lit(True)).when(F.col("_over") <= 0, F.lit(False)))
+    rates = F.broadcast(bad_rates.select("bucket", "is_late", "bad_rate"))  # at most three rows per delay class
+    per_class = (
+        counts.withColumn("_fixed", fixed)
+        .groupBy("bucket")
+        .agg(
+            F.sum(F.when(F.col("_fixed"), F.col("orders"))).alias("late"),
+            F.sum(F.when(F.col("_fixed"), F.col("reviewed"))).alias("late_reviewed"),
+            F.sum(F.when(F.col("_over").isNotNull(), F.col("orders"))).alias("timed"),
+            F.sum(F.when(F.col("_over").isNotNull(), F.col("reviewed"))).alias("timed_reviewed"),
+            F.sum("orders").alias("orders"),
+            F.sum(F.when(F.col("_old_late"), F.col("orders"))).alias("old_late"),
+            F.sum(F.when(F.col("_old_late").isNotNull(), F.col("orders"))).alias("old_timed"),
+            F.sum("promised").alias("promised"),
+            F.sum("promises").alias("promises"),
+            F.sum(F.when(F.col("_risky"), F.col("promises"))).alias("moved"),
+            F.collect_list(
+                F.when(
+                    F.col("_risky") & F.col("_over").isNotNull(), F.struct(F.col("_over").alias("over"), "orders", "reviewed")
+                )
+            ).alias("_risky_counts"),
+        )
+    )
+    wanted = F.array(*[F.lit(margin).cast("long") for margin in margins])
+    none = F.lit(None).cast("long")
+    # Places in the running totals: a margin stands before the orders that are exactly that many days over.
+    probes = F.transform(wanted, lambda m: F.struct(m.alias("over"), none.alias("orders"), none.alias("reviewed")))
+    downwards = (
+        Window.partitionBy("bucket").orderBy(F.desc("over"), F.col("_risky_orders").isNotNull())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    curve = (
+        per_class.select("*", F.inline(F.concat("_risky_counts", probes)).alias("over", "_risky_orders", "_risky_reviewed"))
+        .withColumn("_late", F.coalesce("late", F.lit(0)) + F.coalesce(F.sum("_risky_orders").over(downwards), F.lit(0)))
+        .withColumn(
+            "_late_reviewed",
+            F.coalesce("late_reviewed", F.lit(0)) + F.coalesce(F.sum("_risky_reviewed").over(downwards), F.lit(0)),
+        )
+        .where(F.col("_risky_orders").isNull())
+        .withColumn("_on_time_reviewed", F.coalesce("timed_reviewed", F.lit(0)) - F.col("_late_reviewed"))
+    )
+    for flag, name in ((True, "_late"), (False, "_on_time")):
+        of_class = rates.where(F.col("is_late") == flag).select("bucket", F.col("bad_rate").alias(f"{name}_rate"))
+        curve = curve.join(F.broadcast(of_class), "bucket", "left")  # one row per delay class
+
+    def expected(name: str) -> Column:
+        reviewed = F.col(f"{name}_reviewed")
+        return F.when(reviewed > 0, reviewed * F.col(f"{name}_rate"))
+
+    margin = F.col("over")
+    bad = F.sum(expected("_late")), F.sum(expected("_on_time"))
+    moved = F.coalesce(F.sum("moved"), F.lit(0)) * margin
+    old_promise = ratio(F.sum("promised"), F.sum("promises"))
+    new_promise = ratio(F.sum("promised") + moved, F.sum("promises"))
+    new_late_rate = ratio(F.sum("_late"), F.sum("timed"))
+    old_late_rate = ratio(F.coalesce(F.sum("old_late"), F.lit(0)), F.sum("old_timed"))
     return (
-        evaluate_policies(cells, routes, global_q, bad_rates, policies)
-        .select(
-            F.col("policy").cast("long").alias("margin"),
-            "orders",
-            "new_promise",
-            (F.col("new_promise") - F.col("old_promise")).alias("extra_days"),
-            "new_late_rate",
-            (F.lit(1.0) - F.try_divide("new_late_rate", "old_late_rate")).alias("late_avoided_share"),
-            "new_bad_reviews",
+        curve.groupBy("over")
+        .agg(
+            F.sum("orders").alias("orders"),
+            new_promise.alias("new_promise"),
+            (new_promise - old_promise).alias("extra_days"),
+            new_late_rate.alias("new_late_rate"),
+            (F.lit(1.0) - F.try_divide(new_late_rate, old_late_rate)).alias("late_avoided_share"),
+            F.round(
+                F.when(bad[0].isNotNull() | bad[1].isNotNull(), F.coalesce(bad[0], F.lit(0.0)) + F.coalesce(bad[1], F.lit(0.0))),
+                SUM_DIGITS,
+            ).alias("new_bad_reviews"),
         )
+        .withColumnRenamed("over", "margin")
         .orderBy("margin")
     )
