@@ -52,25 +52,32 @@ def relationships(child: DataFrame, foreign_key: str, parent: DataFrame, key: st
     return used.join(known, used[foreign_key] == known["_known"], "left_anti")
 
 
+def _delivered_before_purchase() -> Column:
+    return F.col("delivered_at") < F.col("purchased_at")
+
+
 def delivery_after_purchase(orders: DataFrame) -> DataFrame:
-    return orders.where(F.col("delivered_at") < F.col("purchased_at")).select("order_id")
+    return orders.where(_delivered_before_purchase()).select("order_id")
+
+
+def _impossible_dates() -> Column:
+    return (F.col("shipped_at") < F.col("purchased_at")) | (F.col("delivered_at") < F.col("shipped_at"))
 
 
 def known_impossible_dates(orders: DataFrame) -> DataFrame:
     """Shipped before purchase or delivered before shipping; an order with both faults is one row."""
-    return orders.where(
-        (F.col("shipped_at") < F.col("purchased_at")) | (F.col("delivered_at") < F.col("shipped_at"))
-    ).select("order_id")
+    return orders.where(_impossible_dates()).select("order_id")
 
 
-def _payment_gap() -> Column:
-    return F.abs(F.col("items_value") + F.col("freight_value") - F.col("payment_value"))
+def _payment_off(tolerance: float) -> Column:
+    # The tolerance as a decimal: amounts stay exact.
+    gap = F.abs(F.col("items_value") + F.col("freight_value") - F.col("payment_value"))
+    return gap > F.lit(str(tolerance)).cast("decimal(10,4)")
 
 
 def payments_match_items(orders: DataFrame, tolerance: float = PAYMENT_TOLERANCE) -> DataFrame:
     """Orders whose payment differs from items plus freight by more than the tolerance."""
-    # The tolerance as a decimal: amounts stay exact.
-    return orders.where(_payment_gap() > F.lit(str(tolerance)).cast("decimal(10,4)")).select(
+    return orders.where(_payment_off(tolerance)).select(
         "order_id", (F.col("items_value") + F.col("freight_value")).cast("decimal(20,2)").alias("expected"), "payment_value"
     )
 
@@ -132,7 +139,94 @@ class FilledColumns:
         return counted.select(F.inline(F.array(*entries))).select(*_outcome(F.col("_name"), "error", 0, F.col("_n")))
 
 
-def expectation_report(expectations: Sequence[Expectation | FilledColumns]) -> DataFrame:
+@dataclass(frozen=True)
+class Check:
+    """A declared check of one relation, as rows that are tagged with it.
+
+    ``kind`` says what a violation is: ``unique`` a key with several rows, ``accepted`` a value that occurs at all, ``orphan``
+    each row without a parent, ``rows`` each row. ``where`` chooses the rows; ``parent`` is the relation and column of the
+    keys there are.
+    """
+
+    name: str
+    relation: str
+    kind: str
+    columns: tuple[str, ...] = ()
+    where: Column | None = None
+    parent: tuple[str, str] | None = None
+    severity: str = "error"
+    threshold: int = 0
+
+
+def _violations(kind: str) -> Column:
+    """How many violations a key of a check stands for."""
+    return {
+        "unique": F.when(F.col("_rows") > 1, 1),
+        "accepted": F.lit(1),
+        "orphan": F.when(~F.col("_known"), F.col("_rows")),
+        "rows": F.col("_rows"),
+    }[kind]
+
+
+def _tag(number: int, columns: Sequence[str], where: Column, known: bool = False) -> Column:
+    """The tagged row of a check, null where the check is not about the row; keys are compared as text."""
+    keys = [F.col(c).cast("string") for c in columns]
+    tagged = F.struct(
+        F.lit(number).alias("_check"),
+        (F.array(*keys) if keys else F.lit(None).cast("array<string>")).alias("_key"),
+        F.lit(known).alias("_known"),
+    )
+    return F.when(where, tagged)
+
+
+@dataclass(frozen=True)
+class TableChecks:
+    """All checks of a set of relations together: every relation is read once, and all keys meet in one aggregation.
+
+    A row gives a tagged key for each check it takes part in. Keys are counted per check with map-side combine; a foreign
+    key and the keys of its parent have the same tag, so an orphan is a key that no parent row has named. A check without
+    any tagged row is reported with no violations.
+    """
+
+    tables: Mapping[str, DataFrame]
+    checks: Sequence[Check]
+
+    def tagged(self) -> DataFrame:
+        per_relation: dict[str, list[Column]] = {}
+        for number, check in enumerate(self.checks):
+            rows = check.where if check.where is not None else F.lit(True)
+            per_relation.setdefault(check.relation, []).append(_tag(number, check.columns, rows))
+            if check.parent:
+                relation, key = check.parent
+                per_relation.setdefault(relation, []).append(_tag(number, [key], F.col(key).isNotNull(), known=True))
+        tagged = None
+        for relation, entries in per_relation.items():
+            rows = self.tables[relation].select(F.inline(F.array_compact(F.array(*entries))))
+            tagged = rows if tagged is None else tagged.unionByName(rows)
+        return tagged
+
+    def outcomes(self) -> DataFrame:
+        counted = self.tagged().groupBy("_check", "_key").agg(
+            F.count_if(~F.col("_known")).alias("_rows"), F.bool_or("_known").alias("_known")
+        )
+        violations = F.lit(0)
+        for kind in {check.kind for check in self.checks}:
+            numbers = [number for number, check in enumerate(self.checks) if check.kind == kind]
+            violations = F.when(F.col("_check").isin(numbers), _violations(kind)).otherwise(violations)
+        per_check = counted.groupBy("_check").agg(F.sum(violations).alias("_n"))
+        declared = per_check.sparkSession.createDataFrame(
+            [(number, check.name, check.severity, check.threshold) for number, check in enumerate(self.checks)],
+            "_check int, name string, severity string, threshold long",
+        )
+        n = F.coalesce("_n", F.lit(0)).cast("long")
+        bad = F.when(F.col("severity") == "error", "fail").otherwise("warn")
+        # At most one row per declared check on either side.
+        return declared.join(F.broadcast(per_check), "_check", "left").select(
+            "name", "severity", "threshold", n.alias("violations"), F.when(n > F.col("threshold"), bad).otherwise("pass").alias("status")
+        )
+
+
+def expectation_report(expectations: Sequence[Expectation | FilledColumns | TableChecks]) -> DataFrame:
     """One row per expectation: name, severity, threshold, violations, status."""
     report = expectations[0].outcomes()
     for expectation in expectations[1:]:
@@ -171,52 +265,77 @@ FOREIGN_KEYS = [
 ]
 
 
-def study_expectations(
-    tables: Mapping[str, DataFrame],
-    impossible_dates_allowed: int = KNOWN_IMPOSSIBLE_DATES,
-    payment_mismatches_allowed: int = KNOWN_PAYMENT_MISMATCHES,
-) -> list[Expectation | FilledColumns]:
-    """The 40 expectations over staging tables and marts, by relation name."""
-    checks = [
-        Expectation(f"unique_{table}_{column}", unique(tables[table], column)) for table, column in UNIQUE_COLUMNS
-    ]
-    filled: dict[str, list[str]] = {}
-    for table, column in FILLED_COLUMNS:
-        filled.setdefault(table, []).append(column)
-    checks += [FilledColumns(table, tables[table], tuple(columns)) for table, columns in filled.items()]
+def study_checks(
+    impossible_dates_allowed: int = KNOWN_IMPOSSIBLE_DATES, payment_mismatches_allowed: int = KNOWN_PAYMENT_MISMATCHES
+) -> list[Check]:
+    """The 40 declared checks over staging tables and marts, by relation name."""
+
+    def filled(column: str) -> Column:
+        return F.col(column).isNotNull()
+
+    def outside(column: str, values: Sequence) -> Column:
+        return filled(column) & ~F.col(column).isin(list(values))
+
+    checks = [Check(f"unique_{t}_{c}", t, "unique", (c,), filled(c)) for t, c in UNIQUE_COLUMNS]
+    checks += [Check(f"not_null_{t}_{c}", t, "rows", where=F.col(c).isNull()) for t, c in FILLED_COLUMNS]
     checks += [
-        Expectation(
-            f"relationships_{child}_{column}", relationships(tables[child], column, tables[parent], key), weight="n_rows"
-        )
-        for child, column, parent, key in FOREIGN_KEYS
+        Check(f"relationships_{t}_{c}", t, "orphan", (c,), filled(c), (parent, key)) for t, c, parent, key in FOREIGN_KEYS
     ]
+    item_key = ("order_id", "order_item_id")
+    buyers = F.col("delivered_orders") > 0
     return checks + [
-        Expectation(
-            "unique_combination_stg_order_items_order_id_order_item_id",
-            unique_combination(tables["stg_order_items"], ["order_id", "order_item_id"]),
-        ),
-        Expectation(
+        Check("unique_combination_stg_order_items_order_id_order_item_id", "stg_order_items", "unique", item_key),
+        Check(
             "accepted_values_stg_orders_order_status",
-            accepted_values(tables["stg_orders"], "order_status", ORDER_STATUSES),
+            "stg_orders",
+            "accepted",
+            ("order_status",),
+            outside("order_status", ORDER_STATUSES),
         ),
-        Expectation(
+        Check(
             "accepted_values_stg_order_reviews_review_score",
-            accepted_values(tables["stg_order_reviews"], "review_score", REVIEW_SCORES),
+            "stg_order_reviews",
+            "accepted",
+            ("review_score",),
+            outside("review_score", REVIEW_SCORES),
         ),
-        Expectation("delivery_after_purchase", delivery_after_purchase(tables["fct_orders"])),
-        Expectation(
+        Check("delivery_after_purchase", "fct_orders", "rows", where=_delivered_before_purchase()),
+        Check(
             "first_orders_cover_buyers",
-            first_orders_cover_buyers(tables["dim_customers"], tables["mart_first_orders"]),
+            "dim_customers",
+            "orphan",
+            ("customer_unique_id",),
+            buyers,
+            ("mart_first_orders", "customer_unique_id"),
         ),
-        Expectation(
-            "known_impossible_dates", known_impossible_dates(tables["stg_orders"]), "warn", impossible_dates_allowed
+        Check(
+            "known_impossible_dates",
+            "stg_orders",
+            "rows",
+            where=_impossible_dates(),
+            severity="warn",
+            threshold=impossible_dates_allowed,
         ),
-        Expectation(
-            "payments_match_items", payments_match_items(tables["fct_orders"]), "warn", payment_mismatches_allowed
+        Check(
+            "payments_match_items",
+            "fct_orders",
+            "rows",
+            where=_payment_off(PAYMENT_TOLERANCE),
+            severity="warn",
+            threshold=payment_mismatches_allowed,
         ),
     ]
 
 
+def study_expectations(
+    tables: Mapping[str, DataFrame],
+    impossible_dates_allowed: int = KNOWN_IMPOSSIBLE_DATES,
+    payment_mismatches_allowed: int = KNOWN_PAYMENT_MISMATCHES,
+) -> list[TableChecks]:
+    """The declared checks over the relations, which are read once each."""
+    return [TableChecks(tables, study_checks(impossible_dates_allowed, payment_mismatches_allowed))]
+
+
 def one_row(spark: SparkSession, **values: DataFrame) -> DataFrame:
     """One row of scalar subqueries, one column for each single-value DataFrame."""
     return spark.range(1).select(*[value.scalar().alias(name) for name, value in values.items()])

@@ -114,3 +114,41 @@ def test_a_fan_out_in_the_published_fact_is_found(spark):
     found = quality.expectation_report(quality.study_expectations(tables, p.IMPOSSIBLE_ALLOWED, p.MISMATCH_ALLOWED))
     failed = {r["name"]: r["violations"] for r in found.where("status = 'fail'").collect()}
     assert failed["unique_fct_orders_order_id"] == 3
+
+
+def test_report_reads_each_relation_once(spark, tmp_path):
+    from workload.study import Study
+    from workload.queries import checked_tables
+
+    tables = {}
+    for name, df in checked_tables(Study(spark, "/root/testdata/sf0.001")).items():
+        df.write.parquet(f"{tmp_path}/{name}")
+        tables[name] = spark.read.parquet(f"{tmp_path}/{name}")
+    report = quality.expectation_report(quality.study_expectations(tables))
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == len(tables)
+    assert report.count() == 40
+
+
+def test_tagged_checks_count_what_the_single_checks_find(frame):
+    child = frame("id string, fk string, n int", ("a", "x", 1), ("a", "y", 9), (None, "y", 3), (None, None, None), ("c", "z", 9))
+    parent = frame("pk string", ("x",), ("x",), (None,))
+    checks = [
+        quality.Check("unique", "child", "unique", ("id",), quality.F.col("id").isNotNull()),
+        quality.Check("pairs", "child", "unique", ("id", "fk")),
+        quality.Check("nulls", "child", "rows", where=quality.F.col("n").isNull(), severity="warn", threshold=1),
+        quality.Check("links", "child", "orphan", ("fk",), quality.F.col("fk").isNotNull(), ("parent", "pk")),
+        quality.Check("values", "child", "accepted", ("n",), quality.F.col("n") > 2),
+        quality.Check("parents", "parent", "unique", ("pk",), quality.F.col("pk").isNotNull()),
+        quality.Check("nothing", "parent", "rows", where=quality.F.lit(False)),
+    ]
+    report = quality.expectation_report([quality.TableChecks({"child": child, "parent": parent}, checks)])
+    assert {r["name"]: (r["violations"], r["status"]) for r in report.collect()} == {
+        "unique": (1, "fail"),
+        "pairs": (0, "pass"),
+        "nulls": (1, "pass"),
+        "links": (3, "fail"),
+        "values": (2, "fail"),
+        "parents": (1, "fail"),
+        "nothing": (0, "pass"),
+    }

@@ -12,6 +12,7 @@ QUANTILE = 0.93
 RISKY_MIN_ORDERS = 15
 RISKY_RATE = 0.40
 MARGIN = 5
+CURVE_DAYS = 60
 ROLLING_START = dt.date(2000, 1, 1)
 ROLLING_END = dt.date(2001, 8, 1)
 ROLLING_DAYS = 14

@@ -290,6 +290,12 @@ def margin_grid(s: Study) -> DataFrame:
     return s.margin_grid
 
 
+@query
+def margin_curve(s: Study) -> DataFrame:
+    """The margin grid up to two months, from the same counts as for ten days."""
+    return promise.margin_grid(*s.backtest, s.risky, range(p.CURVE_DAYS + 1))
+
+
 @query
 def rolling_quantile_by_state(s: Study) -> DataFrame:
     return s.rolling(rolling.delivery_cells(delivery.with_delay_bucket(s.measured)), ("customer_state",))
@@ -587,6 +593,18 @@ def csv_to_orders(s: Study) -> DataFrame:
     )
 
 
+@query
+def csv_line_breaks(s: Study) -> DataFrame:
+    """Texts with line breaks and quotes, written as CSV and read again by many tasks."""
+    breaks = F.expr("repeat('\n', cast(o_orderkey % 4 as int))")
+    comment = F.concat(F.lit("priority"), breaks, F.lit('"'), "o_orderpriority", F.lit('",\r\n'), "o_orderstatus")
+    place = f"{new_place(s.spark, 'csv')}/comments"
+    written = s.source["orders"].select(F.col("o_orderkey").cast("string").alias("order_id"), comment.alias("comment"))
+    written.write.options(header=True, escape='"', quoteAll=True).csv(place)
+    found = raw.read_csv_text(s.spark, f"{place}/*.csv")
+    return found.select(F.col("order_id").cast("long").alias("order_id"), "comment")
+
+
 @query
 def load_manifest(s: Study) -> DataFrame:
     """Rows per loaded table, after a load whose digests are checked against the files."""
