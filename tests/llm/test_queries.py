@@ -15,8 +15,14 @@ COLUMNS = {
     "op8_warc": "page_id payload_bytes payload_digest record_type refers_to",
     "op9_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
     "op10_quality_net": "doc_id held_out score predicted",
+    "op11_collocations": "lang rank phrase a l r n score",
+    "op12_lexical": "item_id rank doc_id score",
+    "op13_maxent": "doc_id held_out n_tokens n_known train_tokens base_score score",
 }
 
+# Queries whose rows are phrases or pairs; their own tests compare them with SQL.
+OTHER_ROWS = {"op11_collocations", "op12_lexical"}
+
 
 def test_all_are_registered():
     assert set(queries.registered()) == set(COLUMNS)
@@ -29,6 +35,8 @@ def test_a_row_for_every_row(session, small, name):
     found = contract.queries()[name](session, small)
     source = {"op4_embedding": "embeddings", "op8_warc": "pages"}.get(name, "documents")
     assert found.columns == COLUMNS[name].split()
+    if name in OTHER_ROWS:
+        return
     assert found.count() == session.read.parquet(f"{small}/{source}.parquet").count()
 
 
