@@ -6,8 +6,8 @@ after one shuffle, and a merged stripe tells everything at once: the word's own
 start with it are sums over its entries. Phrases below the least count end there; what is left decides on parts and on
 longer phrases.
 
-Stripes of very frequent words are cut into shards by the hash of the entry, so no task holds more than a bounded share of
-the text; partial sums of shards are added up after the merge.
+Stripes of very frequent words are cut into shards by the second word, and again by the whole entry where a pair of words
+is as frequent, so no task holds more than a bounded share of the text; partial sums of shards are added up after the merge.
 """
 
 from __future__ import annotations
@@ -32,10 +32,10 @@ from parcelwise.session import materialised
 WORDS_PER_RUN = 1_000_000
 BYTES_PER_SLICE = 1 << 20
 
-# Occurrences a shard of a stripe is meant for, and the number of words whose stripes may be cut: a word's is if it has
-# more than SHARD occurrences and more than 1 / CUT_WORDS of all counted ones, so there are fewer than CUT_WORDS of them.
-SHARD = 1_000_000
-CUT_WORDS = 20_000
+# Occurrences a shard of a stripe is meant for, and the number of words (and of pairs) whose stripes may be cut: a stripe is
+# if it has more than SHARD occurrences and more than 1 / CUT of all words, so there are fewer than CUT of either.
+SHARD = 200_000
+CUT = 20_000
 
 # Entries merged together in a task.
 ENTRIES_PER_MERGE = 300_000
@@ -84,32 +84,63 @@ def _runs(batches: Iterator[pa.RecordBatch], overlap: int) -> Iterator[tuple[str
     yield from out(last=True)
 
 
+def _numbered(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Words as numbers, and the word of each number; the break is number 0, wherever it occurs."""
+    ids, found = pd.factorize(np.array([BREAK, *words], object))
+    return ids[1:].astype(np.int64), found
+
+
 def _heads(lang: str, words: list[bytes], counted: int) -> dict[str, list]:
-    """Hashes of the words that have a noticeable share of a run, with their counts."""
-    ids, found = pd.factorize(np.array(words[:counted], object))
-    n = np.bincount(ids, minlength=len(found))
-    often = [i for i in np.nonzero(n * CUT_WORDS >= counted)[0] if found[i] != BREAK]
-    return {"lang": [lang] * len(often), "head": [zlib.crc32(found[i]) for i in often], "n": n[often]}
+    """Hashes of the words and pairs of words that have a noticeable share of a run, with their counts."""
+    ids, found = _numbered(words)
+    size = len(found)
+    n = np.bincount(ids[:counted], minlength=size)
+    often = [i for i in np.nonzero(n * CUT >= counted)[0] if i]
+    follower = ids[1 : counted + 1]
+    both = (ids[:counted] > 0) & (follower > 0)
+    pair, times = np.unique(ids[:counted][both] * size + follower[both], return_counts=True)
+    pair, times = pair[times * CUT >= counted], times[times * CUT >= counted]
+    return {
+        "lang": [lang] * (len(often) + len(pair)),
+        "words": [1] * len(often) + [2] * len(pair),
+        "head": [zlib.crc32(found[i]) for i in often] + [zlib.crc32(found[k // size] + b" " + found[k % size]) for k in pair],
+        "n": np.r_[n[often], times].astype(np.int64),
+    }
 
 
 def _shards(texts: DataFrame, size: int) -> dict[tuple[str, int], int]:
-    """(language, word hash) -> number of shards, for the words whose stripes are cut: fewer than ``CUT_WORDS``.
+    """(language, hash of a word or pair) -> number of shards, for the stripes that are cut: fewer than 2 * ``CUT``.
 
-    Runs leave out words below 1 / ``CUT_WORDS`` of the run, which only matters for words near that share of all.
+    Runs leave out what is below 1 / ``CUT`` of the run, which only matters for words near that share of all.
     """
-    schema = StructType.fromDDL("lang string, head long, n long")
+    schema = StructType.fromDDL("lang string, words int, head long, n long")
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for full in _runs(batches, 0):
+        for full in _runs(batches, 1):
             yield pa.RecordBatch.from_pydict(_heads(*full), schema=arrow)
 
-    counted = materialised(texts.mapInArrow(run, schema).groupBy("lang", "head").agg(F.sum("n").alias("n")))
-    everything = counted.agg(F.sum("n")).first()[0] or 0
-    cut = counted.where((F.col("n") > size) & (F.col("n") * CUT_WORDS > everything))
+    counted = materialised(texts.mapInArrow(run, schema).groupBy("lang", "words", "head").agg(F.sum("n").alias("n")))
+    everything = counted.where("words = 1").agg(F.sum("n")).first()[0] or 0
+    cut = counted.where((F.col("n") > size) & (F.col("n") * CUT > everything))
     return {(row["lang"], row["head"]): -(-row["n"] // size) for row in cut.collect()}
 
 
+def _shard(lang: str, found: np.ndarray, first: np.ndarray, second: np.ndarray, entries: pa.Array, shards: dict) -> np.ndarray:
+    """Shard of each entry: 0 if its stripe is whole, above 0 by the second word, below 0 by the whole entry of a cut pair."""
+    crc = np.fromiter(map(zlib.crc32, found), np.int64, len(found))
+    parts = np.array([shards.get((lang, c), 1) for c in crc.tolist()])
+    shard = np.where(parts[first] > 1, 1 + crc[second] % parts[first], 0)
+    # A pair is no more frequent than either of its words.
+    often = np.nonzero((parts[first] > 1) & (parts[second] > 1) & (second > 0))[0]
+    pair, place = np.unique(first[often] * len(found) + second[often], return_inverse=True)
+    words = [found[k // len(found)] + b" " + found[k % len(found)] for k in pair.tolist()]
+    pieces = np.array([shards.get((lang, zlib.crc32(w)), 1) for w in words], np.int64)[place]
+    for i, n in zip(often[pieces > 1].tolist(), pieces[pieces > 1].tolist()):
+        shard[i] = -1 - zlib.crc32(entries[i].as_py().encode()) % n
+    return shard
+
+
 STRIPES = "lang string, word string, shard int, entries array<string>, counts array<long>"
 
 
@@ -120,10 +151,8 @@ def _joined(parts: list[pa.Array]) -> pa.Array:
 
 
 def _stripes(lang: str, words: list[bytes], counted: int, longest: int, shards: dict, arrow: pa.Schema) -> pa.RecordBatch:
-    """The stripes of a run of words; shard 0 is a stripe that is not cut."""
-    # The break is the first number, wherever it occurs.
-    ids, found = pd.factorize(np.array([BREAK, *words], object))
-    ids = ids[1:].astype(np.int64)
+    """The stripes of a run of words."""
+    ids, found = _numbered(words)
     at = np.nonzero(ids[:counted])[0]
     columns, open_ = [ids[at]], np.ones(len(at), bool)
     for step in range(1, longest):
@@ -142,10 +171,8 @@ def _stripes(lang: str, words: list[bytes], counted: int, longest: int, shards:
     text = pa.array(found, pa.binary()).cast(pa.string())
     entries = _joined([text.take(pa.array(c[first], mask=c[first] == 0)) for c in columns[1:]])
     shard = np.zeros(len(head), np.int64)
-    if shards:
-        parts = np.array([shards.get((lang, zlib.crc32(word)), 1) for word in found])
-        for i in np.nonzero(parts[head] > 1)[0]:
-            shard[i] = 1 + zlib.crc32(entries[i].as_py().encode()) % parts[head[i]]
+    if shards and len(head):
+        shard = _shard(lang, found, head, columns[1][first], entries, shards)
         order = np.lexsort((shard, head))
         head, shard, entries, n = head[order], shard[order], entries.take(pa.array(order)), n[order]
     starts = np.nonzero(np.r_[True, (head[1:] != head[:-1]) | (shard[1:] != shard[:-1])])[0] if len(head) else head
@@ -217,11 +244,12 @@ class _Merge:
     def _counts(self, owner: np.ndarray, entries: pa.Array, counts: np.ndarray) -> dict[str, list]:
         """Of each stripe's word and of the phrases it begins: sums over the entries they share.
 
-        Shards of a cut stripe give partial sums whatever their size, whole stripes only what reaches ``least``. The
-        row without words counts everything.
+        Sums that may go on in another shard are given whatever their size: the word's own if its stripe is cut, and
+        those of all shorter phrases if the pair is. Of all others only what reaches ``least`` leaves the task. The row
+        without words counts everything.
         """
         langs = pa.array([key[0] for key in self.keys]).dictionary_encode()
-        words, whole = pa.array([key[1] for key in self.keys]), np.array([key[2] == 0 for key in self.keys])
+        words, shard = pa.array([key[1] for key in self.keys]), np.array([key[2] for key in self.keys])
         per_lang = np.bincount(langs.indices.to_numpy()[owner], counts, len(langs.dictionary)).astype(np.int64)
         some = np.nonzero(per_lang)[0]
         rows = {
@@ -241,7 +269,8 @@ class _Merge:
             size = len(heads.dictionary)
             key, place = np.unique(owner[at] * size + heads.indices.to_numpy(), return_inverse=True)
             n = np.bincount(place, counts[at], len(key)).astype(np.int64)
-            keep = np.nonzero((n >= self.least) | ~whole[key // size])[0]
+            partial = (shard != 0) if length == 1 else (shard < 0) & (length < self.longest)
+            keep = np.nonzero((n >= self.least) | partial[key // size])[0]
             of = key[keep] // size
             first, rest = words.take(pa.array(of)), heads.dictionary.take(pa.array(key[keep] % size))
             phrases = first if length == 1 else pc.binary_join_element_wise(first, rest, " ")
