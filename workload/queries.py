@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelwise.plans import delivery, model, promise, publish, quality, rolling, routes, sellers, staging
-from parcelwise.session import materialised, new_place
+from parcelwise.session import kept, materialised, new_place, scope
 from parcelwise.sources import calendar, manifest, raw, tables
 from workload import params as p
 from workload.study import BuiltStudy, ReportedStudy, StoredStudy, Study
@@ -515,6 +515,21 @@ def derived_figures(s: Study) -> DataFrame:
     return derived(s)
 
 
+@query
+def results_in_scope(s: Study) -> DataFrame:
+    """Metrics per section, derived figures and checks of one scope: they share a written fact, which goes with the scope."""
+    with scope(s.spark):
+        study = ReportedStudy(s.spark, s.source.folder)
+        results = [
+            study_metrics(study).groupBy(F.col("section").alias("name")).agg(F.count(F.lit(1)).alias("rows")),
+            derived(study).agg(F.count(F.lit(1)).alias("rows")).select(F.lit("derived figures").alias("name"), "rows"),
+            expectation_report(BuiltStudy(s.spark, s.source.folder))
+            .groupBy(F.concat_ws(" ", F.lit("checks"), "status").alias("name"))
+            .agg(F.count(F.lit(1)).alias("rows")),
+        ]
+        return kept(results[0].unionByName(results[1]).unionByName(results[2]))
+
+
 def published_pages(metrics: DataFrame) -> DataFrame:
     """A page per month with two figures and one without a metric; every fifth page has one order too many."""
     wrong = F.when(F.col("_i") % 5 == 0, 1).otherwise(0)

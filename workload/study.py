@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from parcelwise import shaping
 from parcelwise.plans import delivery, marts, model, promise, repeat, rolling, sellers, staging
-from parcelwise.session import materialised, tune
+from parcelwise.session import in_scope, materialised, shared, tune
 from workload import params as p
 
 
@@ -254,11 +255,20 @@ class Study:
 
 
 class StoredStudy(Study):
-    """A study over a written order fact: for results that read the orders several times."""
+    """A study over a written order fact: for results that read the orders several times.
+
+    Inside a scope all results share one fact, which has the payments too; alone, a result writes what it needs.
+    """
+
+    def written(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        return shared((self.source.folder, name), build)
 
     @cached_property
     def routed(self) -> DataFrame:
-        return materialised(super().routed)
+        fact = super().routed
+        if in_scope():
+            return self.written("paid fact", lambda: model.with_payments(fact, self.payments))
+        return materialised(fact)
 
     @cached_property
     def measured(self) -> DataFrame:
@@ -282,7 +292,8 @@ class ReportedStudy(StoredStudy):
 
     @cached_property
     def seller_excess(self) -> DataFrame:
-        return materialised(super().seller_excess)
+        excess = super().seller_excess
+        return self.written("seller excess", lambda: excess)
 
 
 class BuiltStudy(StoredStudy):
@@ -290,16 +301,18 @@ class BuiltStudy(StoredStudy):
 
     @cached_property
     def orders(self) -> DataFrame:
-        return materialised(super().orders)
+        orders = super().orders
+        return self.written("orders", lambda: orders)
 
     @cached_property
     def reviews(self) -> DataFrame:
-        return materialised(super().reviews)
+        reviews = super().reviews
+        return self.written("reviews", lambda: reviews)
 
     @cached_property
     def routed(self) -> DataFrame:
         """The parent's fact is one more plan here, written together with the payments."""
-        return materialised(model.with_payments(Study.routed.func(self), self.payments))
+        return self.written("paid fact", lambda: model.with_payments(Study.routed.func(self), self.payments))
 
     @cached_property
     def paid(self) -> DataFrame:
@@ -307,5 +320,5 @@ class BuiltStudy(StoredStudy):
 
     @cached_property
     def fct_orders(self) -> DataFrame:
-        """The published fact with its ranks, which the checks are about, over the written orders with amounts."""
+        """The published fact with its ranks, which the checks are about, over the written orders."""
         return model.fct_orders(self.enriched, self.sellers, self.sequence)
