@@ -76,6 +76,17 @@ def scope(spark: SparkSession) -> Iterator[Scope]:
         remove(spark, opened.places)
 
 
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """Paths of the tables written inside, which the caller deletes when their readers are done."""
+    opened = Scope()
+    _open.append(opened)
+    try:
+        yield opened.places
+    finally:
+        _open.remove(opened)
+
+
 def in_scope() -> bool:
     return bool(_open)
 
