@@ -7,6 +7,7 @@ from collections.abc import Collection, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelwise.sources import versions
 from parcelwise.sources.manifest import check_digests, file_digests, manifest_rows
 from parcelwise.sources.records import read_csv_records
 
@@ -115,7 +116,8 @@ def load_raw(
     """Land raw CSV tables as Parquet under ``target``, with a manifest, and return the landed tables.
 
     ``files`` maps a table name to a path or glob. Digests and all column contracts are checked before the
-    first write. Tables are overwritten, the manifest grows. The CSV is parsed once: rows are landed with the name
+    first write. All tables are replaced at once when all are written, the manifest grows; a load that fails leaves
+    the tables as they were. The CSV is parsed once: rows are landed with the name
     of their file, and the manifest counts the landed ones. Fields may contain line breaks in every table; those known
     to have none can be named in ``by_lines``.
     """
@@ -131,10 +133,17 @@ def load_raw(
     for table, path in files.items():
         read = read_csv_lines if table in by_lines else read_csv_text
         texts[table] = check_contract(read(spark, path, SOURCE_FILE), table)
-    base, landed = target.rstrip("/"), {}
-    for table, text in texts.items():
-        place = f"{base}/{table}"
-        text.write.mode("overwrite").parquet(place)
-        landed[table] = spark.read.parquet(place)
-    manifest_rows(digests, landed, SOURCE_FILE).write.mode("append").parquet(f"{base}/manifest")
+    base = target.rstrip("/")
+    with versions.replacing(spark, base) as version:
+        landed = {}
+        for table, text in texts.items():
+            place = version.place(table)
+            text.write.parquet(place)
+            landed[table] = spark.read.parquet(place)
+        manifest_rows(digests, landed, SOURCE_FILE).write.mode("append").parquet(f"{base}/manifest")
     return {table: df.drop(SOURCE_FILE) for table, df in landed.items()}
+
+
+def open_raw(spark: SparkSession, target: str, tables: Collection[str]) -> dict[str, DataFrame]:
+    """The raw tables as the last load that went through left them."""
+    return {name: df.drop(SOURCE_FILE) for name, df in versions.open_current(spark, target, list(tables)).items()}

@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parcelwise.sources import versions
+
 
 def register_views(tables: Mapping[str, DataFrame]) -> None:
     """Make the relations available to ``spark.sql`` by name; nothing is computed."""
@@ -19,14 +21,25 @@ def save_tables(
     mode: str = "overwrite",
     partition_by: Mapping[str, Sequence[str]] | None = None,
 ) -> dict[str, DataFrame]:
-    """Write each relation as Parquet under ``folder`` and return the written tables."""
-    saved = {}
-    for name, df in tables.items():
-        path = f"{folder.rstrip('/')}/{name}"
-        df.write.mode(mode).partitionBy(*(partition_by or {}).get(name, [])).parquet(path)
-        saved[name] = df.sparkSession.read.parquet(path)
-    return saved
+    """Write each relation as Parquet under ``folder`` and return the written tables.
+
+    ``overwrite`` replaces all of them at once when all are written, and leaves the old ones if that fails; ``append``
+    adds to the current ones. Other tables of the folder stay.
+    """
+    if mode == "overwrite":
+        return versions.replace(tables, folder, partition_by)
+    if mode != "append":
+        raise ValueError(f"unknown mode {mode}")
+    spark = next(iter(tables.values())).sparkSession
+    places = versions.current(spark, folder)
+    new = {name: df for name, df in tables.items() if name not in places}
+    if new:
+        versions.replace(new, folder, partition_by)
+    for name in tables.keys() & places.keys():
+        tables[name].write.mode("append").partitionBy(*(partition_by or {}).get(name, [])).parquet(places[name])
+    return versions.open_current(spark, folder, list(tables))
 
 
 def open_tables(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{folder.rstrip('/')}/{name}") for name in names}
+    """The current tables of these names."""
+    return versions.open_current(spark, folder, names)

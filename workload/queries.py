@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -608,6 +609,25 @@ def csv_to_orders(s: Study) -> DataFrame:
     )
 
 
+@query
+def replaced_tables(s: Study) -> DataFrame:
+    """Two tables replaced together, a replacement that fails half way, and what readers then find."""
+    place = new_place(s.spark, "replaced")
+    both = {"sellers": model.dim_sellers(s.sellers), "customers": s.customers}
+    tables.save_tables({name: df.limit(0) for name, df in both.items()}, place)
+    tables.save_tables(both, place)
+    fails = s.customers.withColumn("state", F.raise_error(F.lit("no more space")).cast("string"))
+    with suppress(Exception):
+        tables.save_tables({"sellers": both["sellers"].limit(0), "customers": fails}, place)
+    found = tables.open_tables(s.spark, place, list(both))
+    return (
+        found["customers"]
+        .groupBy("state")
+        .agg(F.count(F.lit(1)).alias("customers"))
+        .join(found["sellers"].groupBy("state").agg(F.count(F.lit(1)).alias("sellers")), "state", "full")
+    )
+
+
 @query
 def csv_line_breaks(s: Study) -> DataFrame:
     """Texts with line breaks and quotes, written as CSV and read again by many tasks."""
