@@ -209,14 +209,21 @@ def margin_grid(
     bad_rates: DataFrame,
     rule: Column,
     margins: Sequence[int] = tuple(range(11)),
+    compat_rounding: bool = False,
 ) -> DataFrame:
     """Effect of each margin on the risky routes; the holdout is read once for all margins.
 
     An order is late under a margin if it was delivered more days after the promise than the margin (none on other
     routes). So the holdout is counted by days over the promise once, running totals from the latest orders down give
     the late ones of every margin, and a margin is a place in them: no holdout row is copied for it.
-    The avoided share and the extra days come from unrounded figures. ``global_q`` is not needed and only kept for callers.
+    The avoided share and the extra days come from unrounded figures; with ``compat_rounding`` from figures as they are
+    published: days rounded to two decimals, rates and shares to four, bad reviews to whole numbers. ``global_q`` is not
+    needed and only kept for callers.
     """
+
+    def shown(value: Column, digits: int) -> Column:
+        return F.round(value, digits) if compat_rounding else value
+
     counts = _margin_counts(cells, routes, rule)
     # Orders without a delay are never late nor on time; those of other routes do not depend on the margin.
     fixed = F.when(~F.col("_risky"), F.when(F.col("_over") > 0, F.lit(True)).when(F.col("_over") <= 0, F.lit(False)))
@@ -271,21 +278,21 @@ def margin_grid(
     margin = F.col("over")
     bad = F.sum(expected("_late")), F.sum(expected("_on_time"))
     moved = F.coalesce(F.sum("moved"), F.lit(0)) * margin
-    old_promise = ratio(F.sum("promised"), F.sum("promises"))
-    new_promise = ratio(F.sum("promised") + moved, F.sum("promises"))
-    new_late_rate = ratio(F.sum("_late"), F.sum("timed"))
-    old_late_rate = ratio(F.coalesce(F.sum("old_late"), F.lit(0)), F.sum("old_timed"))
+    old_promise = shown(ratio(F.sum("promised"), F.sum("promises")), 2)
+    new_promise = shown(ratio(F.sum("promised") + moved, F.sum("promises")), 2)
+    new_late_rate = shown(ratio(F.sum("_late"), F.sum("timed")), 4)
+    old_late_rate = shown(ratio(F.coalesce(F.sum("old_late"), F.lit(0)), F.sum("old_timed")), 4)
     return (
         curve.groupBy("over")
         .agg(
             F.sum("orders").alias("orders"),
             new_promise.alias("new_promise"),
-            (new_promise - old_promise).alias("extra_days"),
+            shown(new_promise - old_promise, 2).alias("extra_days"),
             new_late_rate.alias("new_late_rate"),
-            (F.lit(1.0) - F.try_divide(new_late_rate, old_late_rate)).alias("late_avoided_share"),
+            shown(F.lit(1.0) - F.try_divide(new_late_rate, old_late_rate), 4).alias("late_avoided_share"),
             F.round(
                 F.when(bad[0].isNotNull() | bad[1].isNotNull(), F.coalesce(bad[0], F.lit(0.0)) + F.coalesce(bad[1], F.lit(0.0))),
-                SUM_DIGITS,
+                0 if compat_rounding else SUM_DIGITS,
             ).alias("new_bad_reviews"),
         )
         .withColumnRenamed("over", "margin")

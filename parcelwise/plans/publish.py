@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parcelwise.functions.entities import decoded_entities
 from parcelwise.functions import ratio
 from parcelwise.plans.quality import one_row
 
@@ -137,14 +138,24 @@ def derived_figures(
     policy: DataFrame,
     bucket: str = "15-21",
     min_late_orders: int = 100,
+    compat_rounding: bool = False,
 ) -> DataFrame:
     """One row of shares and differences over earlier results.
 
     ``policy`` is the evaluated rule cited in the text. Its avoided bad reviews are the difference of two counts that
     are published as whole numbers, so these are rounded first; all other figures come from unrounded ones. The
     ratio of late to on-time bad-review rate covers the delay classes with enough late orders. Each result is read
-    once, as one struct.
+    once, as one struct. With ``compat_rounding`` every figure is made of rates and days as they are published, already
+    rounded, and rounded again.
     """
+
+    def shown(value: Column, digits: int) -> Column:
+        return F.round(value, digits) if compat_rounding else value
+
+    delay = delay.withColumn("bad_rate", shown(F.col("bad_rate"), 4))
+    excess = excess.withColumn("excess_late", shown(F.col("excess_late"), 0))
+    for name, digits in (("new_promise", 2), ("old_promise", 2), ("new_late_rate", 4), ("old_late_rate", 4)):
+        policy = policy.withColumn(name, shown(F.col(name), digits))
     late = F.col("is_late")
     by_class = delay.groupBy("bucket").agg(
         F.max(F.when(late, F.col("bad_rate"))).alias("late_rate"),
@@ -177,17 +188,17 @@ def derived_figures(
         _excess=excess.select("excess_late"),
         _late=concentration.select("late_orders"),
     ).select(
-        F.col("_classes.lowest").alias("late_vs_on_time_ratio_min"),
-        F.col("_classes.highest").alias("late_vs_on_time_ratio_max"),
-        "late_share_seller_on_time",
-        "bad_share_before_delivery",
+        shown(F.col("_classes.lowest"), 1).alias("late_vs_on_time_ratio_min"),
+        shown(F.col("_classes.highest"), 1).alias("late_vs_on_time_ratio_max"),
+        shown(F.col("late_share_seller_on_time"), 4).alias("late_share_seller_on_time"),
+        shown(F.col("bad_share_before_delivery"), 4).alias("bad_share_before_delivery"),
         F.col("_classes.on_time").alias("bad_in_bucket_on_time"),
         F.col("_classes.late").alias("bad_in_bucket_late"),
-        F.col("_policy.days").alias("policy_extra_days"),
+        shown(F.col("_policy.days"), 2).alias("policy_extra_days"),
         F.col("_policy.bad").alias("policy_bad_avoided"),
-        F.col("_policy.bad_share").alias("policy_bad_avoided_share"),
-        F.col("_policy.late_share").alias("policy_late_avoided_share"),
-        ratio("_excess", "_late").alias("excess_late_share"),
+        shown(F.col("_policy.bad_share"), 4).alias("policy_bad_avoided_share"),
+        shown(F.col("_policy.late_share"), 4).alias("policy_late_avoided_share"),
+        shown(ratio("_excess", "_late"), 4).alias("excess_late_share"),
     )
 
 
@@ -236,9 +247,6 @@ MONTH_NAMES = [
 ]
 
 
-# Entities of the letters that month names have.
-LETTER_ENTITIES = {"é": "eacute|#233|#xe9", "û": "ucirc|#251|#xfb"}
-
 # Keys of published pages whose figures have another name here.
 PAGE_KEYS = {
     "derived.bad_15_21_on_time": "derived.bad_in_bucket_on_time",
@@ -267,13 +275,10 @@ def published_figures(pages: DataFrame) -> DataFrame:
     )
 
 
-def _plain_text(shown: Column) -> Column:
-    """Entities resolved, every kind of space as one blank, the typographic minus as a hyphen."""
-    text = F.regexp_replace(shown, r"&(?:nbsp|thinsp|#160|#xa0|#8239|#x202f);", " ")
-    text = F.regexp_replace(text, "&(?:minus|#8722|#x2212);|−", "-")
-    for letter, entities in LETTER_ENTITIES.items():
-        text = F.regexp_replace(text, f"&(?:{entities});", letter)
-    return F.trim(F.regexp_replace(text, r"[\s\x{00A0}\x{202F}]+", " "))
+def plain_text(shown: Column) -> Column:
+    """Character references resolved, every run of space as one blank, the typographic minus as a hyphen."""
+    text = F.regexp_replace(decoded_entities(shown), "\u2212", "-")
+    return F.trim(F.regexp_replace(text, r"(?U)[\s\x{00A0}\x{202F}]+", " "))
 
 
 def _shown_number(text: Column) -> Column:
@@ -301,7 +306,7 @@ def reconcile_published(pages: DataFrame, metrics: DataFrame) -> DataFrame:
         F.col("text").alias("expected_text"),
         F.lit(True).alias("_known"),
     )
-    text = _plain_text(F.col("shown"))
+    text = plain_text(F.col("shown"))
     scale, half_unit = F.lit(None).cast("double"), F.lit(None).cast("double")
     for code, (factor, decimals) in NUMBER_FORMATS.items():
         scale = F.when(F.col("format") == code, F.lit(float(factor))).otherwise(scale)

@@ -169,6 +169,29 @@ def test_margin_grid_equals_row_by_row_evaluation_and_is_monotone(backtest):
     assert one(named)["new_late_rate"] == grid[5]["new_late_rate"]
 
 
+def test_rounded_margin_grid_follows_the_published_figures(backtest):
+    grid = promise.margin_grid(*backtest, promise.is_risky(**RISKY), compat_rounding=True).collect()
+    routes, late_before = plain_routes(), round(sum(o[8] for o in HOLDOUT) / len(HOLDOUT), 4)
+    for g in grid:
+        promises = [o[6] + (g["margin"] if is_risky(routes.get((o[4], o[5]))) else 0) for o in HOLDOUT]
+        late = round(sum(o[7] > days for o, days in zip(HOLDOUT, promises)) / len(HOLDOUT), 4)
+        assert g["new_promise"] == round(sum(promises) / len(promises), 2)
+        assert g["new_late_rate"] == late and g["late_avoided_share"] == round(1 - late / late_before, 4)
+        assert g["extra_days"] == round(g["new_promise"] - grid[0]["new_promise"], 2)
+        assert g["new_bad_reviews"] == int(g["new_bad_reviews"])
+
+
+def test_any_margin_is_a_place_in_the_counts(backtest):
+    rule = promise.is_risky(**RISKY)
+    grid = {g["margin"]: g.asDict() for g in promise.margin_grid(*backtest, rule, margins=[60, -3, 0, 7]).collect()}
+    assert list(grid) == [-3, 0, 7, 60]
+    for margin in (-3, 60):
+        named = one(promise.evaluate_policy("m", promise.margin_promise(rule, margin), *backtest))
+        for name in ("orders", "new_promise", "new_late_rate"):
+            assert abs(grid[margin][name] - named[name]) < 1e-12
+        assert abs(grid[margin]["new_bad_reviews"] - named["new_bad_reviews"]) < 1e-5
+
+
 def test_margin_grid_reads_the_holdout_once(delivered):
     cells = promise.promise_cells(delivered, CUTOFF)
     fixed = cells.sparkSession.createDataFrame([("SP", "SP", 40, 0.5, 9.0)], "seller_state string, customer_state string, n bigint, late_rate double, q double")

@@ -12,7 +12,7 @@ from parcelwise.plans import delivery, model, promise, publish, quality, rolling
 from parcelwise.session import kept, materialised, new_place, scope
 from parcelwise.sources import calendar, manifest, raw, tables
 from workload import params as p
-from workload.study import BuiltStudy, ReportedStudy, StoredStudy, Study
+from workload.study import BucketedStudy, BuiltStudy, ReportedStudy, StoredStudy, Study
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Callable[[Study], DataFrame]] = {}
@@ -116,6 +116,12 @@ def fct_orders(s: Study) -> DataFrame:
     return s.fct_orders
 
 
+@query
+def fct_orders_saved(s: Study) -> DataFrame:
+    """The order fact from tables saved in buckets of orders."""
+    return BucketedStudy(s.spark, s.source.folder).fct_orders
+
+
 @query
 def fct_order_items(s: Study) -> DataFrame:
     return model.fct_order_items(s.items_with_limit)
@@ -291,6 +297,12 @@ def margin_grid(s: Study) -> DataFrame:
     return s.margin_grid
 
 
+@query
+def margin_grid_rounded(s: Study) -> DataFrame:
+    """The margin grid from rates and days as published."""
+    return promise.margin_grid(*s.backtest, s.risky, compat_rounding=True)
+
+
 @query
 def margin_curve(s: Study) -> DataFrame:
     """The margin grid up to two months, from the same counts as for ten days."""
@@ -443,7 +455,7 @@ def _ascending(*columns: str) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in columns]
 
 
-def derived(s: Study) -> DataFrame:
+def derived(s: Study, compat_rounding: bool = False) -> DataFrame:
     return publish.derived_figures(
         s.delay_vs_promise,
         s.bad_review_timing,
@@ -452,6 +464,7 @@ def derived(s: Study) -> DataFrame:
         s.excess_summary,
         s.cited_policy,
         min_late_orders=p.RATIO_MIN_LATE,
+        compat_rounding=compat_rounding,
     )
 
 
@@ -516,6 +529,12 @@ def derived_figures(s: Study) -> DataFrame:
     return derived(s)
 
 
+@reported_query
+def derived_figures_rounded(s: Study) -> DataFrame:
+    """The derived figures from rates and days as published."""
+    return derived(s, compat_rounding=True)
+
+
 @query
 def results_in_scope(s: Study) -> DataFrame:
     """Metrics per section, derived figures and checks of one scope: they share a written fact, which goes with the scope."""
@@ -556,6 +575,15 @@ def reconcile_published(s: Study) -> DataFrame:
     )
 
 
+@query
+def published_entities(s: Study) -> DataFrame:
+    """Figures of pages that write them with character references of all kinds."""
+    shown = "&#8722;%d&#8239;&#x26;nbsp;&euro; &#xE9;&copy1 &Eacute;t&eacute;&thinsp;&#128;&#x1F69A;&unknown;&#0;"
+    figure = F.format_string(f'<b data-k="monthly.orders" data-f="int">{shown}</b>', "orders")
+    pages = s.monthly_promise.select(F.col("month").alias("page"), figure.alias("html"))
+    return publish.published_figures(pages).select("page", "key", publish.plain_text(F.col("shown")).alias("text"))
+
+
 @query
 def update_notice_mismatch(s: Study) -> DataFrame:
     return publish.update_notice_mismatch(

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parcelwise import shaping
 from parcelwise.plans import delivery, marts, model, promise, repeat, rolling, sellers, staging
-from parcelwise.session import in_scope, materialised, shared, tune
+from parcelwise.session import in_scope, materialised, new_place, shared, tune
+from parcelwise.sources.tables import save_bucketed
 from workload import params as p
 
 
@@ -322,3 +323,27 @@ class BuiltStudy(StoredStudy):
     def fct_orders(self) -> DataFrame:
         """The published fact with its ranks, which the checks are about, over the written orders."""
         return model.fct_orders(self.enriched, self.sellers, self.sequence)
+
+
+class BucketedStudy(Study):
+    """A study over saved tables that share their buckets of orders: the fact is put together without an exchange."""
+
+    @cached_property
+    def saved(self) -> dict[str, DataFrame]:
+        source = {
+            "timeline": super().timeline,
+            "items": super().items,
+            "payments": super().payments,
+            "reviews": super().all_reviews,
+            "sequence": super().sequence.select("order_id", "order_rank"),
+        }
+        return save_bucketed(source, new_place(self.spark, "bucketed"), "order_id")
+
+    @cached_property
+    def enriched(self) -> DataFrame:
+        kept = staging.latest_review_per_order(self.saved["reviews"])
+        return model.enriched_orders(self.saved["timeline"], self.saved["items"], self.saved["payments"], kept)
+
+    @cached_property
+    def fct_orders(self) -> DataFrame:
+        return model.fct_orders(self.enriched, self.sellers, self.saved["sequence"])
