@@ -1,9 +1,9 @@
 """Byte-pair encoding of whole texts with a public vocabulary, and decoding.
 
-A word is encoded in one array of part boundaries and one array of the ranks of adjacent parts: the smallest rank is
-looked for, its boundary deleted and the two neighbouring ranks looked up again, until no pair has a rank. Long
-words use a heap over the same parts, since repeated scans would take quadratic time. Each task keeps the words it
-has encoded, up to a fixed number.
+A word is encoded in one array of its parts, as numbers, and one array of the ranks of adjacent parts: the smallest rank
+is looked for, its boundary deleted and the two neighbouring ranks looked up again, until no pair has a rank. Long
+words use a heap over the same parts, since repeated scans would take quadratic time. A Python worker keeps the encoder
+and the words it has encoded, up to a fixed number.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,21 @@ def byte_symbols() -> list[str]:
     return symbols
 
 
+class Remembered(dict):
+    """Results by argument, made where they are missing; a hit runs no Python code. Cleared when it is full."""
+
+    def __init__(self, make: Callable[[str], list[int]]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> list[int]:
+        found = self.make(key)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[key] = found
+        return found
+
+
 class Encoder:
     """Encoder and decoder of one tokenizer definition: word BPE with an end-of-word suffix.
 
@@ -66,35 +83,60 @@ class Encoder:
         self.marks = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.names = {i: token for token, i in (self.ids | special).items()}
         self.symbols = byte_symbols()
-        self.known: dict[str, list[int]] = {}
+        # Parts as numbers: tokens by their id, symbols that are no tokens behind them.
+        self.number = dict(self.ids)
+        for symbol in [*self.symbols, *(symbol + self.suffix for symbol in self.symbols)]:
+            self.number.setdefault(symbol, len(self.ids) + len(self.number))
+        self.inner = [self.number[symbol] for symbol in self.symbols]
+        self.last = [self.number[symbol + self.suffix] for symbol in self.symbols]
+        self.width = max(self.number.values()) + 1
+        # A pair as one number -> rank; the rank -> what the pair becomes.
+        self.pair_rank = {
+            self.number[a] * self.width + self.number[b]: rank for (a, b), rank in self.ranks.items() if a + b in self.number
+        }
+        self.becomes = [self.number.get(a + b, -1) for a, b in self.ranks]
+        self.words = Remembered(self.merged)
+        self.known = Remembered(self.chunk)
 
     def normalised(self, text: str) -> str:
         text = self.spaces.sub(" ", unicodedata.normalize("NFC", text))
         # Lower-casing goes character by character: no final form of sigma.
         return text.lower() if "Σ" not in text else "".join(map(str.lower, text))
 
-    def merged(self, word: str) -> list[str]:
-        """The parts of one word."""
-        raw = [self.symbols[b] for b in word.encode("utf-8", "surrogatepass")]
-        raw[-1] += self.suffix
-        return self._scan(raw) if len(raw) <= SHORT_WORD else self._heap(raw)
-
-    def _scan(self, raw: list[str]) -> list[str]:
-        text, rank_of = "".join(raw), self.ranks.get
-        bounds = [*range(len(raw)), len(text)]
-        ranks = [rank_of(pair, NO_RANK) for pair in zip(raw, raw[1:], strict=False)]
-
-        def rank(i: int) -> int:
-            return rank_of((text[bounds[i] : bounds[i + 1]], text[bounds[i + 1] : bounds[i + 2]]), NO_RANK)
-
-        while ranks and (least := min(ranks)) < NO_RANK:
+    def merged(self, word: str) -> list[int]:
+        """The ids of one word."""
+        raw = word.encode("utf-8", "surrogatepass")
+        if len(raw) > SHORT_WORD:
+            symbols = [self.symbols[b] for b in raw]
+            symbols[-1] += self.suffix
+            return [self.ids[part] for part in self._heap(symbols)]
+        parts = list(map(self.inner.__getitem__, raw))
+        parts[-1] = self.last[raw[-1]]
+        self._merge(parts)
+        # Symbols that are no tokens have no id.
+        return parts if max(parts) < len(self.ids) else [self.ids[self.names[part]] for part in parts]
+
+    def _merge(self, parts: list[int]) -> None:
+        """Merge adjacent parts in place, the pair of the smallest rank first, the leftmost of equal ones."""
+        rank_of, width, becomes = self.pair_rank.get, self.width, self.becomes
+        ranks = [rank_of(a * width + b, NO_RANK) for a, b in zip(parts, parts[1:])]
+        while ranks:
+            least = min(ranks)
+            if least == NO_RANK:
+                break
             i = ranks.index(least)
-            del bounds[i + 1], ranks[i]
+            part = parts[i] = becomes[least]
+            del parts[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = rank(i - 1)
+                ranks[i - 1] = rank_of(parts[i - 1] * width + part, NO_RANK)
             if i < len(ranks):
-                ranks[i] = rank(i)
-        return [text[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+                ranks[i] = rank_of(part * width + parts[i + 1], NO_RANK)
+
+    def _scan(self, raw: list[str]) -> list[str]:
+        """``_merge`` for parts given by their spelling."""
+        parts = [self.number[symbol] for symbol in raw]
+        self._merge(parts)
+        return [self.names[part] for part in parts]
 
     def _heap(self, raw: list[str]) -> list[str]:
         parts: list[str | None] = list(raw)
@@ -123,15 +165,10 @@ class Encoder:
             offer(before[i])
         return [p for p in parts if p is not None]
 
-    def __getitem__(self, chunk: str) -> list[int]:
+    def chunk(self, chunk: str) -> list[int]:
         """The ids of a normalised run without white space."""
-        found = self.known.get(chunk)
-        if found is None:
-            found = [self.ids[p] for word in self.pattern.findall(chunk) for p in self.merged(word)]
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[chunk] = found
-        return found
+        words = self.pattern.findall(chunk)
+        return self.words[words[0]] if len(words) == 1 else list(chain.from_iterable(map(self.words.__getitem__, words)))
 
     def encode(self, text: str | None) -> list[int]:
         """The ids of a whole text; null counts as empty."""
@@ -140,9 +177,7 @@ class Encoder:
             if piece in self.special:
                 ids.append(self.special[piece])
             elif piece:
-                for chunk in self.normalised(piece).split(" "):
-                    if chunk:
-                        ids += self[chunk]
+                ids.extend(chain.from_iterable(map(self.known.__getitem__, self.normalised(piece).split(" "))))
         return ids
 
     def decode(self, ids: list[int]) -> str:
@@ -150,6 +185,12 @@ class Encoder:
         return " ".join(map(self.names.__getitem__, ids))
 
 
+@lru_cache(maxsize=1)
+def _encoder(definition: str) -> Encoder:
+    """The encoder of a Python worker, which its tasks share."""
+    return Encoder(definition)
+
+
 def encoded(docs: DataFrame, path: str, carried: Sequence[str] = ()) -> DataFrame:
     """(``doc_id``, ``ids`` array, ``decoded``): every whole text as tokens, and the text the tokens decode to.
 
@@ -163,11 +204,11 @@ def encoded(docs: DataFrame, path: str, carried: Sequence[str] = ()) -> DataFram
         definition = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(definition.value)
+        encoder = _encoder(definition.value)
         for batch in batches:
             lists = [encoder.encode(t) for t in batch.column(1).to_pylist()]
             ends = np.cumsum([0, *map(len, lists)])
-            flat = np.fromiter((i for ids in lists for i in ids), np.int32, ends[-1])
+            flat = np.fromiter(chain.from_iterable(lists), np.int32, ends[-1])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
             decoded = pa.array(list(map(encoder.decode, lists)), pa.string())
             yield pa.RecordBatch.from_arrays(
