@@ -1,4 +1,5 @@
 import datetime as dt
+import gzip
 import hashlib
 import os
 
@@ -51,6 +52,45 @@ def test_expected_digests_pass(spark, folder):
     load_raw(spark, files(folder), f"{folder}/landed", expected_digests=expected)
 
 
+def test_digests_of_any_bytes(spark, tmp_path):
+    contents = {
+        "closed.csv": b"a,b\n1,2\n",
+        "open.csv": b"a,b\n1,2",
+        "returns.csv": b"a\r\n\r\n\n\n",
+        "feed.csv": b"\n",
+        "two feeds.csv": b"\n\n",
+        "empty.csv": b"",
+        "mark.csv": b"\xef\xbb\xbf",
+        "mark feed.csv": b"\xef\xbb\xbf\n",
+        "marked.csv": b"\xef\xbb\xbfa,b\n1,2",
+        "marked closed.csv": b"\xef\xbb\xbfa,b\n1,2\n",
+        "not text%20.csv": bytes(range(256)) * 300,
+        "long.csv": b"".join(b"%d,x\n" % i for i in range(50_000)),
+        "one line.csv": b"x" * 3_000_000,
+        "packed.csv.gz": gzip.compress(b"a,b\n1,2\n"),
+    }
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    found = rows(manifest.file_digests(spark, str(tmp_path)), "file", "sha256", "bytes")
+    assert sorted(found) == sorted((n, hashlib.sha256(c).hexdigest(), len(c)) for n, c in contents.items() if c)
+
+
+def test_digests_hold_no_whole_file(spark, tmp_path):
+    """A file is read in one task as lines, however small the splits are, and never as one row."""
+    (tmp_path / "large.csv").write_bytes(content := b"".join(b"%d,x\n" % i for i in range(100_000)))
+    names = {"spark.sql.files.maxPartitionBytes": "10kb", "spark.sql.files.openCostInBytes": "1b", "spark.sql.sources.binaryFile.maxLength": "1000"}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        found = rows(manifest.file_digests(spark, str(tmp_path)), "sha256")
+        assert found == [(hashlib.sha256(content).hexdigest(),)]
+        assert {name: spark.conf.get(name) for name in names} == names
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def test_line_breaks_only_where_declared(spark, tmp_path):
     header = "review_id,order_id,review_score,review_comment_title,review_comment_message,review_creation_date,review_answer_timestamp"
     (tmp_path / "reviews.csv").write_text(f'{header}\nr1,o1,5,,"two\nlines",2018-01-01,2018-01-02\n')
