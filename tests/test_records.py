@@ -84,3 +84,21 @@ def test_every_table_keeps_line_breaks(spark, tmp_path):
     assert sorted(rows(landed, "customer_id", "customer_city")) == [("c1", "sao\npaulo"), ("c2", "rio")]
     plain = raw.load_raw(spark, {"customers": path}, f"{tmp_path}/again", by_lines=["customers"])["customers"]
     assert plain.count() == 3
+
+
+def test_records_within_a_split_are_not_shuffled(small_splits, tmp_path):
+    """Lines come in small batches; only those of records over several splits are grouped."""
+    small_splits.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        table = made(7, 80, True)
+        found = records.read_csv_records(small_splits, write(tmp_path / "broken.csv", table))
+        assert sorted(rows(found)) == sorted(table[1:])
+        assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+        lines = records._lines(small_splits, str(tmp_path / "broken.csv"))
+        assert "SortAggregate" not in records._splits(lines)._jdf.queryExecution().executedPlan().toString()
+        small_splits.conf.set("spark.sql.files.maxPartitionBytes", "1mb")
+        whole = records.read_csv_records(small_splits, str(tmp_path / "broken.csv"))
+        assert sorted(rows(whole)) == sorted(table[1:])
+        assert small_splits.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "3"
+    finally:
+        small_splits.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
