@@ -14,6 +14,7 @@ weights from there on: a new phase. All rows are placed, none is dropped or repe
 from __future__ import annotations
 
 import heapq
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -105,6 +106,34 @@ def phases(blocks: Mapping[str | None, int], weights: Mapping[str | None, int])
     return found
 
 
+@dataclass(frozen=True)
+class Plan:
+    """What a mix has decided: slots per period and blocks of every source, rows of a block, and the seed of the order."""
+
+    slots: dict[str | None, int]
+    blocks: dict[str | None, int]
+    block_rows: int
+    seed: int
+
+    def text(self) -> str:
+        return json.dumps([[[s, n, self.blocks[s]] for s, n in self.slots.items()], self.block_rows, self.seed])
+
+    @classmethod
+    def of(cls, text: str) -> Plan:
+        sources, block_rows, seed = json.loads(text)
+        return cls({s: n for s, n, _ in sources}, {s: n for s, _, n in sources}, block_rows, seed)
+
+
+# Metadata of ``source`` that names the plan of a mix; written files keep it, whatever becomes of the order of rows.
+PLAN = "mix"
+
+
+def planned(docs: DataFrame) -> Plan | None:
+    """The plan by which ``docs`` were mixed; none if they were not."""
+    text = docs.schema["source"].metadata.get(PLAN)
+    return Plan.of(text) if text else None
+
+
 def scheduled(
     docs: DataFrame,
     weights: Mapping[str | None, float],
@@ -126,7 +155,23 @@ def scheduled(
     """
     given = dict(weights)
     given.setdefault(REST, min(given.values()))
-    slots_of = whole_weights(given, period)
+    return _placed(docs, whole_weights(given, period), None, block_rows, seed, slices)[0]
+
+
+def placed(docs: DataFrame, plan: Plan) -> DataFrame:
+    """As ``scheduled``, by a plan made before: ``docs`` are the rows that it was made for, in any order."""
+    return _placed(docs, plan.slots, plan.blocks, plan.block_rows, plan.seed)[0]
+
+
+def _placed(
+    docs: DataFrame,
+    slots_of: dict[str | None, int],
+    blocks: dict[str | None, int] | None,
+    block_rows: int,
+    seed: int,
+    slices: int | None = None,
+) -> tuple[DataFrame, Plan]:
+    """``docs`` with ``_mix``, and the plan; without ``blocks`` the rows are counted. Rows beyond a plan have no slot."""
     names = [s for s in slots_of if s is not None]
     numbers = {s: i for i, s in enumerate(names, 1)} | {REST: 0}
     number = F.coalesce(
@@ -145,8 +190,9 @@ def scheduled(
     runs = materialised(runs)
     before = Window.partitionBy("_s").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select("_s", "_slice", "_low", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    sizes = {r["_s"]: r["n"] for r in rows.groupBy("_s").agg(F.count("*").alias("n")).collect()}
-    blocks = {s: -(-sizes.get(i, 0) // block_rows) for s, i in numbers.items()}
+    if blocks is None:
+        sizes = {r["_s"]: r["n"] for r in rows.groupBy("_s").agg(F.count("*").alias("n")).collect()}
+        blocks = {s: -(-sizes.get(i, 0) // block_rows) for s, i in numbers.items()}
     plan = phases(blocks, slots_of)
     spans = [
         (numbers[s], p.first[s], p.first[s] + n, i, p.start, p.weights[s], sum(p.weights.values()), p.place[s])
@@ -165,8 +211,8 @@ def scheduled(
         .join(runs, ["_s", "_slice"])
         .withColumn("_rank", F.col("_before") + F.col("_row") - F.col("_low"))
         .withColumn("_block", F.expr(f"_rank div {block_rows}"))
-        .join(F.broadcast(spans), "_s")
-        .withColumn("_span", F.expr("filter(_spans, x -> x.lo <= _block and _block < x.hi)[0]"))
+        .join(F.broadcast(spans), "_s", "left")
+        .withColumn("_span", F.expr("get(filter(_spans, x -> x.lo <= _block and _block < x.hi), 0)"))
         .withColumn("_k", F.expr("_block - _span.lo"))
     )
     slot = F.expr("_span.start + (_k div _span.weight) * _span.total + _span.place[cast(_k % _span.weight as int)]")
@@ -178,11 +224,16 @@ def scheduled(
         slot.alias("slot"),
         (slot * block_rows + F.expr(f"_rank % {block_rows}")).alias("position"),
     )
-    return ranked.select(*docs.columns, mix.alias("_mix"))
+    return ranked.select(*docs.columns, mix.alias("_mix")), Plan(slots_of, blocks, block_rows, seed)
 
 
 def mixed(docs: DataFrame, weights: Mapping[str | None, float], block_rows: int = 16, seed: int = 7) -> DataFrame:
-    """``docs`` in the order of the mix: partitions and rows ascend by position. Every row is kept."""
-    placed = scheduled(docs, weights, block_rows, seed)
-    ordered = placed.repartitionByRange("_mix.position").sortWithinPartitions("_mix.position")
-    return ordered.select(*docs.columns)
+    """``docs`` in the order of the mix: partitions and rows ascend by position. Every row is kept.
+
+    The column ``source`` carries the plan of the mix, by which ``placed`` gives the same places to the rows wherever they are.
+    """
+    given = dict(weights)
+    given.setdefault(REST, min(given.values()))
+    rows, plan = _placed(docs, whole_weights(given), None, block_rows, seed)
+    ordered = rows.repartitionByRange("_mix.position").sortWithinPartitions("_mix.position")
+    return ordered.select(*docs.columns).withMetadata("source", {PLAN: plan.text()})

@@ -27,3 +27,16 @@ def test_tokens_tell_the_mix(session, documents, small):
         if seen[of_slot[slot]] == left[of_slot[slot]]:
             break
     assert slot > 50
+
+
+def test_places_are_those_the_mixing_stage_decided(session, documents, small, monkeypatch):
+    docs = documents(*[(i, f"text {i}", "en", f"src{i % 3}", 6) for i in range(200)])
+    monkeypatch.setattr(corpus_pipeline, "WEIGHTS", {"src0": 1.0, "src1": 5.0, "src2": 2.0})
+    written = materialised(corpus_pipeline.mix_sources(session, docs, small))
+    expected = mixing.scheduled(docs, corpus_pipeline.WEIGHTS).select("doc_id", "_mix.slot", "_mix.position").collect()
+    monkeypatch.undo()
+    found = corpus_pipeline.encode(session, written.repartition(5), small).select("doc_id", "slot", "position").collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, expected))
+    # Without the mixing stage there are no places.
+    unmixed = corpus_pipeline.encode(session, docs, small).select("slot", "position").distinct().collect()
+    assert [tuple(row) for row in unmixed] == [(None, None)]
