@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,26 +15,44 @@ from parcelwise.operators.slices import ranked_sequence
 TOTAL = "decimal(20,2)"
 
 
+def _in_cents(df: DataFrame, amount: str) -> bool:
+    kind = df.schema[amount].dataType
+    return isinstance(kind, T.DecimalType) and kind.scale == 2 and kind.precision <= 16
+
+
+def _summed(df: DataFrame, amount: str) -> Column:
+    """Sum of an amount, as whole cents where these are exact."""
+    return F.sum((F.col(amount) * 100).cast("long") if _in_cents(df, amount) else F.col(amount))
+
+
+def _as_total(df: DataFrame, amount: str, total: Column) -> Column:
+    """A sum of ``_summed`` ones as an amount."""
+    return (total * F.lit("0.01").cast("decimal(3,2)") if _in_cents(df, amount) else total).cast(TOTAL)
+
+
 def amount_total(df: DataFrame, amount: str) -> Column:
     """Exact sum of an amount per group.
 
     Amounts of two decimals and up to 16 digits are added up as whole cents in a long; a decimal sum would
     exceed 18 digits and go through big-number objects for every row.
     """
-    kind = df.schema[amount].dataType
-    if isinstance(kind, T.DecimalType) and kind.scale == 2 and kind.precision <= 16:
-        cents = F.sum((F.col(amount) * 100).cast("long"))
-        return (cents * F.lit("0.01").cast("decimal(3,2)")).cast(TOTAL)
-    return F.sum(amount).cast(TOTAL)
+    return _as_total(df, amount, _summed(df, amount))
 
 
 def order_item_rollup(items: DataFrame) -> DataFrame:
-    return items.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("items_count"),
-        F.count_distinct("seller_id").alias("sellers_count"),
+    """Lines and amounts per order, with the number of its sellers.
+
+    Lines are added up per order and seller first: a distinct count would do the same with the seller in each row twice.
+    """
+    per_seller = items.groupBy("order_id", "seller_id").agg(
+        F.count(F.lit(1)).alias("_lines"), _summed(items, "price").alias("_price"), _summed(items, "freight_value").alias("_freight")
+    )
+    return per_seller.groupBy("order_id").agg(
+        F.sum("_lines").alias("items_count"),
+        F.count("seller_id").alias("sellers_count"),
         F.min("seller_id").alias("any_seller_id"),
-        amount_total(items, "price").alias("items_value"),
-        amount_total(items, "freight_value").alias("freight_value"),
+        _as_total(items, "price", F.sum("_price")).alias("items_value"),
+        _as_total(items, "freight_value", F.sum("_freight")).alias("freight_value"),
     )
 
 
@@ -175,9 +195,13 @@ def customer_order_sequence(timeline: DataFrame, slices: int | None = None) -> D
 
 
 def fct_orders(enriched: DataFrame, sellers: DataFrame, sequence: DataFrame) -> DataFrame:
-    ranked = enriched.join(sequence.select("order_id", "order_rank"), "order_id", "left")
-    return with_seller_state(ranked, sellers).select(
-        *enriched.columns,
+    return ranked_fact(with_seller_state(enriched, sellers), enriched.columns, sequence)
+
+
+def ranked_fact(orders: DataFrame, columns: Sequence[str], sequence: DataFrame) -> DataFrame:
+    """The order fact from orders that have ``columns`` and the state of their seller."""
+    return orders.join(sequence.select("order_id", "order_rank"), "order_id", "left").select(
+        *columns,
         "seller_state",
         "order_rank",
         (F.col("order_rank") == 1).alias("is_first_order"),

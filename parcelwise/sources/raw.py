@@ -138,7 +138,7 @@ def load_raw(
         landed = {}
         for table, text in texts.items():
             place = version.place(table)
-            text.write.parquet(place)
+            text.write.option("compression", "zstd").parquet(place)
             landed[table] = spark.read.parquet(place)
         manifest_rows(digests, landed, SOURCE_FILE).write.mode("append").parquet(f"{base}/manifest")
     return {table: df.drop(SOURCE_FILE) for table, df in landed.items()}

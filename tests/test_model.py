@@ -158,3 +158,23 @@ def test_amount_totals_are_exact(frame, kind):
     found = dict(rows(df.groupBy("g").agg(model.amount_total(df, "amount").alias("total"))))
     assert found == {"g": sum(Decimal(v) for v in values), "none": None}
     assert df.groupBy("g").agg(model.amount_total(df, "amount").alias("total")).dtypes[1] == ("total", model.TOTAL)
+
+
+def test_lines_are_shuffled_with_their_seller_once(frame):
+    items = frame(
+        "order_id string, seller_id string, price decimal(12,2), freight_value decimal(12,2)",
+        ("o1", "s2", Decimal(1), Decimal(1)),
+        ("o1", "s1", Decimal(2), Decimal(1)),
+        ("o1", "s1", Decimal(3), None),
+        ("o2", None, Decimal(4), Decimal(1)),
+        ("o2", "s1", Decimal(5), Decimal(1)),
+        (None, None, Decimal(6), None),
+    )
+    found = model.order_item_rollup(items)
+    assert sorted(rows(found), key=repr) == [
+        ("o1", 3, 2, "s1", 6, 2),
+        ("o2", 2, 1, "s1", 9, 2),
+        (None, 1, 0, None, 6, None),
+    ]
+    first_step = found._jdf.queryExecution().executedPlan().toString().split("Exchange")[-1]
+    assert "min(seller_id" not in first_step

@@ -4,8 +4,10 @@ import pytest
 
 from helpers import rows
 from parcelwise import session
+from parcelwise.sources import records
+from workload import queries
 from workload.queries import derived, expectation_report, study_metrics
-from workload.study import BuiltStudy, ReportedStudy
+from workload.study import BuiltStudy, ReportedStudy, Study
 
 
 def folders(spark):
@@ -47,3 +49,24 @@ def test_results_share_one_fact(spark):
         facts = {tuple(s.routed.inputFiles()) for s in (reported, built)}
         assert len(facts) == 1 and {name for _, name in opened.tables} == {"paid fact", "seller excess", "orders", "reviews"}
     assert folders(spark) <= before
+
+
+def test_reports_and_checks_share_what_the_fact_is_made_of(spark):
+    folder = "/root/testdata/sf0.001"
+    with session.scope(spark):
+        reported, built = ReportedStudy(spark, folder), BuiltStudy(spark, folder)
+        assert reported.orders.inputFiles() == built.orders.inputFiles()
+        assert reported.reviews.inputFiles() == built.reviews.inputFiles()
+    # The published fact is the written one with its ranks: lines and payments are not summed up again.
+    assert not [path for path in BuiltStudy(spark, folder).fct_orders.inputFiles() if path.startswith(f"file://{folder}")]
+    session.remove_written(spark)
+
+
+def test_packed_files_do_not_grow_with_the_tables(spark, monkeypatch):
+    monkeypatch.setattr(queries, "ROWS_PER_PACKED_FILE", 100)
+    study = Study(spark, "/root/testdata/sf0.001")
+    path = queries._csv_files(study, packed=True)["order_reviews"]
+    found = records.read_csv_records(spark, path, "file")
+    assert path.endswith("*.csv.gz") and found.count() == study.raw("order_reviews").count()
+    assert max(n for _, n in rows(found.groupBy("file").count())) <= 100
+    session.remove_written(spark)

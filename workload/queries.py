@@ -614,18 +614,25 @@ def publication_date(s: Study) -> DataFrame:
 # Sources and sinks.
 
 
-def _csv_files(s: Study) -> dict[str, str]:
-    """The raw tables written as CSV text into a new shared place."""
+# Packed files are read by one task each, so they must not grow with the tables.
+ROWS_PER_PACKED_FILE = 1_000_000
+
+
+def _csv_files(s: Study, packed: bool = False) -> dict[str, str]:
+    """The raw tables written as CSV text into a new shared place, ``packed`` as gzip files of bounded size."""
     base = new_place(s.spark, "csv")
+    options = {"header": True, "escape": '"'}
+    if packed:
+        options |= {"compression": "gzip", "maxRecordsPerFile": ROWS_PER_PACKED_FILE}
     for table in s.raw_names:
-        s.raw(table).write.option("header", True).option("escape", '"').csv(f"{base}/{table}")
-    return {table: f"{base}/{table}/*.csv" for table in s.raw_names}
+        s.raw(table).write.options(**options).csv(f"{base}/{table}")
+    return {table: f"{base}/{table}/*.csv{'.gz' if packed else ''}" for table in s.raw_names}
 
 
 @query
 def csv_to_orders(s: Study) -> DataFrame:
     """The whole way in: CSV text, contract, landing, staging, enriched orders."""
-    landed = raw.load_raw(s.spark, _csv_files(s), new_place(s.spark, "landed"))
+    landed = raw.load_raw(s.spark, _csv_files(s, packed=True), new_place(s.spark, "landed"))
     timeline = model.order_timeline(
         staging.stg_orders(landed["orders"]), staging.stg_customers(landed["customers"])
     )
