@@ -264,13 +264,31 @@ class StoredStudy(Study):
     def written(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         return shared((self.source.folder, name), build)
 
+    @cached_property
+    def orders(self) -> DataFrame:
+        orders = super().orders
+        return self.written("orders", lambda: orders) if in_scope() else orders
+
+    @cached_property
+    def reviews(self) -> DataFrame:
+        reviews = super().reviews
+        return self.written("reviews", lambda: reviews) if in_scope() else reviews
+
     @cached_property
     def routed(self) -> DataFrame:
         fact = super().routed
         if in_scope():
-            return self.written("paid fact", lambda: model.with_payments(fact, self.payments))
+            return self.paid_fact
         return materialised(fact)
 
+    @cached_property
+    def paid_fact(self) -> DataFrame:
+        """The order fact but for its ranks, from one sum of the lines."""
+        counted = model.with_reviews(model.with_items(self.timeline, self.items), self.reviews)
+        return self.written(
+            "paid fact", lambda: model.with_payments(model.with_seller_state(counted, self.sellers), self.payments)
+        )
+
     @cached_property
     def measured(self) -> DataFrame:
         return self.routed
@@ -312,8 +330,7 @@ class BuiltStudy(StoredStudy):
 
     @cached_property
     def routed(self) -> DataFrame:
-        """The parent's fact is one more plan here, written together with the payments."""
-        return self.written("paid fact", lambda: model.with_payments(Study.routed.func(self), self.payments))
+        return self.paid_fact
 
     @cached_property
     def paid(self) -> DataFrame:
@@ -321,8 +338,8 @@ class BuiltStudy(StoredStudy):
 
     @cached_property
     def fct_orders(self) -> DataFrame:
-        """The published fact with its ranks, which the checks are about, over the written orders."""
-        return model.fct_orders(self.enriched, self.sellers, self.sequence)
+        """The published fact, which the checks are about: the written one with its ranks."""
+        return model.ranked_fact(self.routed, model.ENRICHED_COLUMNS, self.sequence)
 
 
 class BucketedStudy(Study):
