@@ -194,18 +194,21 @@ def customer_order_sequence(timeline: DataFrame, slices: int | None = None) -> D
     )
 
 
+def _with_rank(orders: DataFrame, sequence: DataFrame) -> DataFrame:
+    return orders.join(sequence.select("order_id", "order_rank"), "order_id", "left")
+
+
 def fct_orders(enriched: DataFrame, sellers: DataFrame, sequence: DataFrame) -> DataFrame:
-    return ranked_fact(with_seller_state(enriched, sellers), enriched.columns, sequence)
+    return _fact(with_seller_state(_with_rank(enriched, sequence), sellers), enriched.columns)
 
 
 def ranked_fact(orders: DataFrame, columns: Sequence[str], sequence: DataFrame) -> DataFrame:
     """The order fact from orders that have ``columns`` and the state of their seller."""
-    return orders.join(sequence.select("order_id", "order_rank"), "order_id", "left").select(
-        *columns,
-        "seller_state",
-        "order_rank",
-        (F.col("order_rank") == 1).alias("is_first_order"),
-    )
+    return _fact(_with_rank(orders, sequence), columns)
+
+
+def _fact(ranked: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return ranked.select(*columns, "seller_state", "order_rank", (F.col("order_rank") == 1).alias("is_first_order"))
 
 
 def fct_order_items(items: DataFrame) -> DataFrame:
