@@ -73,6 +73,36 @@ def test_index_is_run_length_and_exact():
         assert found[position[t, i]] == best
 
 
+def suffixes(texts):
+    joined = np.frombuffer(b"\0".join([*texts, b""]), np.uint8)
+    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+    left = np.repeat(ends, [len(t) + 1 for t in texts]) - np.arange(len(joined))
+    return joined, left, repeats.RunLengthIndex._suffixes(joined, left)
+
+
+def test_suffixes_sort_values_only(monkeypatch):
+    rnd = random.Random(11)
+    base = bytes(rnd.choice(b"ab\0") for _ in range(120))
+    texts = [b"", b"a", *(base[rnd.randint(0, 60) : rnd.randint(60, 120)] for _ in range(20)), base, b"a" * 90, bytes(range(256))]
+    # Blocks of ordinary size need no index sort, which costs several times as much.
+    monkeypatch.setattr(np, "argsort", None)
+    joined, left, order = suffixes(texts)
+    whole = joined.tobytes()
+    assert order.tolist() == sorted(range(len(whole)), key=lambda i: ([c + 1 for c in whole[i : i + left[i]]] + [0], i))
+
+
+def test_suffixes_of_a_large_block():
+    rnd = np.random.default_rng(4)
+    base = rnd.integers(97, 101, 900_000).astype(np.uint8).tobytes()
+    joined, left, order = suffixes([base, base[1000:], base[:500_000] + b"x"])
+    n = len(joined)
+    assert n > 1 << 21 and np.array_equal(np.sort(order), np.arange(n))
+    whole = joined.tobytes()
+    for i in rnd.integers(0, n - 1, 300):
+        a, b = order[i], order[i + 1]
+        assert (whole[a : a + left[a]], a) < (whole[b : b + left[b]], b)
+
+
 def test_segments_do_not_matter(documents, monkeypatch):
     texts = sample(9, 10)
     monkeypatch.setattr(repeats, "SEGMENT", 150)
