@@ -14,6 +14,7 @@ of alike lines thus costs some comparisons per line instead of one per pair.
 
 from __future__ import annotations
 
+import string
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,6 +33,8 @@ PIECE = 127
 # The bitmap that sorts out lines without a candidate: BITMAPS x 32768 bits, 4 KB each, whatever the input.
 BITMAPS = 1024
 LAST = (1 << 63) - 1
+# Blanks and ASCII punctuation one by one: Java looks them up in a table, which it doesn't for \s and \p{Punct}.
+SEPARATORS = "[" + "".join(f"\\x{ord(c):02x}" for c in string.whitespace + string.punctuation) + "]+"
 
 ONES = 0x0101010101010101
 EVEN = 0x00FF00FF00FF00FF
@@ -39,7 +42,7 @@ PAIR = 0x000000FF000000FF
 
 
 def _words(line: str) -> Column:
-    return F.array_remove(F.split(F.lower(F.col(line)), r"[\s\p{Punct}]+"), "")
+    return F.array_remove(F.split(F.lower(F.col(line)), SEPARATORS), "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -153,19 +156,34 @@ def hashed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return whole.unionByName(_hash_of_pieces(pieces.where("fp is null")))
 
 
-def _block_masks(max_bits: int) -> list[int]:
-    """Masks of all pairs of blocks, as signed longs."""
+def _blocks(max_bits: int) -> list[tuple[int, int]]:
+    """First bit and width of each block."""
     cuts = [64 * k // (max_bits + 2) for k in range(max_bits + 3)]
-    blocks = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
-    masks = [x | y for x, y in combinations(blocks, 2)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _first_shared(differing: Column, max_bits: int) -> Column:
-    """The first mask on which two hashes agree, from their differing bits."""
+def _buckets(fp: str, max_bits: int) -> list[Column]:
+    """The bucket of a hash under each pair of blocks: the bits of both side by side, above them the number of the pair.
+
+    One whole number, since rows are sorted by a single number without comparisons.
+    """
+
+    def bits(start: int, width: int) -> Column:
+        return F.shiftrightunsigned(fp, start).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+
+    blocks = _blocks(max_bits)
+    widest = max(width for _, width in blocks)
+    return [
+        F.shiftleft(bits(*x), y[1]).bitwiseOR(bits(*y)).bitwiseOR(F.lit(number << (2 * widest)).cast("long"))
+        for number, (x, y) in enumerate(combinations(blocks, 2))
+    ]
+
+
+def _first_shared(fp: str, other: str, max_bits: int) -> Column:
+    """The bucket two hashes share under the first pair of blocks on which they agree."""
     found = F.lit(None).cast("long")
-    for mask in reversed(_block_masks(max_bits)):
-        found = F.when(differing.bitwiseAND(F.lit(mask)) == 0, F.lit(mask)).otherwise(found)
+    for mine, theirs in reversed(list(zip(_buckets(fp, max_bits), _buckets(other, max_bits), strict=True))):
+        found = F.when(mine == theirs, mine).otherwise(found)
     return found
 
 
@@ -174,16 +192,13 @@ def _distance(a: str, b: str) -> Column:
 
 
 def _bucket_members(nodes: DataFrame, max_bits: int) -> DataFrame:
-    """(``mask``, ``bits``, ``h``, ``fp``, ``n``, ``near``): nodes that share a bucket, its size, and alike nodes among a few.
+    """(``bucket``, ``h``, ``fp``, ``n``, ``near``): nodes that share a bucket, its size, and alike nodes among a few.
 
     A node is compared with the bucket's first one and its ``NEIGHBOURS`` predecessors in the order of the hashes. Buckets
     of up to ``NEIGHBOURS + 2`` nodes are thereby done.
     """
-    dealt = nodes.select("h", "fp", F.explode(F.array(*[F.lit(m) for m in _block_masks(max_bits)])).alias("mask"))
-    bits = F.col("fp").bitwiseAND(F.col("mask"))
-    # Partitioned by the expression, so that the bucket itself is not shuffled.
-    dealt = dealt.repartition("mask", bits).withColumn("bits", bits)
-    bucket = Window.partitionBy("mask", "bits")
+    dealt = nodes.select("h", "fp", F.explode(F.array(*_buckets("fp", max_bits))).alias("bucket"))
+    bucket = Window.partitionBy("bucket")
     along = bucket.orderBy("fp", "h")
     others = [F.struct(F.first("h").over(along).alias("h"), F.first("fp").over(along).alias("fp"))]
     others += [
@@ -195,7 +210,7 @@ def _bucket_members(nodes: DataFrame, max_bits: int) -> DataFrame:
     placed = shared.select("*", F.array(*others).alias("others"))
     alike = F.expr(f"filter(others, x -> x.h <> h and bit_count(x.fp ^ fp) <= {max_bits})")
     return materialised(
-        placed.withColumn("near", alike).select("mask", "bits", "h", "fp", "n", F.col("near.h").alias("near"))
+        placed.withColumn("near", alike).select("bucket", "h", "fp", "n", F.col("near.h").alias("near"))
     )
 
 
@@ -258,7 +273,7 @@ def line_classes(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     )
     star = materialised(star.distinct())
-    everyone = members.where(F.col("n") > NEIGHBOURS + 2).select("mask", "bits", "h", "fp")
+    everyone = members.where(F.col("n") > NEIGHBOURS + 2).select("bucket", "h", "fp")
     named = star.select("a").unionByName(star.select(F.col("b").alias("a"))).unionByName(
         everyone.select(F.col("h").alias("a"))
     )
@@ -268,25 +283,24 @@ def line_classes(
     groups = materialised(connected(links))
     # Larger buckets that still hold several groups: pairs across groups only, each in the first bucket they share.
     placed = everyone.join(groups, F.col("h") == F.col("node"), "left").select(
-        "mask", "bits", "h", "fp", F.coalesce("root", "h").alias("root")
+        "bucket", "h", "fp", F.coalesce("root", "h").alias("root")
     )
     placed = materialised(placed)
     mixed = (
-        placed.groupBy("mask", "bits")
+        placed.groupBy("bucket")
         .agg(F.min("root").alias("low"), F.max("root").alias("high"))
         .where("low <> high")
-        .select("mask", "bits")
+        .select("bucket")
     )
-    rest = placed.join(mixed, ["mask", "bits"], "left_semi")
-    other = rest.select(*[F.col(c).alias(f"_{c}") for c in ("mask", "bits", "h", "fp", "root")])
+    rest = placed.join(mixed, "bucket", "left_semi")
+    other = rest.select(*[F.col(c).alias(f"_{c}") for c in ("bucket", "h", "fp", "root")])
     across = rest.join(
         other,
-        (F.col("mask") == F.col("_mask"))
-        & (F.col("bits") == F.col("_bits"))
+        (F.col("bucket") == F.col("_bucket"))
         & (F.col("h") < F.col("_h"))
         & (F.col("root") != F.col("_root"))
         & (_distance("fp", "_fp") <= max_bits)
-        & (F.col("mask") == _first_shared(F.col("fp").bitwiseXOR(F.col("_fp")), max_bits)),
+        & (F.col("bucket") == _first_shared("fp", "_fp", max_bits)),
     ).select(F.col("h").alias("a"), F.col("_h").alias("b"))
     more = materialised(_verified(across.distinct(), sequences, similarity))
     if not more.isEmpty():

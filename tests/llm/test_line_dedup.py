@@ -1,6 +1,7 @@
 import random
 import re
 from collections import defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -113,6 +114,50 @@ def test_clashing_names(documents):
     assert result(line_dedup.deduplicated(docs)) == {1: "the same five words here", 2: ""}
 
 
+@pytest.mark.parametrize("max_bits", [0, 1, 3, 6])
+def test_buckets_are_one_number(session, max_bits):
+    rnd = random.Random(max_bits)
+    hashes = [rnd.getrandbits(64) for _ in range(200)]
+    hashes += [h ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(1, max_bits + 3))) for h in hashes]
+    signed = [(i, h - (1 << 64) if h >> 63 else h) for i, h in enumerate(hashes)]
+    members = line_dedup._bucket_members(session.createDataFrame(signed, "h long, fp long"), max_bits)
+    assert members.columns == ["bucket", "h", "fp", "n", "near"]
+    cuts = [64 * k // (max_bits + 2) for k in range(max_bits + 3)]
+    masks = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
+    expected = defaultdict(set)
+    for i, h in enumerate(hashes):
+        for number, (x, y) in enumerate(combinations(masks, 2)):
+            expected[number, h & (x | y)].add(i)
+    found = defaultdict(set)
+    for r in members.collect():
+        found[r["bucket"]].add(r["h"])
+        assert r["n"] > 1
+    assert sorted(map(sorted, found.values())) == sorted(sorted(g) for g in expected.values() if len(g) > 1)
+    linked = {frozenset((r["h"], x)) for r in members.collect() for x in r["near"]}
+    assert all((hashes[a] ^ hashes[b]).bit_count() <= max_bits for a, b in linked)
+    # All pairs within the bound share a bucket, and only one of their buckets counts as the first.
+    pairs = [(a, b) for a in range(400) for b in range(a) if (hashes[a] ^ hashes[b]).bit_count() <= max_bits]
+    rows = session.createDataFrame([(signed[a][1], signed[b][1]) for a, b in pairs] or [(1, 1)], "fp long, other long")
+    assert rows.where(line_dedup._first_shared("fp", "other", max_bits).isNull()).isEmpty()
+
+
+def test_buckets_are_sorted_without_comparisons(session):
+    nodes = session.createDataFrame([(1, 2), (2, 2)], "h long, fp long")
+    plans = []
+    wrapped = lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or df
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(line_dedup, "materialised", wrapped)
+        line_dedup._bucket_members(nodes, 3)
+    counted = [line for line in plans[0].split("\n") if "Window [count(1)" in line]
+    assert len(counted) == 1 and re.search(r"\[bucket#\d+L\]$", counted[0])
+
+
+def test_separators(session):
+    text = "".join(map(chr, range(1, 0x250))) + "a\u00a0b\u2028c\u2014d"
+    words = session.createDataFrame([(text,)], "line string").select(line_dedup._words("line")).first()[0]
+    assert words == [w for w in SEPARATORS.split(text.lower()) if w]
+
+
 def test_no_python(documents):
     plan = line_dedup.deduplicated(documents((1, "a b c d e f")))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
