@@ -1,4 +1,6 @@
+import hashlib
 import os
+from pathlib import Path
 
 import pytest
 
@@ -70,3 +72,19 @@ def test_packed_files_do_not_grow_with_the_tables(spark, monkeypatch):
     assert path.endswith("*.csv.gz") and found.count() == study.raw("order_reviews").count()
     assert max(n for _, n in rows(found.groupBy("file").count())) <= 100
     session.remove_written(spark)
+
+
+def test_a_manifest_is_made_of_packed_files(spark, monkeypatch):
+    """The text that is loaded and digested lies on disk packed, in files of bounded size."""
+    monkeypatch.setattr(queries, "ROWS_PER_PACKED_FILE", 100)
+    places = {}
+    monkeypatch.setattr(queries, "new_place", lambda s, name: places.setdefault(name, session.new_place(s, name)))
+    study = Study(spark, "/root/testdata/sf0.001")
+    found = dict(rows(queries.load_manifest(study)))
+    assert found == {name: study.raw(name).count() for name in study.raw_names}
+    listed = rows(spark.read.parquet(f"{places['landed']}/manifest"), "file", "sha256", "rows")
+    files = [path for path in Path(places["csv"].removeprefix("file:")).glob("*/part-*") if path.is_file()]
+    digests = {path.name: hashlib.sha256(path.read_bytes()).hexdigest() for path in files}
+    assert len(listed) > 50 and {name: digest for name, digest, _ in listed} == digests
+    assert all(name.endswith(".csv.gz") and n <= 100 for name, _, n in listed)
+    session.remove_written(spark)
