@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,14 +168,17 @@ def _violations(kind: str) -> Column:
     }[kind]
 
 
+def _key(columns: Sequence[str]) -> Column:
+    """The columns as one text: itself for one column, else each with its length in front, so different keys stay different."""
+    texts = [F.col(c).cast("string") for c in columns]
+    if len(texts) < 2:
+        return texts[0] if texts else F.lit(None).cast("string")
+    return F.concat(*[F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")) for text in texts])
+
+
 def _tag(number: int, columns: Sequence[str], where: Column, known: bool = False) -> Column:
     """The tagged row of a check, null where the check is not about the row; keys are compared as text."""
-    keys = [F.col(c).cast("string") for c in columns]
-    tagged = F.struct(
-        F.lit(number).alias("_check"),
-        (F.array(*keys) if keys else F.lit(None).cast("array<string>")).alias("_key"),
-        F.lit(known).alias("_known"),
-    )
+    tagged = F.struct(F.lit(number).alias("_check"), _key(columns).alias("_key"), F.lit(known).alias("_known"))
     return F.when(where, tagged)
 
 
@@ -186,14 +189,23 @@ class TableChecks:
     A row gives a tagged key for each check it takes part in. Keys are counted per check with map-side combine; a foreign
     key and the keys of its parent have the same tag, so an orphan is a key that no parent row has named. A check without
     any tagged row is reported with no violations.
+
+    ``dealt`` names relations whose rows lie together by a column: their unique keys with that column are counted where they
+    lie, in a reading of their own.
     """
 
     tables: Mapping[str, DataFrame]
     checks: Sequence[Check]
+    dealt: Mapping[str, str] = field(default_factory=dict)
+
+    def _in_place(self, check: Check) -> bool:
+        return check.kind == "unique" and check.parent is None and self.dealt.get(check.relation) in check.columns
 
     def tagged(self) -> DataFrame:
         per_relation: dict[str, list[Column]] = {}
         for number, check in enumerate(self.checks):
+            if self._in_place(check):
+                continue
             rows = check.where if check.where is not None else F.lit(True)
             per_relation.setdefault(check.relation, []).append(_tag(number, check.columns, rows))
             if check.parent:
@@ -214,6 +226,12 @@ class TableChecks:
             numbers = [number for number, check in enumerate(self.checks) if check.kind == kind]
             violations = F.when(F.col("_check").isin(numbers), _violations(kind)).otherwise(violations)
         per_check = counted.groupBy("_check").agg(F.sum(violations).alias("_n"))
+        for number, check in enumerate(self.checks):
+            if self._in_place(check):
+                rows = self.tables[check.relation]
+                repeated = unique_combination(rows if check.where is None else rows.where(check.where), check.columns)
+                found = repeated.agg(F.count(F.lit(1)).alias("_n")).select(F.lit(number).alias("_check"), "_n")
+                per_check = per_check.unionByName(found)
         declared = per_check.sparkSession.createDataFrame(
             [(number, check.name, check.severity, check.threshold) for number, check in enumerate(self.checks)],
             "_check int, name string, severity string, threshold long",
@@ -331,9 +349,10 @@ def study_expectations(
     tables: Mapping[str, DataFrame],
     impossible_dates_allowed: int = KNOWN_IMPOSSIBLE_DATES,
     payment_mismatches_allowed: int = KNOWN_PAYMENT_MISMATCHES,
+    dealt: Mapping[str, str] | None = None,
 ) -> list[TableChecks]:
-    """The declared checks over the relations, which are read once each."""
-    return [TableChecks(tables, study_checks(impossible_dates_allowed, payment_mismatches_allowed))]
+    """The declared checks over the relations, which are read once each, but for unique keys of ``dealt`` ones."""
+    return [TableChecks(tables, study_checks(impossible_dates_allowed, payment_mismatches_allowed), dealt or {})]
 
 
 def one_row(spark: SparkSession, **values: DataFrame) -> DataFrame:

@@ -6,11 +6,16 @@ follows the order priority, reviews follow the lines. Amounts become decimals be
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelwise.functions import days_between
 from parcelwise.plans.model import amount_total
+from parcelwise.session import new_place
+from parcelwise.sources.tables import forget_bucketed, save_bucketed
 
 AMOUNT = "decimal(12,2)"
 
@@ -28,6 +33,48 @@ class DriverTables:
         return self._open[name]
 
 
+# The keys that orders and lines meet on, and the columns that any relation here takes from them.
+ORDER_KEYS = {"orders": "o_orderkey", "lineitem": "l_orderkey"}
+ORDER_COLUMNS = {
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"],
+    "lineitem": [
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax", "l_returnflag", "l_shipdate"
+    ],
+}
+
+
+class DealtTables(DriverTables):
+    """The driver's tables with orders and lines in equal buckets of orders, written under ``place`` when first asked for.
+
+    What is grouped, ranked or joined by order from them needs no exchange, however often it is asked for.
+    """
+
+    def __init__(self, source: DriverTables, place: str):
+        super().__init__(source.spark, source.folder)
+        self.place, self.names = place, []
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name in ORDER_KEYS and name not in self._open:
+            table = super().__getitem__(name).select(*ORDER_COLUMNS[name])
+            self._open[name] = self.saved(name, table, ORDER_KEYS[name])
+        return super().__getitem__(name)
+
+    def saved(self, name: str, table: DataFrame, key: str) -> DataFrame:
+        """``table`` in buckets like those of the orders."""
+        self.names.append(name)
+        return save_bucketed({name: table}, self.place, key)[name]
+
+
+@contextmanager
+def dealt(source: DriverTables) -> Iterator[DealtTables]:
+    """Dealt tables that the catalog forgets at the end; their files go with the innermost open scope."""
+    opened = DealtTables(source, new_place(source.spark, "dealt"))
+    try:
+        yield opened
+    finally:
+        forget_bucketed(source.spark, opened.place, opened.names)
+
+
 def _plus_days(moment: str, days: Column) -> Column:
     return F.timestamp_add("DAY", days.cast("int"), F.col(moment))
 

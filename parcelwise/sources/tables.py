@@ -57,7 +57,7 @@ def save_bucketed(tables: Mapping[str, DataFrame], folder: str, key: str, bucket
         count = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         path = f"{folder.rstrip('/')}/{name}"
         dealt = df.repartition(count, key).sortWithinPartitions(key)
-        dealt.write.bucketBy(count, key).sortBy(key).option("path", path).saveAsTable(_catalog_name(path))
+        dealt.write.bucketBy(count, key).sortBy(key).options(path=path, compression="zstd").saveAsTable(_catalog_name(path))
         saved[name] = df.sparkSession.table(_catalog_name(path))
     return saved
 
@@ -77,5 +77,11 @@ def open_bucketed(spark: SparkSession, folder: str, names: Sequence[str], key: s
     return found
 
 
+def forget_bucketed(spark: SparkSession, folder: str, names: Sequence[str]) -> None:
+    """Take tables that ``save_bucketed`` wrote out of the catalog; their files stay."""
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {_catalog_name(f'{folder.rstrip("/")}/{name}')}")
+
+
 def _catalog_name(path: str) -> str:
     return f"saved_{sha256(path.encode()).hexdigest()[:32]}"

@@ -8,6 +8,7 @@ from contextlib import suppress
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelwise import shaping
 from parcelwise.plans import delivery, model, promise, publish, quality, rolling, routes, sellers, staging
 from parcelwise.session import kept, materialised, new_place, scope
 from parcelwise.sources import calendar, manifest, raw, tables
@@ -440,7 +441,7 @@ def checked_tables(s: Study) -> dict[str, DataFrame]:
 def expectation_report(s: Study) -> DataFrame:
     """All checks over written tables, as they run after a build."""
     return quality.expectation_report(
-        quality.study_expectations(checked_tables(s), p.IMPOSSIBLE_ALLOWED, p.MISMATCH_ALLOWED)
+        quality.study_expectations(checked_tables(s), p.IMPOSSIBLE_ALLOWED, p.MISMATCH_ALLOWED, s.dealt_by)
     )
 
 
@@ -537,13 +538,16 @@ def derived_figures_rounded(s: Study) -> DataFrame:
 
 @query
 def results_in_scope(s: Study) -> DataFrame:
-    """Metrics per section, derived figures and checks of one scope: they share a written fact, which goes with the scope."""
-    with scope(s.spark):
-        study = ReportedStudy(s.spark, s.source.folder)
+    """Metrics per section, derived figures and checks of one scope: they share a written fact, which goes with the scope.
+
+    Orders and lines are dealt into buckets of orders once, so none of them moves them again by order.
+    """
+    with scope(s.spark), shaping.dealt(s.source) as dealt:
+        study = ReportedStudy(s.spark, s.source.folder, dealt)
         results = [
             study_metrics(study).groupBy(F.col("section").alias("name")).agg(F.count(F.lit(1)).alias("rows")),
             derived(study).agg(F.count(F.lit(1)).alias("rows")).select(F.lit("derived figures").alias("name"), "rows"),
-            expectation_report(BuiltStudy(s.spark, s.source.folder))
+            expectation_report(BuiltStudy(s.spark, s.source.folder, dealt))
             .groupBy(F.concat_ws(" ", F.lit("checks"), "status").alias("name"))
             .agg(F.count(F.lit(1)).alias("rows")),
         ]

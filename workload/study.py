@@ -17,9 +17,18 @@ from workload import params as p
 class Study:
     """Lazy relations; a property is a plan, not a result."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, source: shaping.DriverTables | None = None):
         self.spark = tune(spark)
-        self.source = shaping.DriverTables(spark, folder)
+        self.source = source or shaping.DriverTables(spark, folder)
+
+    @property
+    def dealt(self) -> bool:
+        return isinstance(self.source, shaping.DealtTables)
+
+    @property
+    def dealt_by(self) -> dict[str, str]:
+        """The relations whose rows lie together by a column, and that column."""
+        return dict.fromkeys(("stg_orders", "stg_order_items", "stg_order_reviews"), "order_id") if self.dealt else {}
 
     def raw(self, table: str) -> DataFrame:
         return shaping.raw_table(self.source, table)
@@ -258,21 +267,31 @@ class Study:
 class StoredStudy(Study):
     """A study over a written order fact: for results that read the orders several times.
 
-    Inside a scope all results share one fact, which has the payments too; alone, a result writes what it needs.
+    Inside a scope all results share one fact, which has the payments too; alone, a result writes what it needs. Over
+    tables dealt by orders, what has a row per order is written in the same buckets.
     """
 
-    def written(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        return shared((self.source.folder, name), build)
+    def written(self, name: str, build: Callable[[], DataFrame], key: str | None = None) -> DataFrame:
+        def write(table: DataFrame) -> DataFrame:
+            return self.source.saved(f"written {name}".replace(" ", "_"), table, key) if key and self.dealt else materialised(table)
+
+        return shared((self.source.folder, name), build, write)
 
     @cached_property
     def orders(self) -> DataFrame:
         orders = super().orders
-        return self.written("orders", lambda: orders) if in_scope() else orders
+        return self.written("orders", lambda: orders, "order_id") if in_scope() else orders
 
     @cached_property
     def reviews(self) -> DataFrame:
         reviews = super().reviews
-        return self.written("reviews", lambda: reviews) if in_scope() else reviews
+        return self.written("reviews", lambda: reviews, "order_id") if in_scope() else reviews
+
+    @cached_property
+    def sellers(self) -> DataFrame:
+        """Written where orders are dealt: a lookup in a table of known size need not move the orders."""
+        sellers = super().sellers
+        return self.written("sellers", lambda: sellers) if self.dealt else sellers
 
     @cached_property
     def routed(self) -> DataFrame:
@@ -286,7 +305,7 @@ class StoredStudy(Study):
         """The order fact but for its ranks, from one sum of the lines."""
         counted = model.with_reviews(model.with_items(self.timeline, self.items), self.reviews)
         return self.written(
-            "paid fact", lambda: model.with_payments(model.with_seller_state(counted, self.sellers), self.payments)
+            "paid fact", lambda: model.with_seller_state(model.with_payments(counted, self.payments), self.sellers), "order_id"
         )
 
     @cached_property
@@ -321,12 +340,12 @@ class BuiltStudy(StoredStudy):
     @cached_property
     def orders(self) -> DataFrame:
         orders = super().orders
-        return self.written("orders", lambda: orders)
+        return self.written("orders", lambda: orders, "order_id")
 
     @cached_property
     def reviews(self) -> DataFrame:
         reviews = super().reviews
-        return self.written("reviews", lambda: reviews)
+        return self.written("reviews", lambda: reviews, "order_id")
 
     @cached_property
     def routed(self) -> DataFrame:
