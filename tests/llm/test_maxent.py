@@ -152,3 +152,45 @@ def test_query_on_all_documents(session, small):
         assert r["base_score"] == pytest.approx(base)
     out = [r for r in rows if r["held_out"]]
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
+
+
+def test_words_of_every_rank_learn_what_they_follow(documents):
+    """Words beyond the most frequent ones are told by what stands before them, inside their classes too."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"a{i} b{i}" for i in rng.integers(0, 300, 40)) for _ in range(500)]
+    model = maxent.learned(documents(*enumerate(texts[:450])))
+    assert model.counts.types > 2 * maxent.HEAD_CLASSES * maxent.WIDTH
+    rows = maxent.scored(documents(*enumerate(texts[450:])), model).collect()
+    gain = sum(r["score"] - r["base_score"] for r in rows) / sum(r["n_tokens"] for r in rows)
+    # Half of log10(600) is what there is to gain; telling the class alone gained 0.18.
+    assert gain > 0.3
+
+
+@pytest.mark.parametrize("local", [200_000, 700, 100])
+def test_steps_inside_all_classes_share_one(documents, monkeypatch, local):
+    monkeypatch.setattr(maxent, "LOCAL_WORDS", local)
+    train = [f"a{i % 3} b{i % 40} c{i % 2000} d" for i in range(2500)]
+    model = maxent.learned(documents(*enumerate(train)))
+    counts = {r["word"].encode(): r["n"] for r in model.counts.words.collect()}
+    network = maxent._Network(model.counts.class_mass, model.counts.word_mass, model.weights)
+    for before in ([maxent.START, maxent.START], [b"a1", b"b1"]):
+        run = maxent._Run([[*before, word] for word in [*counts, b"never seen"]], model.counts.lexicon)
+        known, unknown = network.score(run.hashes, run.klass, run.place, run.at)
+        klass = run.klass[run.at[:-1]]
+        inside = np.where(klass < maxent.HEAD_CLASSES, 1, (np.array([*counts.values()]) + 0.5) / model.counts.class_mass[klass])
+        assert (10 ** known[:-1] * inside).sum() + 10 ** unknown[-1] == pytest.approx(1, abs=1e-3)
+        # Each frequent word of the classes by rank has a leaf of its own.
+        whose, node, output = network.inside(run.klass[run.at], run.place[run.at])
+        ends = {i: (n, o) for i, n, o in zip(whose.tolist(), node.tolist(), output.tolist())}
+        ranked = np.flatnonzero(klass < maxent.REST).tolist()
+        assert len(ranked) == min(local, len(counts)) == len({ends[i] for i in ranked})
+
+
+def test_rows_of_equal_keys_are_summed():
+    rng = np.random.default_rng(1)
+    keys, values = rng.integers(0, 40, 500).astype(np.uint16), rng.normal(size=(500, maxent.WIDTH)).astype(np.float32)
+    for some in (slice(None), slice(0, 1)):
+        row, total = maxent._summed(values[some], keys[some])
+        assert row.tolist() == sorted(set(keys[some].tolist()))
+        for key, found in zip(row, total):
+            assert found == pytest.approx(values[some][keys[some] == key].sum(0), abs=1e-5)
